@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.catalog import inputs, sql
 from lakeloom.catalog.registry import doubles, query
-from lakeloom.functions.bands import SPEND_SEGMENTS
+from lakeloom.functions.bands import SPEND_SEGMENTS, segment
 from lakeloom.functions.money import discounted, money
 from lakeloom.plans import bronze, gold, silver
 
@@ -22,9 +22,8 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.sales_summary_by_product(silver_orders(spark, sf_dir), inputs.products(spark, sf_dir))
 
 
-def lifetime(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
-    thresholds = [(limit * scale, name) for limit, name in SPEND_SEGMENTS]
-    return gold.customer_lifetime_value(silver_orders(spark, sf_dir), inputs.users(spark, sf_dir), thresholds)
+def lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.customer_lifetime_value(silver_orders(spark, sf_dir), inputs.users(spark, sf_dir))
 
 
 @query(f"WITH {sql.SUMMARY} SELECT * FROM summary")
@@ -70,9 +69,12 @@ def clv(spark, sf_dir):
            FROM rated GROUP BY scale, segment""")
 def segment_counts(spark, sf_dir):
     """Segments with the default thresholds and with thresholds twenty times as high, which spread these users."""
-    parts = [gold.segment_counts(lifetime(spark, sf_dir, scale)).withColumn("scale", F.lit(scale))
-             for scale in (1, 20)]
-    return doubles(parts[0].unionByName(parts[1]))
+    ratings = []
+    for scale in (1, 20):
+        name = segment("total_spent", [(limit * scale, label) for limit, label in SPEND_SEGMENTS])
+        ratings.append(F.struct(F.lit(scale).alias("scale"), name.alias("segment")))
+    spend = lifetime(spark, sf_dir).select("total_spent", F.inline(F.array(*ratings)))
+    return doubles(gold.segment_counts(spend, ["scale"]))
 
 
 @query(f"""WITH {sql.SUMMARY}

@@ -83,8 +83,8 @@ def customer_lifetime_value(orders: DataFrame, users: DataFrame,
     return spend.withColumn("segment", segment("total_spent", thresholds, lowest))
 
 
-def segment_counts(lifetime_value: DataFrame) -> DataFrame:
-    return lifetime_value.groupBy("segment").agg(
+def segment_counts(lifetime_value: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return lifetime_value.groupBy(*by, "segment").agg(
         F.count(F.lit(1)).alias("users"), F.sum("total_spent").cast("decimal(20,2)").alias("spent"))
 
 
