@@ -71,5 +71,5 @@ USERS = f"""users AS (
 CHANGES = """changes AS (
   SELECT CASE WHEN event_type = 'error' THEN 'd'
               WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'c' ELSE 'u' END AS op,
-         user_id, value, event_type, epoch_ms(ts) AS ts_ms, event_id AS lsn
+         user_id, value, event_type, epoch_us(ts) // 1000 AS ts_ms, event_id AS lsn
   FROM events)"""
