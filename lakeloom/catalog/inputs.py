@@ -15,6 +15,7 @@ from lakeloom.sources import generate
 
 # Total order among order lines with the same business key.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
+EXTRA = ["l_returnflag", *LINE_ORDER]
 ORDER_COLUMNS = ["user_id", "product_id", "amount", "discount", "price", "final_price", "date"]
 CHANGE_FIELDS = {"user_id": "bigint", "value": "double", "event_type": "string"}
 
@@ -35,8 +36,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines, business-key duplicates included, with the columns of `LINE_ORDER`."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", *LINE_ORDER)
+    """Order lines, business-key duplicates included, with l_returnflag and the columns of `LINE_ORDER`."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", *LINE_ORDER)
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
     prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice"))
@@ -50,6 +51,7 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         money("p_retailprice").alias("price"),
         F.round(money("p_retailprice") * (1 - share), 2).cast(MONEY).alias("final_price"),
         F.col("o_orderdate").alias("date"),
+        "l_returnflag",
         *LINE_ORDER,
     )
 

@@ -83,7 +83,7 @@ def bucket_key_audit(spark, sf_dir):
 
 @query(f"WITH {sql.ORDERS_RAW} SELECT {ORDER_ROW} FROM orders_raw")
 def bronze_orders(spark, sf_dir):
-    return doubles(bronze.orders(inputs.orders_raw(spark, sf_dir).drop(*inputs.LINE_ORDER)))
+    return doubles(bronze.orders(inputs.orders_raw(spark, sf_dir).drop(*inputs.EXTRA)))
 
 
 @query(f"""SELECT p_partkey AS id, p_name AS name, p_retailprice AS price,

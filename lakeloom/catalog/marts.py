@@ -15,7 +15,7 @@ from lakeloom.plans import bronze, gold, silver
 def silver_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated orders, with the business columns and year, month."""
     rows = silver.orders(bronze.orders(inputs.orders_raw(spark, sf_dir)), order=inputs.LINE_ORDER)
-    return rows.drop(*inputs.LINE_ORDER)
+    return rows.drop(*inputs.EXTRA)
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:

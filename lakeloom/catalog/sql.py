@@ -8,7 +8,7 @@ ORDERS_RAW = f"""orders_raw AS (
   SELECT o_custkey AS user_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS amount,
          CAST({SHARE} * 100 AS INTEGER) AS discount, {PRICE} AS price,
          CAST(ROUND({PRICE} * (1 - {SHARE}), 2) AS DECIMAL(12,2)) AS final_price, o_orderdate AS date,
-         CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, {LINE_ORDER}
+         CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, l_returnflag, {LINE_ORDER}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 ORDERS = f"""{ORDERS_RAW},

@@ -55,9 +55,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def broadcastable(df: DataFrame) -> bool:
     """Whether the frame's estimated size is within the session's broadcast threshold."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    return 0 <= estimated_bytes(df) <= size
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= limit
 
 
 def hot_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS,

@@ -45,6 +45,14 @@ class LakeTable:
         table = spark.read.format(self.fmt).load(self.path)
         return table if where is None else table.filter(where)
 
+    def read_partition(self, spark: SparkSession, **values: object) -> DataFrame:
+        """One value of the leading partition column(s). With Parquet only the folder of that partition is listed, so the
+        cost does not grow with the number of partitions the table has."""
+        if self.fmt != "parquet":
+            return self.read(spark, " AND ".join(f"{name} = {value!r}" for name, value in values.items()))
+        folder = "/".join(f"{name}={value}" for name, value in values.items())
+        return spark.read.option("basePath", self.path).parquet(f"{self.path}/{folder}")
+
     def append(self, df: DataFrame) -> None:
         self._writer(df, "append").save(self.path)
 
@@ -57,7 +65,7 @@ class LakeTable:
             raise ValueError("replace_partitions needs a partitioned table")
         self._writer(df, "overwrite").option("partitionOverwriteMode", "dynamic").save(self.path)
 
-    def touched(self, df: DataFrame, limit: int = 10_000) -> Column | None:
+    def touched(self, df: DataFrame, limit: int = 1000) -> Column | None:
         """A predicate selecting the partitions `df` falls in, or None when it falls in more than `limit` of them.
 
         Only distinct partition values reach the driver, never keys; beyond the limit callers read the whole table,
@@ -66,15 +74,16 @@ class LakeTable:
         values = df.select(*self.partition_by).distinct().limit(limit + 1).collect()
         if len(values) > limit:
             return None
-        if len(self.partition_by) == 1:
-            known = [row[0] for row in values if row[0] is not None]
-            predicate = F.col(self.partition_by[0]).isin(known)
-            has_null = len(known) < len(values)
-            return predicate | F.col(self.partition_by[0]).isNull() if has_null else predicate
-        predicate = F.lit(False)
+        *leading, last = self.partition_by
+        groups: dict[tuple, list] = {}
         for row in values:
-            one = F.lit(True)
-            for name, value in zip(self.partition_by, row):
+            groups.setdefault(tuple(row)[:-1], []).append(row[-1])
+        predicate = F.lit(False)
+        for prefix, found in groups.items():
+            one = F.col(last).isin([value for value in found if value is not None])
+            if None in found:
+                one = one | F.col(last).isNull()
+            for name, value in zip(leading, prefix):
                 one = one & F.col(name).eqNullSafe(F.lit(value))
             predicate = predicate | one
         return predicate
