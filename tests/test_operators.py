@@ -1,0 +1,212 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.functions.bands import price_range
+from lakeloom.operators import cdc, merge, quality
+from lakeloom.operators.dedupe import keep_first, keep_last
+from lakeloom.operators.ranking import top_by_rank
+from lakeloom.operators.slices import slice_counts
+from tests.conftest import rows
+
+
+# Deduplication
+
+def test_keep_first_is_the_first_by_order(spark):
+    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 1, "b"), (2, 9, "z"), (2, 9, "z")], "k int, o int, p string")
+    for partitions in (1, 5):
+        assert rows(keep_first(df.repartition(partitions), ["k"], ["o", "p"])) == [(1, 1, "a"), (2, 9, "z")]
+    assert rows(keep_last(df, ["k"], ["o", "p"])) == [(1, 3, "c"), (2, 9, "z")]
+
+
+def test_keep_first_limits_rows_before_the_shuffle(spark):
+    kept = keep_first(spark.range(10).selectExpr("id % 3 AS k", "id AS o"), ["k"], ["o"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    first, rest = plan.split("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in first and "Final" in first and "WindowGroupLimit" in rest and "Partial" in rest
+
+
+# Ranking
+
+@pytest.mark.parametrize("scores, n", [
+    ([9, 8, 8, 7, 7, 7, 1], 4), ([5, 5, 5, 5], 2), ([3, 2, 1], 10), ([], 3), ([2, 1, None, None], 3), ([None, None], 1)])
+def test_top_by_rank_keeps_ties(spark, scores, n):
+    df = spark.createDataFrame(list(enumerate(scores)), "i int, v int")
+    ranked = [(i, s, 1 + sum(o is not None if s is None else o is not None and o > s for o in scores))
+              for i, s in enumerate(scores)]
+    assert rows(top_by_rank(df, "v", n)) == sorted((r for r in ranked if r[2] <= n), key=repr)
+
+
+def test_top_by_rank_within_groups(spark):
+    data = [("a", 1, 5), ("a", 2, 5), ("a", 3, 4), ("b", 4, 1), (None, 5, 2), (None, 6, 1)]
+    df = spark.createDataFrame(data, "g string, i int, v int")
+    assert rows(top_by_rank(df, "v", 1, ["g"])) == sorted(
+        [("a", 1, 5, 1), ("a", 2, 5, 1), ("b", 4, 1, 1), (None, 5, 2, 1)], key=repr)
+
+
+def test_all_rows_tied_do_not_meet_in_one_task(spark):
+    df = spark.range(100_000).select("id", F.lit(1).alias("v"))
+    top = top_by_rank(df, "v", 3)
+    assert top.count() == 100_000
+    assert top.select(F.spark_partition_id()).distinct().count() > 1
+
+
+# Merge
+
+TARGET = "id int, name string, price double, is_current boolean"
+
+
+def target(spark):
+    return spark.createDataFrame(
+        [(1, "a", 1.0, True), (1, "a", 0.5, False), (2, "b", 2.0, True), (None, "n", 3.0, True)], TARGET)
+
+
+def source(spark, data):
+    return spark.createDataFrame(data, "id int, name string, price double, is_current boolean, op string")
+
+
+CLOSE = merge.Update({"is_current": "false"}, "src.op = 'u'")
+
+
+def apply(spark, data, **clauses):
+    return rows(merge.merge_into(target(spark), source(spark, data), ["id"], target_filter="is_current", **clauses))
+
+
+def test_merge_closes_and_inserts(spark):
+    got = apply(spark, [(1, "A", 9.0, True, "u"), (2, "B", 9.0, True, "c"), (3, "C", 9.0, True, "u")],
+                matched=[CLOSE], not_matched=[merge.Insert()])
+    assert got == sorted([(1, "a", 1.0, False), (1, "a", 0.5, False), (2, "b", 2.0, True), (3, "C", 9.0, True),
+                          (None, "n", 3.0, True)], key=repr)
+
+
+def test_merge_clauses_in_order(spark):
+    got = apply(spark, [(1, "A", 9.0, True, "u"), (2, "B", 8.0, True, "d"), (4, "D", 1.0, True, "x"), (5, "E", 2.0, True, "c")],
+                matched=[merge.Delete("src.op = 'd'"), merge.Update(), merge.Delete()],
+                not_matched=[merge.Insert({"id": "src.id", "name": "upper(src.op)"}, "src.op = 'c'")])
+    assert got == sorted([(1, "A", 9.0, True), (1, "a", 0.5, False), (5, "C", None, None), (None, "n", 3.0, True)], key=repr)
+
+
+def test_merge_condition_that_is_null_does_not_hold(spark):
+    got = apply(spark, [(1, "A", 9.0, True, None)], matched=[merge.Delete("src.op = 'd'")])
+    assert (1, "a", 1.0, True) in got and len(got) == 4
+
+
+def test_merge_null_key_matches_nothing(spark):
+    data = [(None, "x", 5.0, True, "u"), (None, "y", 6.0, True, "u")]
+    got = apply(spark, data, matched=[merge.Delete()], not_matched=[merge.Insert()])
+    assert got == sorted([*rows(target(spark)), (None, "x", 5.0, True), (None, "y", 6.0, True)], key=repr)
+    assert apply(spark, data, matched=[merge.Delete()]) == rows(target(spark))
+
+
+def test_merge_with_duplicate_source_keys_fails(spark):
+    with pytest.raises(Exception, match="several rows for one key"):
+        apply(spark, [(1, "A", 9.0, True, "u"), (1, "B", 9.0, True, "u")], matched=[CLOSE])
+
+
+def test_merge_with_empty_sides(spark):
+    assert apply(spark, [], matched=[CLOSE], not_matched=[merge.Insert()]) == rows(target(spark))
+    empty = spark.createDataFrame([], TARGET)
+    got = merge.merge_into(empty, source(spark, [(1, "A", 9.0, True, "u")]), ["id"], not_matched=[merge.Insert()])
+    assert rows(got) == [(1, "A", 9.0, True)] and got.dtypes == empty.dtypes
+
+
+def test_merge_on_composite_key(spark):
+    a = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "x int, y int, v string")
+    b = spark.createDataFrame([(1, 2, "B"), (2, 1, "C")], "x int, y int, v string")
+    got = merge.merge_into(a, b, ["x", "y"], [merge.Update()], [merge.Insert()])
+    assert rows(got) == [(1, 1, "a"), (1, 2, "B"), (2, 1, "C")]
+
+
+def test_lookups(spark):
+    table = spark.createDataFrame([(1, True), (1, False), (2, False), (3, False)], "id int, is_current boolean")
+    batch = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r"), (9, "s")], "id int, v string")
+    assert rows(merge.batch_keys(batch, ["id"])) == [(1,), (3,), (9,)]
+    assert rows(merge.lookup_existing(table, batch, ["id"], "NOT is_current")) == [(1, False), (3, False)]
+    assert rows(merge.new_rows(batch, table, ["id"])) == [(9, "s")]
+
+
+def test_changed_rows(spark):
+    before = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2), (4, None, None)], "id int, v string, w int")
+    after = spark.createDataFrame([(1, "a", None), (2, "b", 9), (4, None, None), (5, "e", 0)], "id int, v string, w int")
+    assert rows(merge.changed_rows(before, after, ["id"])) == sorted(
+        [("update", 2, "b", 9), ("delete", 3, "c", 2), ("insert", 5, "e", 0)], key=repr)
+
+
+# Change messages
+
+FIELDS = {"id": "int", "name": "string", "at": "timestamp_ntz"}
+
+
+def parse(spark, messages, encodings=None, fields=FIELDS):
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "i int, value string")
+    return cdc.parse(df.orderBy("i"), fields, ["id"], encodings).collect()
+
+
+def test_parse_kinds(spark):
+    ok = '{"before":null,"after":{"id":1,"name":"x"},"source":{"lsn":5},"op":"%s","ts_ms":%s}'
+    got = parse(spark, [
+        ok % ("c", 10), ok % ("u", '"11"'), ok % ("r", 12),
+        '{"before":{"id":1},"after":null,"op":"d","ts_ms":13}',
+        '{"after":{"id":1},"op":"d","ts_ms":13}',
+        '{"after":null,"op":"u","ts_ms":14}', '{"after":{"name":"x"},"op":"u","ts_ms":14}',
+        ok % ("c", "null"), ok % ("c", '"soon"'), ok % ("t", 1), '{"after":{"id":1},"ts_ms":1}',
+        None, "", "nonsense", "[1]", '{"after":{"id":"one"},"op":"c","ts_ms":1}', '{"after":{"id":1},"op":"c","ts_ms":1',
+    ], {"at": "micros"})
+    assert [row.kind for row in got] == [
+        "upsert", "upsert", "upsert", "delete", "incomplete", "incomplete", "incomplete", "incomplete", "incomplete",
+        "unknown", "unknown", "empty", "malformed", "malformed", "malformed", "malformed", "malformed"]
+    assert [(r.ts_ms, r.lsn, r.id, r.name, r.deleted) for r in got[:4]] == [
+        (10, 5, 1, "x", False), (11, 5, 1, "x", False), (12, 5, 1, "x", False), (13, 0, 1, None, True)]
+    assert all((row.raw is None) == (row.kind in ("upsert", "delete", "empty")) for row in got)
+
+
+def test_parse_binary_messages(spark):
+    df = spark.createDataFrame([(bytearray(b'{"after":{"id":4},"op":"c","ts_ms":1}'),)], "value binary")
+    assert cdc.parse(df, {"id": "int"}, ["id"]).first().id == 4
+
+
+@pytest.mark.parametrize("encoding, sent", [
+    ("micros", 1709210096789012), ("millis", 1709210096789), ("iso", '"2024-02-29T12:34:56.789012"'), ("days", 19782)])
+def test_temporal_encodings(spark, encoding, sent):
+    message = '{"after":{"id":1,"at":%s},"op":"c","ts_ms":1}' % sent
+    expected = {"micros": datetime(2024, 2, 29, 12, 34, 56, 789012), "millis": datetime(2024, 2, 29, 12, 34, 56, 789000),
+                "iso": datetime(2024, 2, 29, 12, 34, 56, 789012), "days": datetime(2024, 2, 29)}[encoding]
+    assert parse(spark, [message], {"at": encoding})[0]["at"] == expected
+
+
+def test_latest_ignores_arrival_and_prefers_deletes(spark):
+    schema = "id int, ts_ms bigint, lsn bigint, deleted boolean, v string"
+    data = [(1, 5, 1, False, "old"), (1, 5, 2, False, "new"), (2, 7, 1, True, None), (2, 7, 1, False, "tie"),
+            (3, 1, 1, False, "a"), (3, 1, 1, False, "b")]
+    expected = [(1, 5, 2, False, "new"), (2, 7, 1, True, None), (3, 1, 1, False, "b")]
+    for some in (data, data[::-1]):
+        assert rows(cdc.latest(spark.createDataFrame(some, schema), ["id"])) == expected
+
+
+# Quality
+
+def test_quality_checks(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", None), (2, None, 50), (None, "c", 7), (None, "c", 7), (1, "a", 1)],
+                               "k int, v string, n int")
+    assert rows(quality.not_null(df, ["k", "v", "n"])) == [("k", 6, 2), ("n", 6, 1), ("v", 6, 1)]
+    assert rows(quality.expect(df, {"small": "n < 10", "named": F.col("v").isNotNull()})) == [("named", 6, 1), ("small", 6, 2)]
+    assert rows(quality.duplicates(df, ["k", "v"])) == [(1, "a", 3)]
+    assert rows(quality.unique(df, ["k", "v"])) == [(1, 2)]
+    assert rows(quality.unique(df.filter("k = 2"), ["k"])) == [(0, 0)]
+    parent = spark.createDataFrame([(2,)], "id int")
+    assert rows(quality.orphans(df, "k", parent, "id")) == [(1, 3)]
+
+
+def test_slice_counts_shows_gaps_and_overlaps(spark):
+    df = spark.range(10)
+    got = rows(slice_counts(df, ['"id" >= 0 AND "id" < 4', '"id" >= 3 AND "id" < 8']))
+    assert got == sorted([(1, 0, 3), (2, 0, 1), (1, 1, 4), (0, -1, 2)], key=repr)
+
+
+def test_price_range_is_one_expression_for_batch_and_merge(spark):
+    got = merge.merge_into(
+        spark.createDataFrame([], "id int, price double, price_range string"),
+        spark.createDataFrame([(1, 950.0)], "id int, price double"), ["id"],
+        not_matched=[merge.Insert({"id": "src.id", "price": "src.price", "price_range": price_range("src.price")})])
+    assert rows(got) == [(1, 950.0, "905-1000")]
