@@ -33,7 +33,8 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(discount == 10, -1 - F.col("product_id")).otherwise(F.col("product_id")).alias("product_id"),
         F.when((flag == "R") & (discount == 0), None).otherwise(F.col("amount")).alias("amount"),
         F.when((flag == "A") & (discount == 5), 60).when(discount == 1, None).otherwise(discount).alias("discount"),
-        "price", "final_price", "date", "l_orderkey", "l_linenumber", "l_suppkey")
+        *[F.col(name).cast("decimal(12,2)").alias(name) for name in ("price", "final_price")],
+        "date", "l_orderkey", "l_linenumber", "l_suppkey")
     return hurt.unionByName(hurt.filter("discount = 3"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.functions.money import MONEY, money
+from lakeloom.functions.money import cents, discounted_cents
 from lakeloom.operators.skew import skew_join
 from lakeloom.session import tune
 from lakeloom.sources import generate
@@ -42,14 +42,14 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
     prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice"))
     joined = skew_join(skew_join(lines, heads, ["l_orderkey"]), prices, ["l_partkey"])
-    share = F.col("l_discount").cast("decimal(4,2)")
+    percent = cents("l_discount")
     return joined.select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("amount"),
-        (share * 100).cast("int").alias("discount"),
-        money("p_retailprice").alias("price"),
-        F.round(money("p_retailprice") * (1 - share), 2).cast(MONEY).alias("final_price"),
+        percent.cast("int").alias("discount"),
+        F.col("p_retailprice").alias("price"),
+        (discounted_cents(cents("p_retailprice"), percent * 100) / 100.0).alias("final_price"),
         F.col("o_orderdate").alias("date"),
         "l_returnflag",
         *LINE_ORDER,

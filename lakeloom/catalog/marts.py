@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.catalog import inputs, sql
 from lakeloom.catalog.registry import doubles, query
 from lakeloom.functions.bands import SPEND_SEGMENTS, segment
-from lakeloom.functions.money import discounted, money
+from lakeloom.functions.money import discounted
 from lakeloom.plans import bronze, gold, silver
 
 

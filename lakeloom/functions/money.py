@@ -1,8 +1,9 @@
 """Exact money arithmetic.
 
-Amounts of money are summed as whole cents (bigint): sums then run in generated code on longs, do not depend on the
-order of the rows, and overflow raises an error instead of turning into null. Rounding binary doubles is avoided
-throughout, because two engines (or two row orders) may round them differently.
+Money and percentages have two decimals throughout. They are computed with as whole hundredths (bigint), so sums and
+products run in generated code on longs, do not depend on the order of the rows, and overflow raises an error instead of
+turning into null. Only results become decimals again. Binary doubles are never summed or rounded: two engines, or two
+orders of the rows, could then differ in the last cent.
 """
 
 from __future__ import annotations
@@ -12,21 +13,17 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.bands import _col
 
-MONEY = "decimal(12,2)"
 MART_MONEY = "decimal(20,2)"
 
 
-def money(col: Column | str) -> Column:
-    return _col(col).cast(MONEY)
-
-
 def cents(col: Column | str) -> Column:
-    """Value with two decimals as a whole number of hundredths, rounded half up."""
-    return (money(col) * 100).cast("bigint")
+    """Hundredths of a value with two decimals. The product with 100 is within 1e-3 of a whole number for all values up
+    to 10^13, so taking the nearest one is exact."""
+    return F.floor(_col(col).cast("double") * 100 + 0.5).cast("bigint")
 
 
 def from_cents(col: Column | str) -> Column:
-    return (_col(col).cast("decimal(20,0)") / 100).cast(MART_MONEY)
+    return (_col(col).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MART_MONEY)
 
 
 def revenue_cents(amount: Column | str, price: Column | str) -> Column:
@@ -38,9 +35,13 @@ def revenue(amount: Column | str, price: Column | str) -> Column:
     return from_cents(revenue_cents(amount, price))
 
 
+def discounted_cents(price_cents: Column, percent_hundredths: Column) -> Column:
+    """Price less a discount, rounded half up to cents."""
+    return F.call_function("div", price_cents * (10_000 - percent_hundredths) + 5_000, F.lit(10_000))
+
+
 def discounted(price: Column | str, percent: Column | str) -> Column:
-    """Price after a discount in percent, rounded half up to cents."""
-    return F.round(money(price) * (F.lit(100) - _col(percent).cast("decimal(5,2)")) / 100, 2).cast(MONEY)
+    return from_cents(discounted_cents(cents(price), cents(percent)))
 
 
 def mean_half_up(total: Column, count: Column) -> Column:

@@ -51,8 +51,10 @@ def parse(df: DataFrame, fields: Mapping[str, str], keys: list[str],
     message = (f"before struct<{wire}>, after struct<{wire}>, source struct<lsn: bigint>, op string, ts_ms string, "
                "_damaged string")
     text = F.col(value).cast("string")
-    parsed = df.select(text.alias("_text"),
-                       F.from_json(text, message, {"columnNameOfCorruptRecord": "_damaged"}).alias("_m"))
+    # Exploding a one-element array keeps the optimizer from moving filters on the fields below the parser, where each
+    # field they use would parse the message once more.
+    parsed = df.select(text.alias("_text"), F.explode(F.array(
+        F.from_json(text, message, {"columnNameOfCorruptRecord": "_damaged"}))).alias("_m"))
     image = F.when(F.col("_m.op") == DELETE_OP, F.col("_m.before")).otherwise(F.col("_m.after"))
     flat = parsed.select(
         "_text", F.col("_m.op").alias("op"), F.col("_m.ts_ms").try_cast("bigint").alias("ts_ms"),

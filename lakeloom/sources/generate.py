@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.bands import _col
 from lakeloom.functions.draws import choice, digest, draw, uniform_int
-from lakeloom.functions.money import from_cents
+from lakeloom.functions.money import discounted_cents
 
 # Domains of the generated columns. Prices and discounts are in hundredths.
 AMOUNT = (1, 20)
@@ -58,7 +58,7 @@ def products(ids: DataFrame, seed: int = 0) -> DataFrame:
         F.col("id").cast("bigint").alias("id"),
         F.concat_ws(" ", choice(bits, 0, ADJECTIVES), choice(bits, 1, MATERIALS), choice(bits, 2, THINGS))
         .alias("name"),
-        from_cents(uniform_int(bits, 3, *PRICE_CENTS)).cast("double").alias("price"),
+        (uniform_int(bits, 3, *PRICE_CENTS) / 100.0).alias("price"),
     )
 
 
@@ -74,12 +74,11 @@ def orders(ids: DataFrame, users: int, products: int, until: str, seed: int = 0)
         uniform_int(what, 2, *PRICE_CENTS).alias("price_cents"),
         uniform_int(who, 2, 1, YEAR_SECONDS).alias("age"),
     )
-    # price * (100 - discount) / 100, rounded half up to cents: whole-number arithmetic in ten-thousandths of cents.
-    final_cents = F.call_function("div", _col("price_cents") * (10_000 - _col("percent")) + 5_000, F.lit(10_000))
+    final_cents = discounted_cents(_col("price_cents"), _col("percent"))
     return drawn.select(
         "user_id", "product_id", "amount",
-        from_cents("percent").cast("double").alias("discount"),
-        from_cents("price_cents").cast("double").alias("price"),
-        from_cents(final_cents).cast("double").alias("final_price"),
+        (_col("percent") / 100.0).alias("discount"),
+        (_col("price_cents") / 100.0).alias("price"),
+        (final_cents / 100.0).alias("final_price"),
         (F.lit(until).cast("timestamp_ntz") - F.make_dt_interval(secs=_col("age").cast("decimal(18,6)"))).alias("date"),
     )
