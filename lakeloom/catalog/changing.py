@@ -11,6 +11,7 @@ from lakeloom.catalog.registry import doubles, query
 from lakeloom.functions.bands import price_range
 from lakeloom.operators import cdc, merge, scd2
 from lakeloom.plans import gold
+from lakeloom.sources.lake import committed
 
 KEY = ["user_id"]
 LATE = ("view", "signup")  # event types whose changes arrive in a second batch
@@ -22,7 +23,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The changes in two batches that interleave in time, so that the second holds many late changes."""
-    rows = cdc.accepted(parsed(spark, sf_dir))
+    rows = committed(cdc.accepted(parsed(spark, sf_dir)), "changes")
     late = F.coalesce(F.col("event_type").isin(*LATE), F.lit(False))  # a delete has no event type
     return rows.filter(~late), rows.filter(late)
 
@@ -73,12 +74,8 @@ def cdc_ops(spark, sf_dir):
     }
     sent = inputs.messages(spark, sf_dir).select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("variant"), changed.alias("value")) for name, changed in variants.items()])))
-    rows = None
-    for name in variants:
-        part = cdc.parse(sent.filter(F.col("variant") == name), inputs.CHANGE_FIELDS, KEY)
-        part = part.groupBy(F.lit(name).alias("variant"), "kind").agg(F.count(F.lit(1)).alias("messages"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    kinds = cdc.parse(sent, inputs.CHANGE_FIELDS, KEY, keep=["variant"])
+    return kinds.groupBy("variant", "kind").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query(f"WITH {LAST} SELECT * FROM last")

@@ -35,7 +35,8 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((flag == "A") & (discount == 5), 60).when(discount == 1, None).otherwise(discount).alias("discount"),
         *[F.col(name).cast("decimal(12,2)").alias(name) for name in ("price", "final_price")],
         "date", "l_orderkey", "l_linenumber", "l_suppkey")
-    return hurt.unionByName(hurt.filter("discount = 3"))
+    copies = F.when(F.col("discount") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return hurt.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 NULL_COUNTS = " UNION ALL ".join(

@@ -16,7 +16,7 @@ from lakeloom.schemas import project, wide
 from lakeloom.session import fresh_dir
 from lakeloom.sinks.serving import sorted_export
 from lakeloom.sources.jdbc import month_predicates, range_predicates
-from lakeloom.sources.lake import LakeTable
+from lakeloom.sources.lake import LakeTable, committed
 
 LOAD_DATE = "2024-10-10"
 TOTAL_EDGES = [1000, 101000, 201000, 301000, 401000, 500000]
@@ -131,7 +131,7 @@ def silver_products(spark, sf_dir):
            UNION ALL
            SELECT 'products', count(*) FILTER (label = '905-1000'), count(*) FILTER (label <> '905-1000') FROM parts""")
 def silver_rejects(spark, sf_dir):
-    """How many rows each domain keeps and rejects."""
+    """How many rows of the bronze tables each domain keeps and rejects; both sides read only their own partitions."""
     cases = [
         ("orders", bronze.orders(inputs.orders_raw(spark, sf_dir)), silver.orders_domain((1996, 2000))),
         ("users", bronze.users(inputs.users(spark, sf_dir)), silver.users_domain((1920, 1990))),
@@ -139,7 +139,9 @@ def silver_rejects(spark, sf_dir):
     ]
     parts = []
     for source, rows, domain in cases:
-        kept, rejected = silver.domain_filter(rows, domain)
+        table = LakeTable(fresh_dir(spark, f"bronze_{source}"), bronze.PARTITIONS[source])
+        table.overwrite(rows)
+        kept, rejected = silver.domain_filter(table.read(spark), domain)
         both = kept.select(F.lit(1).alias("ok")).unionByName(rejected.select(F.lit(0).alias("ok")))
         parts.append(both.groupBy(F.lit(source).alias("source")).agg(
             F.sum("ok").alias("kept"), F.sum(1 - F.col("ok")).alias("rejected")))
@@ -183,7 +185,7 @@ def bronze_orders_roundtrip(spark, sf_dir):
 def gold_roundtrip(spark, sf_dir):
     """The summary mart overwritten twice: the second write replaces the first."""
     table = LakeTable(fresh_dir(spark, "gold"), ("year", "month"))
-    mart = summary(spark, sf_dir)
+    mart = committed(summary(spark, sf_dir), "summary")
     table.overwrite(mart)
     table.overwrite(mart)
     return doubles(table.read(spark))
@@ -197,8 +199,8 @@ def replace_partitions(spark, sf_dir):
     """The months of one year loaded again with other amounts, twice: replaced once, and all other months untouched."""
     table = _orders_table(spark, "silver_orders")
     table.replace_partitions(silver_orders(spark, sf_dir))
+    fix = committed(table.read(spark, "year = 1998").withColumn("amount", F.col("amount") * 2), "fix")
     for _ in range(2):
-        fix = silver_orders(spark, sf_dir).filter("year = 1998").withColumn("amount", F.col("amount") * 2)
         table.replace_partitions(fix)
     return _order_rows(table.read(spark))
 

@@ -10,6 +10,7 @@ from lakeloom.catalog.registry import doubles, query
 from lakeloom.functions.bands import SPEND_SEGMENTS, segment
 from lakeloom.functions.money import discounted
 from lakeloom.plans import bronze, gold, silver
+from lakeloom.sources.lake import committed
 
 
 def silver_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def segment_counts(spark, sf_dir):
            SELECT * FROM (SELECT *, CAST(rank() OVER (ORDER BY total_revenue_after_discount DESC) AS INTEGER) AS rank
                           FROM summary) WHERE rank <= 10""")
 def top_products(spark, sf_dir):
-    return doubles(gold.top_products_by_revenue(summary(spark, sf_dir)))
+    return doubles(gold.top_products_by_revenue(committed(summary(spark, sf_dir), "summary")))
 
 
 @query(f"""WITH {sql.SUMMARY}
@@ -89,4 +90,5 @@ def top_products(spark, sf_dir):
                                                      ORDER BY total_revenue_after_discount DESC) AS INTEGER) AS rank
                           FROM summary) WHERE rank <= 10""")
 def top_products_monthly(spark, sf_dir):
-    return doubles(gold.top_products_by_revenue(summary(spark, sf_dir), by=["year", "month"]))
+    mart = committed(summary(spark, sf_dir), "summary")
+    return doubles(gold.top_products_by_revenue(mart, by=["year", "month"]))

@@ -6,7 +6,7 @@ source, never by arrival: a stream gives no order across batches.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +37,13 @@ def _decode(field: Column, encoding: str | None, kind: str) -> Column:
 
 
 def parse(df: DataFrame, fields: Mapping[str, str], keys: list[str],
-          encodings: Mapping[str, str] | None = None, value: str = "value") -> DataFrame:
+          encodings: Mapping[str, str] | None = None, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Message text or bytes in column `value` to: kind, op, ts_ms, lsn, deleted, the row's fields, and raw.
 
     kind is 'upsert' or 'delete' for a usable change, else the reason it is not one: 'empty' (no message), 'malformed'
     (not JSON, or a field of a wrong type), 'unknown' (other op), 'incomplete' (no row image, null key or no time).
     The fields come from `after`, or from `before` for a delete. raw keeps the text of unusable messages.
-    `encodings` says how temporal fields are written (see `WIRE_TYPES`); without one they would be misread silently.
+    `keep` carries other columns of `df` along. `encodings` says how temporal fields are written (see `WIRE_TYPES`); without one they would be misread silently.
     """
     encodings = encodings or {}
     wire = ", ".join(f"`{name}`: {WIRE_TYPES[encodings[name]] if name in encodings else kind}"
@@ -53,18 +53,18 @@ def parse(df: DataFrame, fields: Mapping[str, str], keys: list[str],
     text = F.col(value).cast("string")
     # Exploding a one-element array keeps the optimizer from moving filters on the fields below the parser, where each
     # field they use would parse the message once more.
-    parsed = df.select(text.alias("_text"), F.explode(F.array(
+    parsed = df.select(*keep, text.alias("_text"), F.explode(F.array(
         F.from_json(text, message, {"columnNameOfCorruptRecord": "_damaged"}))).alias("_m"))
     image = F.when(F.col("_m.op") == DELETE_OP, F.col("_m.before")).otherwise(F.col("_m.after"))
     flat = parsed.select(
-        "_text", F.col("_m.op").alias("op"), F.col("_m.ts_ms").try_cast("bigint").alias("ts_ms"),
+        *keep, "_text", F.col("_m.op").alias("op"), F.col("_m.ts_ms").try_cast("bigint").alias("ts_ms"),
         F.coalesce(F.col("_m.source.lsn"), F.lit(0)).alias("lsn"),
         (F.col("_m").isNull() | F.col("_m._damaged").isNotNull()).alias("_bad"), image.alias("_row"))
-    flat = flat.select("_text", "op", "ts_ms", "lsn", "_bad", *[
+    flat = flat.select(*keep, "_text", "op", "ts_ms", "lsn", "_bad", *[
         _decode(F.col(f"_row.{name}"), encodings.get(name), kind).alias(name) for name, kind in fields.items()])
     kind = classify(keys)
     usable = kind.isin(*ACCEPTED)
-    return flat.select(kind.alias("kind"), "op", "ts_ms", "lsn", (F.col("op") == DELETE_OP).alias("deleted"), *fields,
+    return flat.select(*keep, kind.alias("kind"), "op", "ts_ms", "lsn", (F.col("op") == DELETE_OP).alias("deleted"), *fields,
                        F.when(~usable, F.col("_text")).alias("raw"))
 
 

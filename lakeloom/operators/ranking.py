@@ -12,7 +12,8 @@ def top_by_rank(df: DataFrame, value: str, n: int = 10, by: list[str] | None = N
     Ranks skip after ties and all ties at rank n are kept, so the result may hold more than n rows. Ranking in one
     window would send every tied row to one task. Instead, `row_number() <= n` (limited before the shuffle to n rows per
     task and group) gives the n leading rows; the rank of a value is the smallest row number it has there. Joining
-    these at most n values per group back to the data finds the ties where they are.
+    these at most n values per group back to the data finds the ties where they are. `df` is read twice, so it should be
+    a table rather than a long plan.
     """
     by = by or []
     window = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())

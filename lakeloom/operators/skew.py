@@ -5,11 +5,11 @@ shuffle. Joins and windows are not: all rows of the key would meet in one task.
 of a large input and split only those:
 
 * `skew_join` spreads the fact rows of a hot key over several shards and copies its dimension rows to each;
-* `time_slices` cuts the timeline of a hot key into slices, for operators that can stitch slices together.
+* `add_slices` cuts the timeline of a hot key into slices, for operators that can stitch slices together.
 
-Hot keys are found with one pass over the key columns and a mergeable frequent-items sketch, so finding them shuffles
-nothing but sketches. The list only steers how rows are spread; a wrong entry costs time and never changes a result.
-It has at most `HOT_KEYS` entries, which reach the plan as literals, so both sides of a join see the same list.
+Hot keys are found with one pass over the key columns and mergeable frequent-items sketches, so little is shuffled to
+find them. The list only steers how rows are spread; a wrong or missing entry costs time and never changes a result.
+It has at most `HOT_KEYS` entries, and both sides of a join see the same list, since it is fetched once.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 128
-SKETCH_ITEMS = 10_000
+HOT_KEYS = 1024
+SKETCH_ITEMS = 16_384
+# Sketches are merged in this many groups of tasks first, so that no task merges those of all others.
+SKETCH_GROUPS = 256
 # Rows of one key that one task handles well. A key with fewer is not worth splitting.
 TASK_ROWS = 4_000_000
-# Inputs that are estimated smaller than this cannot hold a partition worth splitting and are not examined.
+# Jobs that read less than this cannot have a partition worth splitting and are not examined.
 EXAMINE_BYTES = 4 << 30
 
 
@@ -59,17 +61,24 @@ def broadcastable(df: DataFrame) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of the relations a frame is computed from."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def hot_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS,
              examine_bytes: int = EXAMINE_BYTES) -> HotKeys:
     """Keys of `df` with more than `task_rows` rows: at most `HOT_KEYS` of them, by estimated frequency."""
     names = tuple(keys)
-    if estimated_bytes(df) < examine_bytes:
+    if input_bytes(df) < examine_bytes:
         return HotKeys(names, {})
-    row = (df.select(F.xxhash64(*keys).alias("h"))
-           .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")).first())
-    found = row.top or []
-    return HotKeys(names, {item["item"]: _shards(item["count"], task_rows)
-                           for item in found if item["count"] > task_rows})
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    tops = (df.select(F.xxhash64(*keys).alias("h"), group.alias("g")).groupBy("g")
+            .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")))
+    found = (tops.select(F.inline("top")).groupBy("item").agg(F.sum("count").alias("rows"))
+             .filter(F.col("rows") > task_rows).orderBy(F.col("rows").desc()).limit(HOT_KEYS).collect())
+    return HotKeys(names, {row["item"]: _shards(row["rows"], task_rows) for row in found})
 
 
 def _shards(rows: int, task_rows: int) -> int:
@@ -99,27 +108,28 @@ def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner"
     return sharded.join(copied, [*on, "_shard"], how).drop("_shard")
 
 
-def time_slices(df: DataFrame, keys: list[str], time: str, task_rows: int = TASK_ROWS,
-                examine_bytes: int = EXAMINE_BYTES) -> Column | None:
-    """Slice number of a row: rows of a key in slice i are all earlier than those in slice i+1.
+def hot_spans(df: DataFrame, keys: list[str], time: str, task_rows: int = TASK_ROWS,
+              examine_bytes: int = EXAMINE_BYTES) -> DataFrame | None:
+    """How to cut the timelines of the hot keys of `df`: rows (h, lo, width), one per hot key; None if there is none.
 
-    None when no key is hot; else keys that are not hot have the single slice 0. The timeline of a hot key, first to last time found in `df`, is cut
-    into equal slices, four times as many as it has shards, to leave room for uneven activity. `time` is a timestamp
-    without null; the column can be used on any frame with the same keys and time column.
+    The time from a key's first to its last row is cut into equal slices, four times as many as the key has shards, to
+    leave room for uneven activity. `time` is a timestamp without null.
     """
     hot = hot_keys(df, keys, task_rows, examine_bytes)
     if not hot.shards:
         return None
-    micros = _micros(time)
-    spans = (df.select(hot.hash().alias("h"), micros.alias("t")).filter(F.col("h").isin(list(hot.shards)))
+    spans = (df.select(hot.hash().alias("h"), _micros(time).alias("t")).filter(F.col("h").isin(list(hot.shards)))
              .groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect())
-    column = F.lit(0).cast("bigint")
-    for span in spans:
-        slices = 4 * hot.shards[span.h]
-        width = max(1, (span.hi - span.lo) // slices + 1)
-        place = F.floor((micros - span.lo) / F.lit(width)).cast("bigint")
-        column = F.when(hot.hash() == F.lit(span.h), place).otherwise(column)
-    return column
+    cuts = [(span.h, span.lo, (span.hi - span.lo) // (4 * hot.shards[span.h]) + 1) for span in spans]
+    return df.sparkSession.createDataFrame(cuts, "_h bigint, _lo bigint, _width bigint")
+
+
+def add_slices(df: DataFrame, keys: list[str], time: str, spans: DataFrame) -> DataFrame:
+    """Add `_slice`: rows of a key in slice i are all earlier than those in slice i+1. Keys that are not hot have the
+    single slice 0. `spans` has at most `HOT_KEYS` rows, hence the broadcast."""
+    place = F.floor((_micros(time) - F.col("_lo")) / F.col("_width")).cast("bigint")
+    cut = df.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(spans), "_h", "left")
+    return cut.withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_h", "_lo", "_width")
 
 
 def _micros(time: str) -> Column:

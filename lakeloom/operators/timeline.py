@@ -1,6 +1,6 @@
 """Operators along the timeline of a key: the neighbouring event, and the event in force at a time.
 
-Both run a window per key. A hot key is cut into time slices (see `skew.time_slices`); within a slice the window runs as
+Both run a window per key. A hot key is cut into time slices (see `skew.add_slices`); within a slice the window runs as
 usual, and a second window over one row per key and slice carries the missing neighbour across slice borders.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.skew import EXAMINE_BYTES, TASK_ROWS, time_slices
+from lakeloom.operators.skew import EXAMINE_BYTES, TASK_ROWS, add_slices, hot_spans
 
 
 def with_neighbour(df: DataFrame, keys: list[str], time: str, order: list[str], columns: dict[str, str],
@@ -21,11 +21,11 @@ def with_neighbour(df: DataFrame, keys: list[str], time: str, order: list[str],
     """
     step = F.lead if forward else F.lag
     row = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-    piece = time_slices(df, keys, time, task_rows, examine_bytes)
-    if piece is None:
+    spans = hot_spans(df, keys, time, task_rows, examine_bytes)
+    if spans is None:
         moved = df.withColumn("_near", step(row).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        sliced = df.withColumn("_slice", piece)
+        sliced = add_slices(df, keys, time, spans)
         edge_of = F.min_by if forward else F.max_by
         edges = sliced.groupBy(*keys, "_slice").agg(edge_of(row, F.struct(*order)).alias("_edge"))
         across = Window.partitionBy(*keys).orderBy("_slice")
@@ -50,15 +50,16 @@ def as_of(facts: DataFrame, history: DataFrame, keys: list[str], time: str, sinc
     events = history.select(*keys, F.col(since).alias(time), F.lit(0).alias("_kind"), carried.alias("_row"))
     marked = facts.select(*keys, time, F.lit(1).alias("_kind"), F.struct(*payload).alias("_fact"))
     both = marked.unionByName(events, allowMissingColumns=True)
-    piece = time_slices(both, keys, time, task_rows, examine_bytes)
-    both = both.withColumn("_slice", F.lit(0) if piece is None else piece)
+    spans = hot_spans(both, keys, time, task_rows, examine_bytes)
+    if spans is not None:
+        both = add_slices(both, keys, time, spans)
 
     # Among versions that start together, only the one that ends last has any extent.
     order = [F.col(time), F.col("_kind"), F.col("_row._until").asc_nulls_last()]
-    group = keys if piece is None else [*keys, "_slice"]
+    group = keys if spans is None else [*keys, "_slice"]
     so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = both.withColumn("_row", F.last("_row", ignorenulls=True).over(so_far)).filter(F.col("_kind") == 1)
-    if piece is not None:
+    if spans is not None:
         start = F.struct(F.col(time), F.col("_row._until").isNull(), F.col("_row._until"))
         ends = both.groupBy(*group).agg(F.max_by("_row", F.when(F.col("_kind") == 0, start)).alias("_end"))
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

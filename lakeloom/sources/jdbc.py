@@ -64,11 +64,12 @@ def month_starts(start: datetime, end: datetime) -> list[datetime]:
         edges.append(edge)
 
 
-def month_predicates(column: str, start: datetime, end: datetime) -> list[str]:
-    """Disjoint half-open ranges, one per calendar month, covering `start` (included) to `end` (excluded)."""
+def month_predicates(column: str, start: datetime, end: datetime, pieces: int = 1) -> list[str]:
+    """Disjoint half-open ranges, `pieces` equal ones per calendar month, covering `start` (included) to `end` (excluded)."""
     if end <= start:
         return []
-    edges = month_starts(start, end)
+    months = month_starts(start, end)
+    edges = [a + (b - a) * i / pieces for a, b in zip(months, months[1:]) for i in range(pieces)] + [end]
     column = quoted(column)
     stamp = lambda moment: f"TIMESTAMP '{moment.isoformat(sep=' ', timespec='microseconds')}'"
     return [f"{column} >= {stamp(a)} AND {column} < {stamp(b)}" for a, b in zip(edges, edges[1:])]
@@ -95,7 +96,8 @@ def jdbc_range(spark: SparkSession, conn: JdbcConnection, table: str, key: str,
 
 
 def jdbc_months(spark: SparkSession, conn: JdbcConnection, table: str, column: str, start: datetime,
-                end: datetime) -> DataFrame:
-    """Read the rows dated `start` (included) to `end` (excluded), all months in parallel."""
-    predicates = month_predicates(column, start, end) or ["1 = 0"]
+                end: datetime, pieces: int = 1) -> DataFrame:
+    """Read the rows dated `start` (included) to `end` (excluded), all months in parallel; `pieces` cuts each month
+    further, where single months are too large for a task."""
+    predicates = month_predicates(column, start, end, pieces) or ["1 = 0"]
     return spark.read.jdbc(conn.url, table, predicates=predicates, properties=conn.properties())

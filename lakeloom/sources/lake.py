@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from lakeloom.session import fresh_dir
+
 
 def compact_by(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
     """Bring the rows of one table partition together before a partitioned write.
@@ -19,6 +21,14 @@ def compact_by(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame
     return df.hint("rebalance", *columns) if columns else df.hint("rebalance")
 
 
+def committed(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: for a result that several later steps read, which would
+    otherwise each compute it again, and which outlives the executors that made it."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class LakeTable:
     """A table of files below `path`, partitioned by columns.

@@ -65,6 +65,8 @@ def test_month_predicates_cover_once(spark):
     assert len(predicates) == 13
     counts = slice_counts(stamps, predicates).collect()
     assert {row.hits for row in counts} == {1} and len(counts) == 13
+    counts = slice_counts(stamps, jdbc.month_predicates("date", start, end, pieces=7)).collect()
+    assert {row.hits for row in counts} == {1} and len(counts) == 91
 
 
 def test_month_predicates_text():

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 LAZY = sorted(set(queries()) - {
     # These write tables when called; their reads are plain scans.
     "backfill_years", "batch_lifetime_value", "batch_top_products", "bronze_orders_roundtrip", "gold_roundtrip",
-    "replace_partitions", "scan_pruned", "serving_sorted", "stream_all", "stream_scd2", "stream_upsert"})
+    "replace_partitions", "scan_pruned", "serving_sorted", "silver_rejects", "stream_all", "stream_scd2", "stream_upsert"})
 
 
 def plan(df):

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators.skew import broadcastable, hot_keys, skew_join, time_slices
+from lakeloom.operators.skew import add_slices, broadcastable, hot_keys, hot_spans, skew_join
 from lakeloom.operators.timeline import as_of, with_neighbour
 from tests.conftest import rows
 
@@ -24,6 +24,11 @@ def test_hot_keys_are_found_and_cold_ones_are_not(spark, facts):
     assert list(hot.shards) == [seven] and hot.shards[seven] >= 16
 
 
+def test_no_hot_key_no_slices(spark):
+    df = events(spark, 300)
+    assert hot_spans(df, ["k"], "t", task_rows=10_000, examine_bytes=0) is None
+
+
 def test_small_inputs_are_not_examined(facts):
     assert hot_keys(facts, ["k"], task_rows=1).shards == {}
 
@@ -70,7 +75,7 @@ def events(spark, n=2000, seed=3):
 
 def test_time_slices_are_ordered_and_only_cut_hot_keys(spark):
     df = events(spark)
-    cut = df.withColumn("s", time_slices(df, ["k"], "t", **SMALL))
+    cut = add_slices(df, ["k"], "t", hot_spans(df, ["k"], "t", **SMALL)).withColumnRenamed("_slice", "s")
     assert cut.filter("k <> 1 AND s <> 0").count() == 0
     spans = cut.filter("k = 1").groupBy("s").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("s").collect()
     assert len(spans) > 20
