@@ -21,9 +21,14 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.parse(inputs.messages(spark, sf_dir), inputs.CHANGE_FIELDS, KEY)
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted changes as a table, as bronze would hold them: messages are parsed once, whatever follows."""
+    return committed(cdc.accepted(parsed(spark, sf_dir)), "changes")
+
+
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The changes in two batches that interleave in time, so that the second holds many late changes."""
-    rows = committed(cdc.accepted(parsed(spark, sf_dir)), "changes")
+    rows = changes(spark, sf_dir)
     late = F.coalesce(F.col("event_type").isin(*LATE), F.lit(False))  # a delete has no event type
     return rows.filter(~late), rows.filter(late)
 
@@ -111,17 +116,17 @@ def new_rows_anti(spark, sf_dir):
     return merge.new_rows(batch, customers.filter("c_acctbal >= 0"), ["c_custkey"])
 
 
-# Product table for the conditional merge: all but one type of part is present, each size up to 5 also as a closed version.
+# For the conditional merge: the table lacks one type of part and has a closed version of each, the source lacks another type.
 TODAY = "2024-10-10"
 MERGE_SOURCE_SQL = f"""source AS (SELECT p_partkey AS id, p_name AS name, p_retailprice + 10 AS price,
-         CASE WHEN p_size <= 15 THEN 'u' ELSE 'c' END AS operation FROM part WHERE p_size <= 30)"""
+         CASE WHEN p_size <= 15 THEN 'u' ELSE 'c' END AS operation FROM part WHERE p_type <> 'PROMO')"""
 
 
 @query(f"""WITH target AS (
              SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, DATE '2024-01-01' AS valid_from,
                     CAST(NULL AS DATE) AS valid_to, true AS is_current FROM part WHERE p_type <> 'ECONOMY'
              UNION ALL SELECT p_partkey, p_name, p_retailprice - 100, DATE '2023-01-01', DATE '2024-01-01', false
-             FROM part WHERE p_size <= 5),
+             FROM part),
            {MERGE_SOURCE_SQL}
            SELECT t.id, t.name, t.price, {sql.band('t.price', sql.PRICE_EDGES)} AS price_range, t.valid_from,
                   CASE WHEN t.is_current AND s.operation = 'u' THEN DATE '{TODAY}' ELSE t.valid_to END AS valid_to,
@@ -142,8 +147,8 @@ def merge_conditional(spark, sf_dir):
 
     price = F.col("p_retailprice")
     target = rows(parts.filter("p_type <> 'ECONOMY'"), price, "2024-01-01", None, True).unionByName(
-        rows(parts.filter("p_size <= 5"), price - 100, "2023-01-01", "2024-01-01", False))
-    source = parts.filter("p_size <= 30").select(
+        rows(parts, price - 100, "2023-01-01", "2024-01-01", False))
+    source = parts.filter("p_type <> 'PROMO'").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (price + 10).alias("price"),
         F.when(F.col("p_size") <= 15, "u").otherwise("c").alias("operation"))
     source = source.withColumns({"price_range": price_range("price"), "valid_from": day(TODAY), "valid_to": day(None),
@@ -197,7 +202,7 @@ def upsert_composite(spark, sf_dir):
 @query(HISTORY_SQL)
 def scd2_history(spark, sf_dir):
     """Versions of the whole change log."""
-    return scd2.visible(scd2.versions(cdc.accepted(parsed(spark, sf_dir)), KEY))
+    return scd2.visible(scd2.versions(changes(spark, sf_dir), KEY))
 
 
 @query(HISTORY_SQL)
@@ -221,7 +226,7 @@ def scd2_late(spark, sf_dir):
            SELECT * EXCLUDE (deleted) FROM versions WHERE NOT deleted""")
 def scd2_tracked(spark, sf_dir):
     """Versions that differ in the event type; changes of the value alone open none."""
-    return scd2.visible(scd2.versions(cdc.accepted(parsed(spark, sf_dir)), KEY, tracked=["event_type"]))
+    return scd2.visible(scd2.versions(changes(spark, sf_dir), KEY, tracked=["event_type"]))
 
 
 # Product history: per part and ship year one change, a delete where the year has a single line.
@@ -247,7 +252,7 @@ def product_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                 AND s.date >= h.valid_from AND (h.valid_to IS NULL OR s.date < h.valid_to)""")
 def orders_asof_product(spark, sf_dir):
     """Orders with the product version in force on their date."""
-    orders = silver_orders(spark, sf_dir).select("user_id", "product_id", "date", "amount")
+    orders = committed(silver_orders(spark, sf_dir).select("user_id", "product_id", "date", "amount"), "silver_orders")
     return gold.enrich_orders(orders, product_history(spark, sf_dir), version="as_of", columns=["price"])
 
 
@@ -257,7 +262,7 @@ def orders_asof_product(spark, sf_dir):
            WHERE NOT h.deleted AND h.valid_to IS NULL""")
 def orders_current_product(spark, sf_dir):
     """Orders with the current product version: one row per order, however many versions there are."""
-    orders = silver_orders(spark, sf_dir).select("user_id", "product_id", "date", "amount")
+    orders = committed(silver_orders(spark, sf_dir).select("user_id", "product_id", "date", "amount"), "silver_orders")
     return gold.enrich_orders(orders, product_history(spark, sf_dir), columns=["price"])
 
 

@@ -41,7 +41,7 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
     prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice"))
-    joined = skew_join(skew_join(lines, heads, ["l_orderkey"]), prices, ["l_partkey"])
+    joined = skew_join(skew_join(lines, heads, ["l_orderkey"]), prices, ["l_partkey"], examine=lines)
     percent = cents("l_discount")
     return joined.select(
         F.col("o_custkey").alias("user_id"),

@@ -164,7 +164,7 @@ def _order_rows(df: DataFrame) -> DataFrame:
 def scan_pruned(spark, sf_dir):
     """The bronze table read in two slices; each scan lists and reads only its own partitions."""
     table = _orders_table(spark, "scan_pruned")
-    table.append(bronze.orders(inputs.orders_raw(spark, sf_dir)))
+    table.append(bronze.orders(inputs.orders_raw(spark, sf_dir).select(*inputs.ORDER_COLUMNS)))
     slices = [table.read(spark, where).groupBy(F.lit(name).alias("slice"), "year", "month").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("bigint")).alias("amount"))
         for name, where in (("early", "year <= 1997"), ("late", "year > 1997"))]
@@ -175,7 +175,7 @@ def scan_pruned(spark, sf_dir):
 def bronze_orders_roundtrip(spark, sf_dir):
     """Two appends, by slices of years, then a read of the whole table."""
     table = _orders_table(spark, "bronze_orders")
-    rows = bronze.orders(inputs.orders_raw(spark, sf_dir))
+    rows = bronze.orders(inputs.orders_raw(spark, sf_dir).select(*inputs.ORDER_COLUMNS))
     table.append(rows.filter("year <= 1997"))
     table.append(rows.filter("year > 1997"))
     return _order_rows(table.read(spark))
@@ -237,7 +237,8 @@ def serving_users(spark, sf_dir):
 def serving_sorted(spark, sf_dir):
     """Silver orders exported in key order and read back."""
     path = fresh_dir(spark, "serving_orders")
-    sorted_export(silver_orders(spark, sf_dir), path, SERVING_KEYS["orders"])
+    # Spark first samples what it sorts by range, so the rows come from a table.
+    sorted_export(committed(silver_orders(spark, sf_dir), "silver_orders"), path, SERVING_KEYS["orders"])
     return _order_rows(spark.read.parquet(path))
 
 

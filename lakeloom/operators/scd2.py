@@ -26,8 +26,9 @@ def versions(changes: DataFrame, keys: list[str], tracked: list[str] | None = No
     """
     fields = [name for name in changes.columns if name not in INTERVAL]
     payload = [name for name in fields if name not in (*keys, *SEQUENCE, "deleted")]
-    events = keep_last(changes.select(*fields), [*keys, *SEQUENCE], ["deleted", *payload])
-    events = events.withColumn("valid_from", F.timestamp_millis("ts_ms").cast("timestamp_ntz"))
+    dated = changes.select(*fields).withColumn("valid_from", F.timestamp_millis("ts_ms").cast("timestamp_ntz"))
+    events = keep_last(dated, [*keys, *SEQUENCE], ["deleted", *payload])
+    skew = {"examine": dated, **skew}  # before the shuffle of the deduplication
     if tracked is not None:
         events = _drop_unchanged(events, keys, tracked, skew)
     chained = with_neighbour(events, keys, "valid_from", SEQUENCE, {"valid_to": "valid_from"}, **skew)

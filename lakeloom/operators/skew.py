@@ -87,19 +87,21 @@ def _shards(rows: int, task_rows: int) -> int:
 
 
 def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", task_rows: int = TASK_ROWS,
-              examine_bytes: int = EXAMINE_BYTES) -> DataFrame:
+              examine_bytes: int = EXAMINE_BYTES, examine: DataFrame | None = None) -> DataFrame:
     """Join a large frame to one whose rows per key are few, whatever the distribution of the large one.
 
     A small `dim` is broadcast by Spark and needs no splitting. Otherwise fact rows of hot keys are sharded by the
     content of the whole row, and dimension rows of those keys are copied once per shard. Identical fact rows share
     a shard; Spark's adaptive skew join, which splits by position, takes over for them.
+    `examine` is where hot keys are looked for, `fact` itself by default: when `fact` is the outcome of a long plan, name
+    the table its keys come from, so that the plan is not run once more for it.
     `how` may be inner, left, left_semi or left_anti: each fact row is looked up in exactly one shard.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
     if broadcastable(dim):
         return fact.join(dim, on, how)
-    hot = hot_keys(fact, on, task_rows, examine_bytes)
+    hot = hot_keys(fact if examine is None else examine, on, task_rows, examine_bytes)
     if not hot.shards:
         return fact.join(dim, on, how)
     count = hot.shards_of()

@@ -13,15 +13,16 @@ from lakeloom.operators.skew import EXAMINE_BYTES, TASK_ROWS, add_slices, hot_sp
 
 
 def with_neighbour(df: DataFrame, keys: list[str], time: str, order: list[str], columns: dict[str, str],
-                   forward: bool = True, task_rows: int = TASK_ROWS,
-                   examine_bytes: int = EXAMINE_BYTES) -> DataFrame:
+                   forward: bool = True, task_rows: int = TASK_ROWS, examine_bytes: int = EXAMINE_BYTES,
+                   examine: DataFrame | None = None) -> DataFrame:
     """Add values of the following (or, with `forward=False`, preceding) row of the key; null where there is none.
 
     `columns` maps a new column to the column it is taken from. `order` is unique within a key and sorts like `time`.
+    `examine` is where hot keys are looked for, if not in `df` (see `skew_join`); it has the key and time columns.
     """
     step = F.lead if forward else F.lag
     row = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-    spans = hot_spans(df, keys, time, task_rows, examine_bytes)
+    spans = hot_spans(df if examine is None else examine, keys, time, task_rows, examine_bytes)
     if spans is None:
         moved = df.withColumn("_near", step(row).over(Window.partitionBy(*keys).orderBy(*order)))
     else:

@@ -6,7 +6,7 @@ from lakeloom.session import build
 @pytest.fixture(scope="session")
 def spark():
     session = build("tests", "local[8]", conf={
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

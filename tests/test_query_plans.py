@@ -19,16 +19,10 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", LAZY)
-def test_no_python_no_pairs(spark, name):
+def test_no_python_no_pairs_no_forced_broadcast(spark, no_broadcast, name):
     text = plan(queries()[name](spark, SMALL))
     assert "Python" not in text and "Arrow" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
-@pytest.mark.parametrize("name", LAZY)
-def test_joins_without_broadcast_have_keys(spark, no_broadcast, name):
-    text = plan(queries()[name](spark, SMALL))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     broadcasts = text.count("BroadcastHashJoin")
     assert broadcasts == (1 if name == "top_products" else 0)  # at most ten rows there
 

@@ -44,11 +44,13 @@ def test_skew_join_equals_join(spark, facts, no_broadcast, how):
 
 def test_skew_join_spreads_the_hot_key(spark, facts, no_broadcast):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
         joined = skew_join(facts, spark.range(400).withColumnRenamed("id", "k"), ["k"], **SMALL)
         sizes = [r[1] for r in joined.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sizes) > 4 and max(sizes) < 600
 
 
