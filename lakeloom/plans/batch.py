@@ -33,6 +33,9 @@ class Lake:
     def silver(self, name: str) -> LakeTable:
         return LakeTable(f"{self.root}/silver/{name}", silver.PARTITIONS[name], self.fmt)
 
+    def rejects(self, name: str) -> LakeTable:
+        return LakeTable(f"{self.root}/rejects/{name}", bronze.PARTITIONS[name], self.fmt)
+
     def gold(self, name: str) -> LakeTable:
         parts = ("year", "month") if name == "sales_summary_by_product" else ()
         return LakeTable(f"{self.root}/gold/{name}", parts, self.fmt)
@@ -46,11 +49,13 @@ def load_bronze(lake: Lake, sources: Mapping[str, DataFrame]) -> None:
 
 def load_silver(spark: SparkSession, lake: Lake, as_of: str | None = None,
                 domains: Mapping[str, Column] | None = None) -> None:
-    """Silver from bronze. `domains` names the rows a table accepts (see `silver.domain_filter`); by default all."""
+    """Silver from bronze. `domains` names the rows a table accepts (see `silver.domain_filter`), by default all; the others
+    are kept as a table of rejects."""
     for name in TABLES:
         rows = lake.bronze(name).read(spark)
         if domains and name in domains:
-            rows, _ = silver.domain_filter(rows, domains[name])
+            rows, rejected = silver.domain_filter(rows, domains[name])
+            lake.rejects(name).overwrite(rejected)
         made = silver.orders(rows) if name == "orders" else getattr(silver, name)(rows, as_of)
         lake.silver(name).overwrite(made)
 

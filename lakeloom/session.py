@@ -21,15 +21,23 @@ RUNTIME = {
 _local_dirs: dict[str, str] = {}
 
 
+def partitions_for(shuffle_bytes: int, per_task: int = 128 << 20, least: int = 200) -> int:
+    """Shuffle partitions that keep a task's share of `shuffle_bytes` near `per_task`, small enough to sort in memory.
+    Too many do no harm, as adaptive execution joins small ones; too few make every task spill."""
+    return max(least, -(-shuffle_bytes // per_task))
+
+
 def build(app: str = "lakeloom", master: str | None = None, packages: tuple[str, ...] = (),
-          conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with the settings above; `packages` adds optional connectors (JDBC drivers, Kafka, Delta)."""
+          conf: dict[str, str] | None = None, shuffle_bytes: int | None = None) -> SparkSession:
+    """A session with the settings above; `packages` adds optional connectors (JDBC drivers, Kafka, Delta), and
+    `shuffle_bytes`, the size of the largest shuffle expected, sets the number of shuffle partitions."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if packages:
         builder = builder.config("spark.jars.packages", ",".join(packages))
-    for key, value in {**RUNTIME, **(conf or {})}.items():
+    sized = {} if shuffle_bytes is None else {"spark.sql.shuffle.partitions": str(partitions_for(shuffle_bytes))}
+    for key, value in {**RUNTIME, **sized, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

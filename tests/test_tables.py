@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakeloom import schemas
 from lakeloom.plans import bronze, gold, silver
 from lakeloom.plans.batch import Lake, backfill, load_gold, load_silver, run_batch
-from lakeloom.session import fresh_dir, shared_dir
+from lakeloom.session import fresh_dir, partitions_for, shared_dir
 from lakeloom.sinks.serving import sorted_export
 from lakeloom.sources import generate
 from lakeloom.sources.lake import LakeTable
@@ -116,6 +116,10 @@ def test_shared_dir_is_the_one_the_session_names(spark):
     assert fresh_dir(spark, "x").startswith(shared_dir(spark)) and fresh_dir(spark, "x") != fresh_dir(spark, "x")
 
 
+def test_partitions_follow_the_shuffle():
+    assert partitions_for(1) == 200 and partitions_for(1 << 40) == 8192
+
+
 def test_project_and_defaults(spark):
     df = spark.createDataFrame([(1, None, "2.5", "extra")], "user_id int, discount double, cost string, other string")
     got = schemas.project(df, {"user_id": "bigint", "discount": "float", "price": "double", "date": "date"},
@@ -183,6 +187,7 @@ def test_batch_load_with_domains(spark, tmp_path):
     lake = Lake(str(tmp_path))
     run_batch(spark, lake, sources(spark), "2024-10-10", domains={"orders": silver.orders_domain((2024, 2024))})
     assert rows(lake.silver("orders").read(spark).select("year").distinct()) == [(2024,)]
+    assert rows(lake.rejects("orders").read(spark).select("year").distinct()) == [(2023,)]
 
 
 def test_summary_counts_each_order_once_despite_versions(spark):
