@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.shared import CACHED_WORDS, map_rows
+from lakeloom.llm.shared import CACHED_WORDS, kept, map_rows
 from lakeloom.sources.lake import committed
 
 PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
@@ -79,7 +79,7 @@ def tokenise(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int =
     whose only id is `end_id`.
     """
     def start():
-        ids_of = TextIds(tokenizer, by_word)
+        ids_of = kept("tokenizer", (tokenizer, by_word), lambda: TextIds(tokenizer, by_word))
 
         def pieces(row: tuple) -> Iterator[tuple]:
             doc_id, text = row

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.catalog.inputs import table
-from lakeloom.llm import packing
+from lakeloom.llm import langid, licences, packing, quality
+from lakeloom.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,28 @@ def token_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(licences.oracle())
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in each document that names any."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learnt from labelled ones whose crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 5) == 0
+    return quality.score(docs, quality.train(docs, labels, ~held_out), held_out, threshold=0.3)
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from documents whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    return langid.predict(docs, langid.train(docs.filter(~held_out)), held_out)
+
+
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 2048 ids."""

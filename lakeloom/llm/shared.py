@@ -65,6 +65,16 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by this Python worker for its next tasks; one object of each kind, the last one asked for."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = key, make()
+    return _kept[kind][1]
+
+
 def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     return zip(*(batch.column(name).to_pylist() for name in columns))
 
@@ -92,7 +102,8 @@ def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
 
 _SPARK_NAMES = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double",
                 pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>",
-                pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>"}
+                pa.list_(pa.int32()): "array<int>",
+                pa.list_(pa.float64()): "array<double>", pa.list_(pa.string()): "array<string>"}
 
 
 def map_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[[tuple], Iterator[tuple]]],
