@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.catalog.inputs import table
-from lakeloom.llm import html_text, langid, licences, packing, quality, warc
+from lakeloom.llm import html_text, langid, licences, packing, quality, topk, warc
 from lakeloom.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), token_file(), length=2048, end_id=1)
+
+
+@query(topk.ORACLE)
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
