@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.catalog.inputs import table
-from lakeloom.llm import html_text, langid, licences, packing, quality, topk, warc
+from lakeloom.llm import html_text, langid, licences, line_dedup, packing, quality, topk, warc
 from lakeloom.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every 50th vector with all others."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query(line_dedup.ORACLE)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents that an earlier line repeats, within one word."""
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
