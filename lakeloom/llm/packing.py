@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.shared import CACHED_WORDS, kept, map_rows
+from lakeloom.llm.shared import CACHED_WORDS, arrow_schema, batched, bounded_batches, kept, rows_of
 from lakeloom.sources.lake import committed
 
 PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
@@ -43,25 +43,66 @@ class TextIds:
     """
 
     def __init__(self, path: str, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that are normalised and split already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = by_word
-        self.cache: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word or not self._plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = PRE_TOKEN.findall(text.lower())
-        if new := {w for w in words if w not in self.cache}:
-            if len(self.cache) + len(new) > CACHED_WORDS:
-                self.cache.clear()
-                new = set(words)
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forget all words. Word w has the ids flat[starts[w]:starts[w + 1]]."""
+        self.index: dict[str, int] = {}
+        self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. New words of all of them are tokenised together."""
+        split = [PRE_TOKEN.findall(text.lower()) if self.by_word and self._plain(text) else None for text in texts]
+        rows = [None if words is None else self._rows(words) for words in split]
+        unknown = [np.flatnonzero(row < 0).tolist() if row is not None else () for row in rows]
+        if new := {words[i] for words, missing in zip(split, unknown) for i in missing}:
+            if len(self.index) + len(new) > CACHED_WORDS:
+                self._empty()
+                new = {word for words in split if words for word in words}
+                unknown = [range(len(words)) if words else () for words in split]
             new = list(new)
-            for word, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.cache[word] = encoded.ids
-        return np.fromiter(itertools.chain.from_iterable(map(self.cache.__getitem__, words)), dtype="<u4")
+            for at in range(0, len(new), 4096):
+                self._learn(new[at:at + 4096])
+            for words, row, missing in zip(split, rows, unknown):
+                for i in missing:
+                    row[i] = self.index[words[i]]
+        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4") if row is None
+                else self._ids(row) for text, row in zip(texts, rows)]
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def _ids(self, rows: np.ndarray) -> np.ndarray:
+        first = self.starts[rows]
+        sizes = self.starts[rows + 1] - first
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Tokenise new words, all at once: white space between them keeps them apart."""
+        encoded = self.of_words.encode(" ".join(words), add_special_tokens=False)
+        sizes = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(words))
+        if len(sizes) != len(words) or not sizes.all():
+            raise ValueError("this vocabulary does not keep words apart; tokenise whole texts with by_word=False")
+        known = len(self.index)
+        used = int(self.starts[known])
+        while known + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while used + len(encoded.ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used:used + len(encoded.ids)] = encoded.ids
+        self.starts[known + 1:known + 1 + len(words)] = used + np.cumsum(sizes)
+        self.index.update(zip(words, range(known, known + len(words))))
 
     def _plain(self, text: str) -> bool:
         try:
@@ -78,20 +119,36 @@ def tokenise(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int =
     (doc_id, start, length, ids_crc32, doc_tokens), with `with_ids` also the ids themselves. A null text is an empty one,
     whose only id is `end_id`.
     """
-    def start():
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = kept("tokenizer", (tokenizer, by_word), lambda: TextIds(tokenizer, by_word))
-
-        def pieces(row: tuple) -> Iterator[tuple]:
-            doc_id, text = row
-            ids = np.append(ids_of(text or ""), np.uint32(end_id)).astype("<u4")
-            for at in range(0, len(ids), length):
-                part = ids[at:at + length]
-                piece = doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)
-                yield (*piece, part.tolist()) if with_ids else piece
-        return pieces
-
-    out = PIECE | {"ids": pa.list_(pa.int64())} if with_ids else PIECE
-    return map_rows(docs, ["doc_id", "text"], start, out)
+        return batched((piece for batch in batches for rows in portions(rows_of(batch, "doc_id", "text"))
+                        for (doc_id, _), ids in zip(rows, ids_of([text or "" for _, text in rows]))
+                        for piece in pieces(doc_id, ids)), schema)
+
+    def pieces(doc_id: int, ids: np.ndarray) -> Iterator[tuple]:
+        ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+        for at in range(0, len(ids), length):
+            part = ids[at:at + length]
+            piece = doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)
+            yield (*piece, part.tolist()) if with_ids else piece
+
+    schema = arrow_schema(PIECE | {"ids": pa.list_(pa.int64())} if with_ids else PIECE)
+    bounded_batches(docs.sparkSession)
+    ddl = ", ".join(f"{name} bigint" for name in PIECE) + (", ids array<bigint>" if with_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(apply, ddl)
+
+
+def portions(rows: Iterator[tuple], chars: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows together up to about `chars` characters of text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class Bins:
