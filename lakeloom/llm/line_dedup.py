@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.llm.shared import may_hold
 from lakeloom.sources.lake import committed
 
 LINE_END = "\n"
@@ -23,8 +24,6 @@ OTHER = r"[^\p{L}\p{N}]+"
 # Lines of one document have places below each other; a document without an id comes last.
 PER_DOCUMENT = 1 << 31
 LAST = 1 << 63
-# Values of a hash that a filter may broadcast: the proven bound of its size.
-FILTER_VALUES = 1 << 20
 SUM_BITS = 42
 
 
@@ -76,18 +75,6 @@ def near_candidates(lines: DataFrame) -> DataFrame:
     return keys.join(shared.select("half"), "half", "left_semi").select("h1").distinct()
 
 
-def may_hold(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose doc_id may be among `ids`, and the rest.
-
-    What is broadcast are hash values of the ids, of which there are `FILTER_VALUES` at most. It saves shuffling texts that
-    nothing is joined to; with very many ids it lets more through, and at worst all.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_VALUES))
-    slots = F.broadcast(ids.select(slot.alias("_slot")).distinct())
-    marked = docs.withColumn("_slot", slot)
-    return (marked.join(slots, "_slot", "left_semi").drop("_slot"), marked.join(slots, "_slot", "left_anti").drop("_slot"))
-
-
 def candidate_words(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(place, h1, h2, position, word) of each candidate line (doc_id, line_no, place, h1, h2)."""
     wanted = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "place", "h1", "h2")).alias("wanted"))
