@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.catalog.inputs import table
-from lakeloom.llm import decontaminate, html_text, langid, licences, line_dedup, packing, quality, topk, warc
+from lakeloom.llm import decontaminate, html_text, langid, licences, line_dedup, near_dups, packing, quality, topk, warc
 from lakeloom.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def token_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document: five-word shingles, similarity 0.8 or more."""
+    return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 @query()
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold copies of benchmark items."""
