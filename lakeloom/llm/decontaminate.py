@@ -230,5 +230,7 @@ def aligner(items: Items, seeds: Seeds, threshold: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that hold no copy of an item; the columns stay as they are."""
-    return docs.join(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc")).distinct(),
-                     F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    bad = committed(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc")).distinct(), "contaminated")
+    touched, same = may_hold(docs, bad.select(F.col("_doc").alias("doc_id")))
+    left = touched.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    return left.unionByName(same).select(*docs.columns)

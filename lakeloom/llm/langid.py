@@ -17,11 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import CACHED_WORDS, kept, map_rows
+from lakeloom.llm.shared import CACHED_WORDS, bounded_batches, kept, map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -91,9 +92,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
-        if not words or not any(any(map(str.isalpha, word)) for word in words):
-            return UNDETERMINED, 0.0
-        if not self.languages:
+        if not self.languages or not words or not any(map(has_letter, words)):
             return UNDETERMINED, 0.0
         self._learn(words)
         rows = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
@@ -168,3 +167,27 @@ def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
     named = docs.select(F.col("doc_id"), F.col("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return map_rows(named, ["doc_id", "text", "held_out"], start, PREDICTION)
+
+
+def accepted(docs: DataFrame, model: Model, sure: float = 0.2) -> DataFrame:
+    """The rows of `docs`, in their columns, whose language is determined and is the one they state, if they state one.
+
+    A row goes if its language is `und`, or if it differs from a stated one with a score of `sure` or more. A row without
+    a stated language, or where the model knows no language at all, goes only without a letter in its text.
+    """
+    def languages(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ready = kept("langid", model.words, model.prepared)
+        for part in texts:
+            found = [ready.predict(text) if model.languages else (UNDETERMINED if not has_letter(text) else "", 0.0)
+                     for text in part]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    bounded_batches(docs.sparkSession)
+    named = docs.withColumn("_found", F.pandas_udf(languages, "lang_pred string, score double")(F.col("text")))
+    found, stated = F.col("_found.lang_pred"), F.col("lang")
+    other = F.coalesce((found != "") & (found != stated) & (F.col("_found.score") >= sure), F.lit(False))
+    return named.filter((found != UNDETERMINED) & ~other).select(*docs.columns)
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
