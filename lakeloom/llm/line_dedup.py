@@ -21,6 +21,7 @@ from lakeloom.sources.lake import committed
 
 LINE_END = "\n"
 OTHER = r"[^\p{L}\p{N}]+"
+OTHER_BUT_LINE_END = r"[^\p{L}\p{N}\n]+"
 # Lines of one document have places below each other; a document without an id comes last.
 PER_DOCUMENT = 1 << 31
 LAST = 1 << 63
@@ -40,9 +41,9 @@ def place(doc_id: Column, line_no: Column) -> Column:
 def half(n: Column) -> Column:
     """How many words of either end an edit may leave alone: at most half, in coarse steps, so that most lines of n and of
     n - 1 words have the same."""
-    most = F.floor(n / 2).cast("int")
-    power = F.call_function("shiftleft", F.lit(1).cast("int"), F.length(F.bin(most)) - 1)
-    return F.when(most >= power + F.shiftright(power, 1), power + F.shiftright(power, 1)).otherwise(power)
+    most = F.floor(n / 2)
+    power = F.pow(F.lit(2), F.floor(F.log2(most)))
+    return F.when(most >= power * 1.5, power * 1.5).otherwise(power).cast("int")
 
 
 def halves(words: Column, count: Column) -> Column:
@@ -55,12 +56,15 @@ def halves(words: Column, count: Column) -> Column:
 
 def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """(doc_id, line_no, h1, h2, halves) of each line of at least `min_words` words; halves is null for short ones."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", LINE_END, -1)).alias("line_no", "line"))
-    words = split.select("doc_id", "line_no", normalised(F.col("line")).alias("words"))
-    words = words.withColumn("n", F.length("words") - F.length(F.translate("words", " ", "")) + 1)
-    return words.filter(f"words <> '' AND n >= {min_words}").select(
-        "doc_id", "line_no", *identity(F.col("words")),
-        F.when(F.col("n") >= near_words, halves(F.col("words"), F.col("n"))).alias("halves"))
+    # A whole text is normalised at once, and behind the generator no filter repeats that work.
+    whole = F.regexp_replace(F.lower("text"), OTHER_BUT_LINE_END, " ")
+    split = docs.select("doc_id", F.posexplode(F.split(whole, LINE_END, -1)).alias("line_no", "line"))
+    words = split.withColumn("words", F.trim("line"))
+    enough = F.lit(True) if min_words < 2 else F.substring_index("words", " ", min_words - 1) != F.col("words")
+    counted = words.filter((F.col("words") != "") & enough).select(
+        "doc_id", "line_no", "words", (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    return counted.select("doc_id", "line_no", *identity(F.col("words")),
+                          F.when(F.col("n") >= near_words, halves(F.col("words"), F.col("n"))).alias("halves"))
 
 
 def identity(words: Column) -> tuple[Column, Column]:
