@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.catalog import changing, inputs, sql
 from lakeloom.catalog.registry import doubles, query
 from lakeloom.plans import bronze
-from lakeloom.plans.batch import Lake, backfill, run_batch
+from lakeloom.plans.batch import Lake, backfill, load_gold, run_batch
 from lakeloom.session import fresh_dir
 from lakeloom.sources.changes import cdc_stream
 from lakeloom.sources.lake import LakeTable
-from lakeloom.streaming.programs import CdcTable, bucket_key, orders_table, products_table, run_all, run_cdc, users_table
+from lakeloom.streaming.programs import (
+    CdcTable, bucket_key, orders_table, products_table, rebuild, run_all, run_cdc, users_table)
 
 LOAD_DATE = "2024-10-10"
 DRAIN = {"availableNow": True}
@@ -97,11 +100,65 @@ def _event_stream(spark, sf_dir, mode) -> DataFrame:
     return table.visible(spark).drop("partition_key")
 
 
+def _later_changes(spark: SparkSession, lake: Lake) -> DataFrame:
+    """Messages after a load: orders of every seventh product deleted, those of the next one set to an amount of 1."""
+    held = doubles(lake.live(spark, "orders")).withColumn("date", F.unix_micros(F.col("date").cast("timestamp")))
+    turn = F.pmod("product_id", F.lit(7))
+    later = held.filter(turn <= 1).withColumns({
+        "op": F.when(turn == 0, "d").otherwise("u"), "amount": F.lit(1), "discount": F.col("discount").cast("double"),
+        "ts_ms": F.lit(2_000_000_000_000).cast("bigint"), "lsn": F.lit(1).cast("bigint")})
+    return later.select(inputs.message(inputs.ORDER_COLUMNS, inputs.ORDER_COLUMNS).alias("value"))
+
+
+CHANGED_SALES = f"""{BATCH_SALES},
+changed AS (SELECT * REPLACE (CASE WHEN product_id % 7 = 1 THEN 1 ELSE amount END AS amount)
+            FROM sales WHERE product_id % 7 <> 0)"""
+
+
+def _load_then_stream(spark: SparkSession, sf_dir: str) -> Lake:
+    """The batch load, then a stream of changes into the same silver orders."""
+    lake = run_batch(spark, Lake(fresh_dir(spark, "lake")), sources(spark, sf_dir), LOAD_DATE)
+    changes = _follow(spark, _later_changes(spark, lake), lake.root, "orders")
+    run_cdc(changes, orders_table(lake.root), DRAIN).awaitTermination()
+    return lake
+
+
+@query(f"""WITH {CHANGED_SALES}
+           SELECT user_id, product_id, date, amount, CAST(discount AS DOUBLE) AS discount, CAST(price AS DOUBLE) AS price,
+                  CAST(final_price AS DOUBLE) AS final_price FROM changed""")
+def batch_then_stream_orders(spark, sf_dir):
+    """Silver orders after a load and changes that follow it."""
+    return _load_then_stream(spark, sf_dir).live(spark, "orders").select(*inputs.ORDER_COLUMNS)
+
+
+@query(f"""WITH {CHANGED_SALES}
+           SELECT user_id, c_name AS user_name, CAST(sum(amount * final_price) AS DOUBLE) AS total_spent,
+                  count(*) AS total_orders FROM changed JOIN customer ON user_id = c_custkey GROUP BY user_id, c_name""")
+def gold_after_stream(spark, sf_dir):
+    """The customer mart over silver that a stream has changed: deleted orders do not count."""
+    lake = _load_then_stream(spark, sf_dir)
+    load_gold(spark, lake)
+    mart = doubles(lake.gold("customer_lifetime_value").read(spark))
+    return mart.select("user_id", "user_name", "total_spent", "total_orders")
+
+
 @query(f"WITH {changing.LAST} SELECT user_id, value, event_type FROM last WHERE NOT deleted")
 def stream_upsert(spark, sf_dir):
     return _event_stream(spark, sf_dir, "upsert")
 
 
+@query(f"WITH {changing.LAST} SELECT user_id, value, event_type FROM last WHERE NOT deleted")
+def stream_replayed(spark, sf_dir):
+    """The same messages by two streams with a checkpoint each, then silver rebuilt from all changes kept."""
+    root = fresh_dir(spark, "stream_replayed")
+    table = _event_table(root, "upsert")
+    for run in ("first", "second"):
+        again = dataclasses.replace(table, checkpoints=run)
+        run_cdc(_follow(spark, inputs.messages(spark, sf_dir), root, "events"), again, DRAIN).awaitTermination()
+    rebuild(spark, table)
+    return table.visible(spark).drop("partition_key")
+
+
 @query(changing.HISTORY_SQL)
 def stream_scd2(spark, sf_dir):
     return _event_stream(spark, sf_dir, "scd2")

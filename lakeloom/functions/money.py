@@ -27,8 +27,16 @@ def from_cents(col: Column | str) -> Column:
 
 
 def revenue_cents(amount: Column | str, price: Column | str) -> Column:
-    """Revenue of a line, `amount * price`, in cents. Amounts are whole numbers, so nothing is rounded."""
-    return _col(amount).cast("bigint") * cents(price)
+    """Revenue of a line, `amount * price`, in cents, rounded half away from zero.
+
+    A whole amount times whole cents is computed on longs. Other values are multiplied as decimals of six places, and the
+    product is rounded, never the factors.
+    """
+    amount, price = _col(amount), _col(price)
+    scaled = price.cast("double") * 100
+    whole = (amount.cast("double") == F.floor(amount.cast("double"))) & (F.abs(scaled - F.round(scaled)) < 1e-6)
+    product = F.round(amount.cast("decimal(19,6)") * price.cast("decimal(19,6)"), 2)
+    return F.when(whole, amount.cast("bigint") * cents(price)).otherwise((product * 100).cast("bigint"))
 
 
 def revenue(amount: Column | str, price: Column | str) -> Column:
@@ -36,8 +44,10 @@ def revenue(amount: Column | str, price: Column | str) -> Column:
 
 
 def discounted_cents(price_cents: Column, percent_hundredths: Column) -> Column:
-    """Price less a discount, rounded half up to cents."""
-    return F.call_function("div", price_cents * (10_000 - percent_hundredths) + 5_000, F.lit(10_000))
+    """Price less a discount, rounded half away from zero to cents."""
+    left = price_cents * (10_000 - percent_hundredths)
+    size = F.call_function("div", F.abs(left) + 5_000, F.lit(10_000))
+    return F.when(left < 0, -size).otherwise(size)
 
 
 def discounted(price: Column | str, percent: Column | str) -> Column:

@@ -46,15 +46,20 @@ class Insert:
     condition: Expression = "true"
 
 
-def require_unique(df: DataFrame, keys: list[str], message: str) -> DataFrame:
-    """The same rows; the job fails when two of them have the same key. The check rides on a shuffle by the key, so a
-    join by the key that follows needs no other one."""
-    rest = [name for name in df.columns if name not in keys]
-    row = F.first(F.struct(*rest)) if rest else F.lit(None)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), row.alias("_row"))
-    checked = counted.filter(F.expr(f"assert_true(_n = 1, '{message}') IS NULL"))
-    return checked.select(*[F.col(name) if name in keys else F.col(f"_row.{name}").alias(name)
-                            for name in df.columns])
+def _check_names(target: DataFrame, clauses) -> None:
+    for clause in clauses:
+        unknown = set(getattr(clause, "values", None) or {}) - set(target.columns)
+        if unknown:
+            raise ValueError(f"the target has no column {', '.join(sorted(unknown))}")
+
+
+def _matched_once(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The target rows; the job fails if one of them has several source rows. Only keys that repeat are joined, which are
+    few, and source rows that repeat a key the target lacks do no harm."""
+    repeated = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    checked = target.join(repeated, keys, "left")
+    return checked.filter(F.expr("assert_true(_n IS NULL, 'several merge source rows match one target row') IS NULL")).select(
+        *target.columns)
 
 
 def merge_into(target: DataFrame, source: DataFrame, keys: list[str], matched: list[Update | Delete] = (),
@@ -63,17 +68,19 @@ def merge_into(target: DataFrame, source: DataFrame, keys: list[str], matched: l
 
     Clauses are tried in order and the first whose condition holds is taken; without one, a matched row stays and an
     unmatched source row is dropped. Expressions refer to columns as `tgt.x` and `src.x`. As in SQL, a null key matches
-    nothing, and two source rows with one key make the job fail, since the outcome would be ambiguous. Target keys are
-    unique within `target_filter`.
+    nothing, source rows that share a key and match no target row are each inserted, and several that match one target row make the
+    job fail, since the outcome would be ambiguous. Clauses may name only columns of the target. Target keys are unique
+    within `target_filter`.
     """
     columns = target.columns
+    _check_names(target, [*matched, *not_matched])
     has_key = F.lit(True)
     for key in keys:
         has_key = has_key & F.col(key).isNotNull()
     in_scope = has_key if target_filter is None else has_key & F.coalesce(_expr(target_filter), F.lit(False))
-    keyed = require_unique(source.filter(has_key), keys, "merge source has several rows for one key")
+    keyed = source.filter(has_key)
 
-    left = target.filter(in_scope).withColumn("_old", F.lit(True)).alias("tgt")
+    left = _matched_once(target.filter(in_scope), keyed, keys).withColumn("_old", F.lit(True)).alias("tgt")
     right = keyed.withColumn("_new", F.lit(True)).alias("src")
     same = F.lit(True)
     for key in keys:

@@ -17,11 +17,13 @@ def top_by_rank(df: DataFrame, value: str, n: int = 10, by: list[str] | None = N
     """
     by = by or []
     window = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
-    leaders = (df.select(*by, value).withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n))
+    values = df.select(*by, value)
+    if not by:
+        # Each task keeps its n leading rows, and only those meet.
+        values = values.orderBy(F.col(value).desc_nulls_last()).limit(n)
+    leaders = values.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n)
     ranks = leaders.groupBy(*by, value).agg(F.min("_rn").alias("rank"))
     ranks = ranks.select(*[F.col(name).alias(f"_{name}") for name in [*by, value]], "rank")
-    if not by:
-        ranks = F.broadcast(ranks)  # at most n rows
     same = F.lit(True)
     for name in [*by, value]:
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from lakeloom import schemas
+from lakeloom.operators import merge
 from lakeloom.plans import bronze, gold, silver
 from lakeloom.sinks.serving import jdbc_append
 from lakeloom.sources.jdbc import JdbcConnection
@@ -33,6 +34,11 @@ class Lake:
     def silver(self, name: str) -> LakeTable:
         return LakeTable(f"{self.root}/silver/{name}", silver.PARTITIONS[name], self.fmt)
 
+    def live(self, spark: SparkSession, name: str) -> DataFrame:
+        """Silver as its readers see it, whether the batch load or a stream wrote it last: no delete markers."""
+        rows = self.silver(name).read(spark)
+        return merge.visible(rows) if "deleted" in rows.columns else rows
+
     def rejects(self, name: str) -> LakeTable:
         return LakeTable(f"{self.root}/rejects/{name}", bronze.PARTITIONS[name], self.fmt)
 
@@ -62,10 +68,10 @@ def load_silver(spark: SparkSession, lake: Lake, as_of: str | None = None,
 
 def load_gold(spark: SparkSession, lake: Lake, top: int = 10) -> None:
     """The marts from silver. The top products are ranked from the committed summary, not computed a second time."""
-    orders = lake.silver("orders").read(spark)
-    lifetime = gold.customer_lifetime_value(orders, lake.silver("users").read(spark))
+    orders = lake.live(spark, "orders")
+    lifetime = gold.customer_lifetime_value(orders, lake.live(spark, "users"))
     lake.gold("customer_lifetime_value").overwrite(lifetime)
-    summary = gold.sales_summary_by_product(orders, lake.silver("products").read(spark))
+    summary = gold.sales_summary_by_product(orders, lake.live(spark, "products"))
     lake.gold("sales_summary_by_product").overwrite(summary)
     summary = lake.gold("sales_summary_by_product").read(spark).select(*summary.columns)
     lake.gold("top_products_by_revenue").overwrite(gold.top_products_by_revenue(summary, top))
@@ -87,7 +93,7 @@ def publish(spark: SparkSession, lake: Lake, serving: JdbcConnection, narrow: bo
     fields = {"users": schemas.SERVING_USERS, "products": schemas.SERVING_PRODUCTS, "orders": schemas.SERVING_ORDERS}
     for name in TABLES:
         target = fields[name] if narrow else schemas.wide(fields[name])
-        jdbc_append(lake.silver(name).read(spark), serving, name, target)
+        jdbc_append(lake.live(spark, name), serving, name, target)
 
 
 def backfill(spark: SparkSession, slices: Iterable[str], load: Callable[[str], None]) -> DataFrame:

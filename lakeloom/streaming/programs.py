@@ -1,8 +1,12 @@
 """Continuous loads: change messages to bronze, silver and, if wanted, the serving store.
 
-Every micro-batch writes its parsed messages to its own bronze partition, then merges them into the silver partitions it
-touches. Both steps give the same tables when a batch is repeated, so a stream that is restarted after a crash, or
-replayed from an older offset, neither loses nor repeats a change. Silver is a function of bronze (`rebuild`).
+Every micro-batch writes its parsed messages to its own partition of the change table, then merges them into the silver
+partitions it touches. Both steps give the same tables when a batch is repeated, so a stream that is restarted after a crash, or
+replayed from an older offset, neither loses nor repeats a change. Batches are told apart by run and number: a stream with
+a new checkpoint counts from 0 again but never replaces what an earlier run wrote.
+
+A stream may follow a batch load into the same silver tables. The loaded rows are adopted once, as changes older than any
+in the stream, and kept aside as the base that silver is a function of, together with the change table (`rebuild`).
 """
 
 from __future__ import annotations
@@ -41,10 +45,17 @@ class CdcTable:
     bronze_by: tuple[str, ...] = ()
     encodings: Mapping[str, str] = field(default_factory=dict)
     fmt: str = "parquet"
+    checkpoints: str = "checkpoints"
 
     @property
     def bronze(self) -> LakeTable:
-        return LakeTable(f"{self.root}/bronze/{self.name}", ("_batch", *self.bronze_by), self.fmt)
+        """The parsed messages. They have their own place: the bronze tables of a batch load hold rows, not changes."""
+        return LakeTable(f"{self.root}/changes/{self.name}", ("_run", "_batch", *self.bronze_by), self.fmt)
+
+    @property
+    def base(self) -> LakeTable:
+        """What a batch load had put into silver before the first change."""
+        return LakeTable(f"{self.root}/base/{self.name}", (), self.fmt)
 
     @property
     def silver(self) -> LakeTable:
@@ -52,7 +63,7 @@ class CdcTable:
 
     @property
     def checkpoint(self) -> str:
-        return f"{self.root}/checkpoints/{self.name}"
+        return f"{self.root}/{self.checkpoints}/{self.name}"
 
     def parse(self, messages: DataFrame) -> DataFrame:
         parsed = cdc.parse(messages, self.fields, list(self.keys), self.encodings)
@@ -93,16 +104,17 @@ def orders_table(root: str, encodings: Mapping[str, str] | None = None) -> CdcTa
 
 
 def apply_batch(spark: SparkSession, table: CdcTable, messages: DataFrame, batch_id: int,
-                publish: Callable[[DataFrame, int], None] | None = None) -> None:
-    """One micro-batch: bronze, silver, then `publish(rows, batch_id)` with the silver rows of the batch's keys."""
+                publish: Callable[[DataFrame, int], None] | None = None, run: str = "run") -> None:
+    """One micro-batch: changes, silver, then `publish(rows, batch_id)` with the silver rows of the batch's keys. `run`
+    names the checkpoint that numbers the batches."""
     if messages.isEmpty():
         return
-    parsed = table.parse(messages).withColumn("_batch", F.lit(batch_id).cast("bigint"))
+    parsed = table.parse(messages).withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id).cast("bigint")})
     table.bronze.replace_partitions(parsed)
 
     # Read the batch back from bronze: later steps neither read the source again nor depend on cached blocks of an
     # executor that may be lost.
-    changes = cdc.accepted(table.bronze.read_partition(spark, _batch=batch_id)).drop("_batch")
+    changes = cdc.accepted(table.bronze.read_partition(spark, _run=run, _batch=batch_id))
     changes = changes.select(*table.fields, *table.derive(), *cdc.SEQUENCE, "deleted")
     _commit(spark, table, changes)
     if publish is not None:
@@ -114,17 +126,43 @@ def _commit(spark: SparkSession, table: CdcTable, changes: DataFrame) -> None:
     bucketed = changes.withColumns(dict(table.bucket()))
     state = None
     if table.silver.exists(spark):
+        adopt(spark, table)
         state = table.silver.read(spark, table.silver.touched(bucketed))
     table.silver.replace_partitions(table.merge(state, bucketed))
 
 
+def adopt(spark: SparkSession, table: CdcTable) -> None:
+    """Give silver rows of a batch load the columns that order changes; nothing for a table that has them.
+
+    A loaded row counts as a change at the day it is valid from, or was created; without such a day, as the first of
+    all. This rewrites the table once. The rows are kept as the base first, so an adoption that is cut off is mended by `rebuild`.
+    """
+    rows = table.silver.read(spark)
+    if "deleted" in rows.columns:
+        return
+    day = next((F.col(name) for name in ("valid_from", "created_at") if name in rows.columns), None)
+    since = F.lit(0).cast("bigint") if day is None else F.coalesce(
+        F.unix_date(day.cast("date")).cast("bigint") * 86_400_000, F.lit(0).cast("bigint"))
+    base = rows.withColumns({"ts_ms": since, "lsn": F.lit(-1).cast("bigint"), "deleted": F.lit(False)})
+    typed = [F.col(name).cast(kind).alias(name) for name, kind in table.fields.items()]
+    table.base.overwrite(base.select(*typed, *table.derive(), *cdc.SEQUENCE, "deleted"))
+    table.silver.overwrite(table.merge(None, table.base.read(spark).withColumns(dict(table.bucket()))))
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to; a new checkpoint has a new one."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def _touched(table: CdcTable, changes: DataFrame) -> Column | None:
     return table.silver.touched(changes.withColumns(dict(table.bucket())))
 
 
 def rebuild(spark: SparkSession, table: CdcTable) -> None:
-    """Silver from all of bronze, in one job: the repair for a commit that was cut off."""
+    """Silver from the base and all changes, in one job: the repair for a commit that was cut off."""
     changes = cdc.accepted(table.bronze.read(spark)).select(*table.fields, *table.derive(), *cdc.SEQUENCE, "deleted")
+    if table.base.exists(spark):
+        changes = table.base.read(spark).select(*changes.columns).unionByName(changes)
     table.silver.overwrite(table.merge(None, changes.withColumns(dict(table.bucket()))))
 
 
@@ -133,7 +171,8 @@ def run_cdc(stream: DataFrame, table: CdcTable, trigger: Mapping[str, object] |
     """Start the stream of messages into its tables; every two minutes unless `trigger` says otherwise."""
     spark = stream.sparkSession
     return (stream.writeStream.queryName(f"cdc_{table.name}")
-            .foreachBatch(lambda batch, batch_id: apply_batch(spark, table, batch, batch_id, publish))
+            .foreachBatch(lambda batch, batch_id: apply_batch(
+                spark, table, batch, batch_id, publish, run_of(spark, table.checkpoint)))
             .outputMode("append").option("checkpointLocation", table.checkpoint)
             .trigger(**(trigger or {"processingTime": "2 minutes"})).start())
 

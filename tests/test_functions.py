@@ -81,3 +81,14 @@ def test_draw_parts_are_spread_evenly(spark):
     assert all(0.45 < half < 0.55 for half in halves)
     picked = {r[0] for r in spark.range(200).select(choice(bits, 3, ("a", "b", "c"))).collect()}
     assert picked == {"a", "b", "c"}
+
+
+def test_revenue_rounds_the_product(spark):
+    lines = [(10.0, 2.5, 2500), (1000.0, 1.005, 100500), (3.0, 0.333, 100), (-1.0, 2.345, -235), (2.0, 19.99, 3998), (2.5, 10.0, 2500)]
+    df = spark.createDataFrame([(a, p) for a, p, _ in lines], "amount double, price double")
+    assert [r[0] for r in df.select(money.revenue_cents("amount", "price")).collect()] == [c for _, _, c in lines]
+
+
+def test_discounts_round_away_from_zero(spark):
+    df = spark.createDataFrame([(-10.05, 50.0), (10.05, 50.0)], "price double, percent double")
+    assert [float(r[0]) for r in df.select(money.discounted("price", "percent")).collect()] == [-5.03, 5.03]

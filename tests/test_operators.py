@@ -100,10 +100,29 @@ def test_merge_null_key_matches_nothing(spark):
 
 
 def test_merge_with_duplicate_source_keys_fails(spark):
-    with pytest.raises(Exception, match="several rows for one key"):
+    with pytest.raises(Exception, match="several merge source rows"):
         apply(spark, [(1, "A", 9.0, True, "u"), (1, "B", 9.0, True, "u")], matched=[CLOSE])
 
 
+def test_merge_inserts_unmatched_duplicates(spark):
+    got = apply(spark, [(7, "A", 9.0, True, "u"), (7, "B", 9.0, True, "u")], matched=[CLOSE], not_matched=[merge.Insert()])
+    assert got == sorted([*rows(target(spark)), (7, "A", 9.0, True), (7, "B", 9.0, True)], key=repr)
+
+
+def test_merge_rejects_unknown_columns(spark):
+    for clauses in ({"matched": [merge.Update({"nam": "src.name"})]}, {"not_matched": [merge.Insert({"idd": "src.id"})]}):
+        with pytest.raises(ValueError, match="no column"):
+            apply(spark, [(1, "A", 9.0, True, "u")], **clauses)
+
+
+def test_top_rows_for_any_n(spark):
+    df = spark.range(3000).selectExpr("id", "id div 2 AS v")
+    found = top_by_rank(df, "v", 2001)
+    assert found.count() == 2002 and found.agg(F.max("rank")).first()[0] == 2001
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in text
+
+
 def test_merge_with_empty_sides(spark):
     assert apply(spark, [], matched=[CLOSE], not_matched=[merge.Insert()]) == rows(target(spark))
     empty = spark.createDataFrame([], TARGET)

@@ -1,9 +1,11 @@
+import dataclasses
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import merge
+from lakeloom.plans.batch import Lake, load_gold, run_batch
 from lakeloom.sources.changes import cdc_stream
 from lakeloom.streaming.programs import apply_batch, orders_table, products_table, rebuild, run_all, run_cdc, users_table
 from tests.conftest import rows
@@ -124,3 +126,39 @@ def test_streams_side_by_side(spark, tmp_path):
 def test_unknown_stream_kind(spark):
     with pytest.raises(ValueError):
         cdc_stream(spark, "carrier pigeon")
+
+
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    first, inbox = users_table(str(tmp_path / "lake")), tmp_path / "in"
+    user = {"id": 1, "name": "a", "phone": "1", "date_of_birth": 0}
+    drop(inbox, "1", message("c", 1, user), message("c", 1, {**user, "id": 2}))
+    run_cdc(follow(spark, inbox), first, DRAIN).awaitTermination()
+    again = dataclasses.replace(first, checkpoints="others")
+    drop(tmp_path / "more", "1", message("c", 1, {**user, "id": 3}))
+    run_cdc(follow(spark, tmp_path / "more"), again, DRAIN).awaitTermination()
+    rebuild(spark, first)
+    assert rows(first.visible(spark), "id") == [(1,), (2,), (3,)]
+
+
+def test_stream_follows_a_batch_load(spark, tmp_path):
+    lake = Lake(str(tmp_path / "lake"))
+    users = spark.createDataFrame([(1, "a", "1"), (2, "b", "2")], "id bigint, name string, phone string").withColumn(
+        "date_of_birth", F.lit("1970-01-01").cast("timestamp_ntz"))
+    products = spark.createDataFrame([(1, "p", 10.0), (2, "q", 20.0)], "id bigint, name string, price double")
+    orders = spark.createDataFrame([(1, 1, 2, 0.0, 10.0, 10.0), (2, 2, 1, 0.0, 20.0, 20.0)],
+                                   "user_id bigint, product_id bigint, amount int, discount double, price double, final_price double")
+    orders = orders.withColumn("date", F.lit("2024-01-05").cast("timestamp_ntz"))
+    run_batch(spark, lake, {"users": users, "products": products, "orders": orders}, "2024-02-01")
+    later = 1_800_000_000_000
+    drop(tmp_path / "p", "1", message("u", later, product(1, 300.0, "p2")), message("d", later, {"id": 2}))
+    gone = {"user_id": 2, "product_id": 2, "date": 1_704_412_800_000_000}
+    drop(tmp_path / "o", "1", message("d", later, gone))
+    tables = products_table(lake.root), orders_table(lake.root)
+    run_all([(follow(spark, tmp_path / "p"), tables[0]), (follow(spark, tmp_path / "o"), tables[1])], DRAIN)
+    for _ in range(2):
+        got = rows(tables[0].visible(spark), "id", "name", "price", F.col("valid_from").cast("date").cast("string"), "is_current")
+        assert got == sorted([(1, "p", 10.0, "2024-02-01", False), (1, "p2", 300.0, "2027-01-15", True),
+                              (2, "q", 20.0, "2024-02-01", False)], key=repr)
+        load_gold(spark, lake)
+        assert rows(lake.gold("customer_lifetime_value").read(spark), "user_id", "total_orders") == [(1, 1)]
+        rebuild(spark, tables[0])
