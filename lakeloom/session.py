@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings every job relies on. They are safe to set on a session someone else built.
@@ -19,6 +22,7 @@ RUNTIME = {
 }
 
 _local_dirs: dict[str, str] = {}
+_working_dirs: set[str] = set()
 
 
 def partitions_for(shuffle_bytes: int, per_task: int = 128 << 20, least: int = 200) -> int:
@@ -67,5 +71,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared folder."""
-    return f"{shared_dir(spark)}/lakeloom/{label}-{uuid.uuid4().hex}"
+    """A new, unused folder below the shared folder, in one of this application that is removed when the driver ends."""
+    own = f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}"
+    if own not in _working_dirs:
+        _working_dirs.add(own)
+        atexit.register(_remove, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(path: str) -> None:
+    gateway = SparkContext._gateway
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        folder = gateway.jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
