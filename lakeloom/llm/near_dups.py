@@ -6,9 +6,9 @@ coordinates empty, the earliest of each coordinate makes the signature. Two sign
 of the (weighted) Jaccard similarity, and a signature costs about k log k darts whatever the document's size.
 
 Documents that agree on all rows of a band meet in a bucket. Equal texts are one node first. A bucket links each of its nodes
-to its first and its last one only, and only links that reach the similarity exactly count. Where that leaves a bucket with several
-components, its remaining pairs across components are checked, so that no link between different texts is lost; large
-buckets do that block by block inside tasks, which give only pairs whose signatures come near the threshold.
+to its first one only, and only links that reach the similarity exactly count. Where that leaves a bucket with several
+components, its remaining pairs across components are checked, so that no component lacks a link between different texts;
+large buckets do that block by block inside tasks, which give only links that join components.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SHINGLE = 5
 BANDS, ROWS = 30, 6
 SLOTS = BANDS * ROWS
 # Nodes of a bucket whose pairs are listed outright; larger buckets are compared by blocks of so many.
-SMALL, BLOCK = 48, 256
+SMALL, BLOCK = 48, 1024
 SIGNED = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()),
           "signature": pa.binary()}
 
@@ -151,41 +151,58 @@ def similarity(left: bytes, right: bytes) -> float:
     return shared / (len(both) - shared)
 
 
-def across(mixed_buckets: DataFrame, signed: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs (a, b) of nodes in a bucket (key, node, component) but not in a component.
+def listed(unlinked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of a small bucket (key, node, component, n) that are not in a component."""
+    few = unlinked.filter(F.col("n") <= SMALL).select("key", "node", "component")
+    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
+    return few.join(other, "key").filter("node < b AND component <> c").select(F.col("node").alias("a"), "b").distinct()
+
 
-    Small buckets list theirs. In large ones every node goes to the blocks of its bucket, and pairs of blocks are compared inside tasks;
-    pairs whose signatures agree on less than `cutoff` of the coordinates (four deviations below the threshold) are none.
+def across(unlinked: DataFrame, signed: DataFrame, held: DataFrame, threshold: float, cutoff: float) -> DataFrame:
+    """Links (a, b) that join the components of large buckets (key, band, node, component, n).
+
+    Every node goes to the blocks of its bucket, and pairs of blocks are compared inside tasks, a pair of nodes in the first band it shares
+    only. A pair whose signatures agree on `cutoff` of the coordinates or more is checked exactly, unless links found
+    already connect it; so a task gives no more links than it has nodes.
     """
-    sizes = mixed_buckets.groupBy("key").agg(F.count("*").alias("n"))
-    rows = mixed_buckets.join(sizes, "key")
-    few = rows.filter(F.col("n") <= SMALL).select("key", "node", "component")
-    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
-    listed = few.join(other, "key").filter("node < b AND component <> c").select(F.col("node").alias("a"), "b").distinct()
-    many = rows.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = unlinked.filter(F.col("n") > SMALL)
+    nodes = many.select("node").distinct()
+    facts = signed.select("node", "signature").join(nodes, "node", "left_semi").dropDuplicates(["node"]).join(held, "node")
+    many = many.join(facts, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.join(signed.select("node", "signature").dropDuplicates(["node"]), "node")
-    many = many.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "node",
-                       "component", "signature")
+    many = many.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "band", "node",
+                       "component", "signature", "cells")
 
     def compare(table: pa.Table) -> pa.Table:
         own, low = table["own"].to_numpy(), table["low"][0].as_py()
-        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        node, component, band = table["node"].to_numpy(), table["component"].to_pylist(), table["band"][0].as_py()
         signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        contents_of = table["cells"].to_pylist()
         first = np.flatnonzero(own == low)
         second = first if table["high"][0].as_py() == low else np.flatnonzero(own != low)
+        root = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
         out_a, out_b = [], []
         for i in first:
-            agree = (signatures[second] == signatures[i]).mean(axis=1)
-            hits = second[(agree >= cutoff) & (component[second] != component[i])]
-            out_a.append(np.minimum(node[i], node[hits])), out_b.append(np.maximum(node[i], node[hits]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+            others = second[node[second] > node[i]] if second is first else second
+            same = signatures[others] == signatures[i]
+            agree = same.mean(axis=1)
+            near = agree >= cutoff
+            near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for j in others[near][np.argsort(-agree[near])]:
+                x, y = find(component[i]), find(component[j])
+                if x != y and similarity(contents_of[i], contents_of[j]) >= threshold:
+                    root[x] = y
+                    out_a.append(min(node[i], node[j])), out_b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    blocks = many.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
-    return listed.union(blocks.distinct()).distinct()
+    return many.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
@@ -198,26 +215,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> Da
     """
     signed = committed(sign(docs, weights), "signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    bands = signed.select("node", F.explode("bands").alias("key"))
+    bands = signed.select("node", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    buckets = committed(bands.join(shared, "key").select("key", "node", "low", "high").distinct(), "buckets")
+    buckets = committed(bands.join(shared, "key").select("key", "band", "node", "low").distinct(), "buckets")
     held = contents(docs, nodes.join(buckets.select("node").distinct(), "node", "left_semi"), weights)
     edges = committed(similar(centred(buckets, "low"), held, threshold), "links")
-    for step in ("high", "rest"):
-        member = components(edges, "components")
-        named = buckets.select("key", "node", "high").join(member, "node", "left").select(
-            "key", "node", "high", F.coalesce("component", "node").alias("component"))
-        mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        unlinked = committed(named.join(mixed_keys.select("key"), "key", "left_semi"), "unlinked")
-        if unlinked.isEmpty():
-            break
-        if step == "high":
-            pairs = centred(unlinked, "high")
-        else:
-            # Four standard deviations of the estimate at the threshold.
-            cutoff = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SLOTS)
-            pairs = across(unlinked.select("key", "node", "component"), signed.filter("node IS NOT NULL"), cutoff)
-        edges = committed(edges.union(similar(pairs, held, threshold)), "links")
+    member = components(edges, "components")
+    named = buckets.join(member, "node", "left").select(
+        "key", "band", "node", F.coalesce("component", "node").alias("component"))
+    sizes = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    unlinked = committed(named.join(sizes.filter("x <> y").select("key", "n"), "key"), "unlinked")
+    # Four standard deviations of the estimate at the threshold.
+    cutoff = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SLOTS)
+    edges = committed(edges.union(similar(listed(unlinked), held, threshold)).union(
+        across(unlinked, signed.filter("node IS NOT NULL"), held, threshold, cutoff)), "links")
     member = components(edges, "components")
     placed = nodes.join(member, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     heads = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
