@@ -215,6 +215,14 @@ def scd2_late(spark, sf_dir):
     return scd2.visible(history)
 
 
+@query(HISTORY_SQL)
+def scd2_resent(spark, sf_dir):
+    """The same history when the connector sends the whole log again a day later."""
+    log = inputs.messages(spark, sf_dir).unionByName(inputs.messages(spark, sf_dir, delay_ms=86_400_000))
+    resent = committed(cdc.accepted(cdc.parse(log, inputs.CHANGE_FIELDS, KEY)), "resent")
+    return scd2.visible(scd2.versions(resent, KEY))
+
+
 @query(f"""WITH {ROWS},
            steps AS (SELECT *, lag(deleted) OVER w AS was_deleted, lag(event_type) OVER w AS was FROM rows
                      WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, lsn)),

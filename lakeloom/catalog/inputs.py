@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.money import cents, discounted_cents
-from lakeloom.operators.skew import skew_join
 from lakeloom.session import tune
 from lakeloom.sources import generate
 
@@ -41,7 +40,7 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
     prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice"))
-    joined = skew_join(skew_join(lines, heads, ["l_orderkey"]), prices, ["l_partkey"], examine=lines)
+    joined = lines.join(heads, "l_orderkey").join(prices, "l_partkey")
     percent = cents("l_discount")
     return joined.select(
         F.col("o_custkey").alias("user_id"),
@@ -60,22 +59,23 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of a row per user: op, key and values, and the sequence (ts_ms, lsn)."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     first = events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
-    marked = skew_join(events, first, ["user_id"])
+    marked = events.join(first, "user_id")
     is_first = F.struct("ts", "event_id") == F.col("_first")
     op = F.when(F.col("event_type") == "error", "d").when(is_first, "c").otherwise("u")
     return marked.select(op.alias("op"), "user_id", "value", "event_type",
                          F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("lsn"))
 
 
-def message(row: list[str], before: list[str]):
-    """JSON text of a change: upserts carry the new row in `after`, deletes the old key in `before`."""
+def message(row: list[str], before: list[str], delay_ms: int = 0):
+    """JSON text of a change: upserts carry the new row in `after`, deletes the old key in `before`. The connector sends it
+    `delay_ms` after the change."""
     is_delete = F.col("op") == "d"
     return F.to_json(F.struct(
         F.when(is_delete, F.struct(*before)).alias("before"),
         F.when(~is_delete, F.struct(*row)).alias("after"),
-        F.struct("lsn").alias("source"), "op", "ts_ms"))
+        F.struct("ts_ms", "lsn").alias("source"), "op", (F.col("ts_ms") + delay_ms).alias("ts_ms")))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, delay_ms: int = 0) -> DataFrame:
     """The changes as message text."""
-    return changes(spark, sf_dir).select(message(list(CHANGE_FIELDS), ["user_id"]).alias("value"))
+    return changes(spark, sf_dir).select(message(list(CHANGE_FIELDS), ["user_id"], delay_ms).alias("value"))

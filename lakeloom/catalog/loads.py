@@ -82,10 +82,11 @@ def backfill_years(spark, sf_dir):
 
 # Streams. The messages of a table are written as text files, in no particular order, and followed as a stream.
 
-def _follow(spark: SparkSession, messages: DataFrame, root: str, name: str, files: int = 4) -> DataFrame:
-    path = f"{root}/messages/{name}"
+def _follow(spark: SparkSession, messages: DataFrame, root: str, name: str) -> DataFrame:
+    """The messages in as many files as the cluster has cores, followed in two batches."""
+    path, files = f"{root}/messages/{name}", max(2, spark.sparkContext.defaultParallelism)
     messages.select("value").repartition(files, F.xxhash64("value")).write.mode("overwrite").text(path)
-    return cdc_stream(spark, "files", path=path, options={"maxFilesPerTrigger": str(max(1, files // 2))})
+    return cdc_stream(spark, "files", path=path, options={"maxFilesPerTrigger": str(-(-files // 2))})
 
 
 def _event_table(root: str, mode: str) -> CdcTable:

@@ -1,7 +1,8 @@
 """Change messages: parsing, classification, ordering.
 
-A message is the JSON object {before, after, source: {lsn}, op, ts_ms}. A change is ordered by (ts_ms, lsn) of its
-source, never by arrival: a stream gives no order across batches.
+A message is the JSON object {before, after, source: {ts_ms, lsn}, op, ts_ms}. A change is ordered by (ts_ms, lsn) of its
+source, never by arrival: a stream gives no order across batches. The outer ts_ms, when the connector wrote the message,
+counts only where the source states no time, so a change that is sent again later is the same change.
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ def parse(df: DataFrame, fields: Mapping[str, str], keys: list[str],
     encodings = encodings or {}
     wire = ", ".join(f"`{name}`: {WIRE_TYPES[encodings[name]] if name in encodings else kind}"
                      for name, kind in fields.items())
-    message = (f"before struct<{wire}>, after struct<{wire}>, source struct<lsn: bigint>, op string, ts_ms string, "
-               "_damaged string")
+    message = (f"before struct<{wire}>, after struct<{wire}>, source struct<ts_ms: string, lsn: bigint>, op string, "
+               "ts_ms string, _damaged string")
+    sent = F.coalesce(*[F.col(f"_m.{name}").try_cast("bigint") for name in ("source.ts_ms", "ts_ms")])
     text = F.col(value).cast("string")
     # Exploding a one-element array keeps the optimizer from moving filters on the fields below the parser, where each
     # field they use would parse the message once more.
@@ -57,7 +59,7 @@ def parse(df: DataFrame, fields: Mapping[str, str], keys: list[str],
         F.from_json(text, message, {"columnNameOfCorruptRecord": "_damaged"}))).alias("_m"))
     image = F.when(F.col("_m.op") == DELETE_OP, F.col("_m.before")).otherwise(F.col("_m.after"))
     flat = parsed.select(
-        *keep, "_text", F.col("_m.op").alias("op"), F.col("_m.ts_ms").try_cast("bigint").alias("ts_ms"),
+        *keep, "_text", F.col("_m.op").alias("op"), sent.alias("ts_ms"),
         F.coalesce(F.col("_m.source.lsn"), F.lit(0)).alias("lsn"),
         (F.col("_m").isNull() | F.col("_m._damaged").isNotNull()).alias("_bad"), image.alias("_row"))
     flat = flat.select(*keep, "_text", "op", "ts_ms", "lsn", "_bad", *[

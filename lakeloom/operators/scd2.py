@@ -31,13 +31,13 @@ def versions(changes: DataFrame, keys: list[str], tracked: list[str] | None = No
     skew = {"examine": dated, **skew}  # before the shuffle of the deduplication
     if tracked is not None:
         events = _drop_unchanged(events, keys, tracked, skew)
-    chained = with_neighbour(events, keys, "valid_from", SEQUENCE, {"valid_to": "valid_from"}, **skew)
+    chained = with_neighbour(events, keys, SEQUENCE, {"valid_to": "valid_from"}, **skew)
     return chained.withColumn("is_current", F.col("valid_to").isNull() & ~F.col("deleted"))
 
 
 def _drop_unchanged(events: DataFrame, keys: list[str], tracked: list[str], skew: dict) -> DataFrame:
     seen = {f"_was_{name}": name for name in ["deleted", *tracked]}
-    paired = with_neighbour(events, keys, "valid_from", SEQUENCE, seen, forward=False, **skew)
+    paired = with_neighbour(events, keys, SEQUENCE, seen, forward=False, **skew)
     differs = F.col("_was_deleted").isNull() | (F.col("_was_deleted") != F.col("deleted"))
     for name in tracked:
         differs = differs | ~F.col(f"_was_{name}").eqNullSafe(F.col(name))

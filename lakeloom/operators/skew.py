@@ -1,138 +1,42 @@
-"""Splitting hot keys.
+"""Cutting the timelines of hot keys.
 
-One key may hold a large share of all rows. Aggregations are safe as they are, since Spark combines rows before the
-shuffle. Joins and windows are not: all rows of the key would meet in one task. The functions below find the hot keys
-of a large input and split only those:
-
-* `skew_join` spreads the fact rows of a hot key over several shards and copies its dimension rows to each;
-* `add_slices` cuts the timeline of a hot key into slices, for operators that can stitch slices together.
-
-Hot keys are found with one pass over the key columns and mergeable frequent-items sketches, so little is shuffled to
-find them. The list only steers how rows are spread; a wrong or missing entry costs time and never changes a result.
-It has at most `HOT_KEYS` entries, and both sides of a join see the same list, since it is fetched once.
+One key may hold a large share of all rows. Aggregations are safe, since Spark combines rows before the shuffle, and skewed
+joins are split by adaptive execution. Windows are not: all rows of the key would meet in one task. `cut_hot` looks for such
+keys in the data, whatever its size, and cuts their timelines into slices of similar numbers of rows, for operators that can
+stitch slices together. The hot keys stay a distributed table; only the sum of their rows reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1024
-SKETCH_ITEMS = 16_384
-# Sketches are merged in this many groups of tasks first, so that no task merges those of all others.
-SKETCH_GROUPS = 256
-# Rows of one key that one task handles well. A key with fewer is not worth splitting.
-TASK_ROWS = 4_000_000
-# Jobs that read less than this cannot have a partition worth splitting and are not examined.
-EXAMINE_BYTES = 4 << 30
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """Hash of each hot key, with the number of shards to split it into."""
-
-    keys: tuple[str, ...]
-    shards: dict[int, int]
-
-    def hash(self) -> Column:
-        return F.xxhash64(*self.keys)
-
-    def shards_of(self) -> Column:
-        """Number of shards of the row's key, 1 for all but hot keys."""
-        shards = F.lit(1)
-        by_count: dict[int, list[int]] = {}
-        for key, count in self.shards.items():
-            by_count.setdefault(count, []).append(key)
-        for count, keys in by_count.items():
-            shards = F.when(self.hash().isin(keys), F.lit(count)).otherwise(shards)
-        return shards
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame, the one its own broadcast decision uses."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcastable(df: DataFrame) -> bool:
-    """Whether the frame's estimated size is within the session's broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of the relations a frame is computed from."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def hot_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS,
-             examine_bytes: int = EXAMINE_BYTES) -> HotKeys:
-    """Keys of `df` with more than `task_rows` rows: at most `HOT_KEYS` of them, by estimated frequency."""
-    names = tuple(keys)
-    if input_bytes(df) < examine_bytes:
-        return HotKeys(names, {})
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    tops = (df.select(F.xxhash64(*keys).alias("h"), group.alias("g")).groupBy("g")
-            .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")))
-    found = (tops.select(F.inline("top")).groupBy("item").agg(F.sum("count").alias("rows"))
-             .filter(F.col("rows") > task_rows).orderBy(F.col("rows").desc()).limit(HOT_KEYS).collect())
-    return HotKeys(names, {row["item"]: _shards(row["rows"], task_rows) for row in found})
-
-
-def _shards(rows: int, task_rows: int) -> int:
-    """Power of two, so that few distinct counts occur."""
-    return 1 << max(1, (rows // task_rows).bit_length())
+from lakeloom.sources.lake import committed
 
+# Rows of one key that one task handles well. A key with fewer is not worth cutting.
+TASK_ROWS = 4_000_000
 
-def skew_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", task_rows: int = TASK_ROWS,
-              examine_bytes: int = EXAMINE_BYTES, examine: DataFrame | None = None) -> DataFrame:
-    """Join a large frame to one whose rows per key are few, whatever the distribution of the large one.
 
-    A small `dim` is broadcast by Spark and needs no splitting. Otherwise fact rows of hot keys are sharded by the
-    content of the whole row, and dimension rows of those keys are copied once per shard. Identical fact rows share
-    a shard; Spark's adaptive skew join, which splits by position, takes over for them.
-    `examine` is where hot keys are looked for, `fact` itself by default: when `fact` is the outcome of a long plan, name
-    the table its keys come from, so that the plan is not run once more for it.
-    `how` may be inner, left, left_semi or left_anti: each fact row is looked up in exactly one shard.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"skew_join cannot do a {how} join")
-    if broadcastable(dim):
-        return fact.join(dim, on, how)
-    hot = hot_keys(fact if examine is None else examine, on, task_rows, examine_bytes)
-    if not hot.shards:
-        return fact.join(dim, on, how)
-    count = hot.shards_of()
-    sharded = fact.withColumn("_shard", F.pmod(F.xxhash64(*fact.columns), count).cast("int"))
-    copied = dim.withColumn("_shard", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
-    return sharded.join(copied, [*on, "_shard"], how).drop("_shard")
+def hot_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """All keys of `df` with more than `task_rows` rows, with their number as `_rows`."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > task_rows)
 
 
-def hot_spans(df: DataFrame, keys: list[str], time: str, task_rows: int = TASK_ROWS,
-              examine_bytes: int = EXAMINE_BYTES) -> DataFrame | None:
-    """How to cut the timelines of the hot keys of `df`: rows (h, lo, width), one per hot key; None if there is none.
+def cut_hot(df: DataFrame, keys: list[str], order: list[str | Column], task_rows: int = TASK_ROWS,
+            examine: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of other keys, rows of hot keys with `_slice`), or None if no key is hot.
 
-    The time from a key's first to its last row is cut into equal slices, four times as many as the key has shards, to
-    leave room for uneven activity. `time` is a timestamp without null.
+    Rows of a key in slice i come before those in slice i+1 by `order`. Slices are the ranges that Spark cuts the sorted rows
+    into from a sample of them, so a key with all its rows in one day is cut as evenly as any other. They are committed,
+    since several steps read them and must see the same cuts. Rows with a null key count as not hot.
+    `examine` is where hot keys are looked for, `df` itself by default: when `df` is the outcome of a long plan, name the table
+    its keys come from, so that the plan is not run once more for it.
     """
-    hot = hot_keys(df, keys, task_rows, examine_bytes)
-    if not hot.shards:
+    hot = hot_keys(df if examine is None else examine, keys, task_rows)
+    total = hot.agg(F.sum("_rows")).first()[0]
+    if total is None:
         return None
-    spans = (df.select(hot.hash().alias("h"), _micros(time).alias("t")).filter(F.col("h").isin(list(hot.shards)))
-             .groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect())
-    cuts = [(span.h, span.lo, (span.hi - span.lo) // (4 * hot.shards[span.h]) + 1) for span in spans]
-    return df.sparkSession.createDataFrame(cuts, "_h bigint, _lo bigint, _width bigint")
-
-
-def add_slices(df: DataFrame, keys: list[str], time: str, spans: DataFrame) -> DataFrame:
-    """Add `_slice`: rows of a key in slice i are all earlier than those in slice i+1. Keys that are not hot have the
-    single slice 0. `spans` has at most `HOT_KEYS` rows, hence the broadcast."""
-    place = F.floor((_micros(time) - F.col("_lo")) / F.col("_width")).cast("bigint")
-    cut = df.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(spans), "_h", "left")
-    return cut.withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_h", "_lo", "_width")
-
-
-def _micros(time: str) -> Column:
-    return F.unix_micros(F.col(time).cast("timestamp"))
+    hot = committed(hot.select(*keys), "hot-keys")
+    ranged = df.join(hot, keys, "left_semi").repartitionByRange(-(-total // task_rows), *keys, *order)
+    sliced = committed(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    return df.join(hot, keys, "left_anti"), sliced

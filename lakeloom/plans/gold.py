@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from lakeloom.functions.bands import LOWEST_SEGMENT, SPEND_SEGMENTS, segment
 from lakeloom.functions.money import cents, from_cents, mean_half_up, revenue, revenue_cents
 from lakeloom.operators.ranking import top_by_rank
-from lakeloom.operators.skew import skew_join
 from lakeloom.operators.timeline import as_of
 
 REVENUE = "total_revenue_after_discount"
@@ -106,7 +105,7 @@ def enrich_orders(orders: DataFrame, products: DataFrame, version: str = "curren
     if version == "current":
         if "is_current" in renamed.columns:
             renamed = renamed.filter("is_current")
-        return skew_join(orders, renamed.select("product_id", *wanted), ["product_id"], **skew)
+        return orders.join(renamed.select("product_id", *wanted), "product_id")
     if version == "as_of":
         return as_of(orders, renamed, ["product_id"], "date", "valid_from", "valid_to", wanted, **skew)
     raise ValueError(f"unknown version {version!r}")

@@ -22,7 +22,8 @@ def jdbc_append(df: DataFrame, conn: JdbcConnection, table: str, fields: Mapping
     rows = df if fields is None else project(df, fields, defaults=SERVING_DEFAULTS)
     if batch_id is not None:
         rows = rows.withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
-    (rows.write.format("jdbc").mode("append").options(**conn.properties())
+    # The shuffle keeps the plan below at its own width; only the insert is as narrow as the connections.
+    (rows.repartition(connections).write.format("jdbc").mode("append").options(**conn.properties())
      .option("url", conn.url).option("dbtable", table).option("numPartitions", connections).save())
 
 

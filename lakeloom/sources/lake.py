@@ -75,28 +75,20 @@ class LakeTable:
             raise ValueError("replace_partitions needs a partitioned table")
         self._writer(df, "overwrite").option("partitionOverwriteMode", "dynamic").save(self.path)
 
-    def touched(self, df: DataFrame, limit: int = 1000) -> Column | None:
-        """A predicate selecting the partitions `df` falls in, or None when it falls in more than `limit` of them.
+    def touched(self, df: DataFrame) -> Column:
+        """A predicate selecting the partitions `df` falls in.
 
-        Only distinct partition values reach the driver, never keys; beyond the limit callers read the whole table,
-        which is then the cheaper plan anyway.
+        Distinct partition values reach the driver, never keys: no more than the partitions that it lists to read the table
+        and commits when `df` is merged into it.
         """
-        values = df.select(*self.partition_by).distinct().limit(limit + 1).collect()
-        if len(values) > limit:
-            return None
-        *leading, last = self.partition_by
-        groups: dict[tuple, list] = {}
-        for row in values:
-            groups.setdefault(tuple(row)[:-1], []).append(row[-1])
-        predicate = F.lit(False)
-        for prefix, found in groups.items():
-            one = F.col(last).isin([value for value in found if value is not None])
-            if None in found:
-                one = one | F.col(last).isNull()
-            for name, value in zip(leading, prefix):
-                one = one & F.col(name).eqNullSafe(F.lit(value))
-            predicate = predicate | one
-        return predicate
+        values = df.select(*self.partition_by).distinct().collect()
+        if not values:
+            return F.lit(False)
+        kinds = [df.schema[name].dataType for name in self.partition_by]
+        # One flat list of structs, in which null equals null; a chain of thousands of conditions would be too deep.
+        places = [F.struct(*[F.lit(value).cast(kind).alias(name) for name, kind, value in zip(self.partition_by, kinds, row)])
+                  for row in values]
+        return F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in zip(self.partition_by, kinds)]).isin(places)
 
     def _writer(self, df: DataFrame, mode: str):
         return (compact_by(df, self.partition_by).write.format(self.fmt).mode(mode)

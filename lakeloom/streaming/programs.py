@@ -154,7 +154,7 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def _touched(table: CdcTable, changes: DataFrame) -> Column | None:
+def _touched(table: CdcTable, changes: DataFrame) -> Column:
     return table.silver.touched(changes.withColumns(dict(table.bucket())))
 
 
@@ -177,9 +177,12 @@ def run_cdc(stream: DataFrame, table: CdcTable, trigger: Mapping[str, object] |
             .trigger(**(trigger or {"processingTime": "2 minutes"})).start())
 
 
-def run_all(streams: list[tuple[DataFrame, CdcTable]], trigger: Mapping[str, object] | None = None) -> None:
-    """Run several streams side by side in one session until all have ended or one has failed."""
-    started = [run_cdc(stream, table, trigger) for stream, table in streams]
+def run_all(streams: list[tuple[DataFrame, CdcTable]], trigger: Mapping[str, object] | None = None,
+            publish: Mapping[str, Callable[[DataFrame, int], None]] | None = None) -> None:
+    """Run several streams side by side in one session until all have ended or one has failed. `publish` names the steps
+    that send the changed rows of a table on, by table name."""
+    steps = publish or {}
+    started = [run_cdc(stream, table, trigger, steps.get(table.name)) for stream, table in streams]
     try:
         for one in started:
             one.awaitTermination()

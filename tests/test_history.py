@@ -114,6 +114,6 @@ def test_hot_key_history_equals_plain_history(spark, tracked):
     data = [(1 if i % 3 else i % 40 + 2, i * 37 % 5000 * 1000, i, i % 11 == 0, None if i % 11 == 0 else "ab"[i % 7 % 2])
             for i in range(3000)]
     plain = scd2.versions(frame(spark, data), KEYS, tracked)
-    split = scd2.versions(frame(spark, data), KEYS, tracked, task_rows=100, examine_bytes=0)
+    split = scd2.versions(frame(spark, data), KEYS, tracked, task_rows=100)
     assert "_slice" in split._jdf.queryExecution().optimizedPlan().toString()
     assert rows(plain) == rows(split)

@@ -119,6 +119,9 @@ class FakeFrame:
     def __init__(self):
         self.write, self.asked = self, {}
 
+    def repartition(self, tasks):
+        return self.option("tasks", tasks)
+
     def format(self, name):
         return self.option("format", name)
 
@@ -142,7 +145,8 @@ def test_jdbc_append_options():
     serving.jdbc_append(frame, CONN, "products", connections=3)
     assert frame.asked == {
         "format": "jdbc", "mode": "append", "driver": "x.Driver", "user": "u", "password": "secret", "fetchsize": "10000",
-        "batchsize": "10000", "url": "jdbc:x://host/db", "dbtable": "products", "numPartitions": 3, "saved": True}
+        "batchsize": "10000", "url": "jdbc:x://host/db", "dbtable": "products", "tasks": 3, "numPartitions": 3,
+        "saved": True}
 
 
 def test_publish_sends_each_table_to_its_own(spark, tmp_path, monkeypatch):

@@ -4,90 +4,70 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators.skew import add_slices, broadcastable, hot_keys, hot_spans, skew_join
+from lakeloom.operators.skew import cut_hot, hot_keys
 from lakeloom.operators.timeline import as_of, with_neighbour
 from tests.conftest import rows
 
-SMALL = {"task_rows": 50, "examine_bytes": 0}
+SMALL = {"task_rows": 50}
+START = datetime(2024, 1, 1)
 
 
-@pytest.fixture(scope="module")
-def facts(spark):
-    """One key holds a third of all rows."""
-    return spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).cast("bigint").alias("k"), F.col("id").alias("v"))
+def events(spark, n=2000, seed=3):
+    pick = random.Random(seed)
+    data = [(1 if pick.random() < 0.4 else pick.randint(2, 60), START + timedelta(minutes=pick.randint(0, 50_000)), i)
+            for i in range(n)]
+    return spark.createDataFrame(data, "k bigint, t timestamp_ntz, i bigint")
 
 
-def test_hot_keys_are_found_and_cold_ones_are_not(spark, facts):
-    hot = hot_keys(facts, ["k"], **SMALL)
-    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]
-    assert list(hot.shards) == [seven] and hot.shards[seven] >= 16
+def test_hot_keys_are_found_and_cold_ones_are_not(spark):
+    """One key holds a third of all rows."""
+    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).alias("k"))
+    assert rows(hot_keys(facts, ["k"], **SMALL), "k") == [(7,)]
 
 
 def test_no_hot_key_no_slices(spark):
-    df = events(spark, 300)
-    assert hot_spans(df, ["k"], "t", task_rows=10_000, examine_bytes=0) is None
-
-
-def test_small_inputs_are_not_examined(facts):
-    assert hot_keys(facts, ["k"], task_rows=1).shards == {}
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_join(spark, facts, no_broadcast, how):
-    dim = spark.range(5, 300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    assert not broadcastable(dim)
-    joined = skew_join(facts, dim, ["k"], how, **SMALL)
-    assert "_shard" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert rows(joined) == rows(facts.join(dim, ["k"], how))
-
+    assert cut_hot(events(spark, 300), ["k"], ["t", "i"], task_rows=10_000) is None
+    assert cut_hot(events(spark, 1).limit(0), ["k"], ["t", "i"], task_rows=0) is None
 
-def test_skew_join_spreads_the_hot_key(spark, facts, no_broadcast):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    try:
-        joined = skew_join(facts, spark.range(400).withColumnRenamed("id", "k"), ["k"], **SMALL)
-        sizes = [r[1] for r in joined.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert len(sizes) > 4 and max(sizes) < 600
 
+def test_all_of_many_hot_keys_are_cut_evenly(spark):
+    df = spark.range(150_000).select((F.col("id") % 1500).alias("k"), F.col("id").alias("t"))
+    cold, hot = cut_hot(df, ["k"], ["t"], task_rows=99)
+    assert cold.isEmpty() and hot.select("k").distinct().count() == 1500
+    sizes = [r["count"] for r in hot.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 150_000 and max(sizes) <= 4 * 99
 
-def test_broadcastable_side_is_joined_plainly(spark, facts):
-    dim = spark.range(10).withColumnRenamed("id", "k")
-    assert broadcastable(dim)
-    assert "_shard" not in skew_join(facts, dim, ["k"], **SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
+def test_bursty_key_is_cut_evenly(spark):
+    """All but a hundredth of the key's rows are of one day in three years."""
+    second = F.when(F.col("id") % 100 == 0, F.col("id") * 900).otherwise(40_000_000 + F.col("id") % 86_400)
+    df = spark.range(100_000).select(F.lit(1).alias("k"), F.timestamp_seconds(second).alias("t"), F.col("id").alias("i"))
+    cold, hot = cut_hot(df, ["k"], ["t", "i"], task_rows=2000)
+    sizes = [r["count"] for r in hot.groupBy("_slice").count().collect()]
+    assert cold.isEmpty() and sum(sizes) == 100_000 and max(sizes) <= 2 * 2000
 
-def test_skew_join_rejects_joins_it_cannot_split(spark, facts):
-    with pytest.raises(ValueError):
-        skew_join(facts, facts, ["k"], "full_outer")
 
-
-START = datetime(2024, 1, 1)
-
-
-def events(spark, n=2000, seed=3):
-    pick = random.Random(seed)
-    data = [(1 if pick.random() < 0.4 else pick.randint(2, 60), START + timedelta(minutes=pick.randint(0, 50_000)), i)
-            for i in range(n)]
-    return spark.createDataFrame(data, "k bigint, t timestamp_ntz, i bigint")
-
-
-def test_time_slices_are_ordered_and_only_cut_hot_keys(spark):
+def test_slices_are_ordered_and_only_cut_hot_keys(spark):
     df = events(spark)
-    cut = add_slices(df, ["k"], "t", hot_spans(df, ["k"], "t", **SMALL)).withColumnRenamed("_slice", "s")
-    assert cut.filter("k <> 1 AND s <> 0").count() == 0
-    spans = cut.filter("k = 1").groupBy("s").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("s").collect()
-    assert len(spans) > 20
+    cold, hot = cut_hot(df, ["k"], ["t", "i"], **SMALL)
+    assert rows(hot.select("k").distinct()) == [(1,)] and cold.filter("k = 1").isEmpty()
+    assert rows(cold.unionByName(hot.drop("_slice"))) == rows(df)
+    at = F.struct("t", "i")
+    spans = hot.groupBy("_slice").agg(F.min(at).alias("a"), F.max(at).alias("b")).orderBy("_slice").collect()
+    assert len(spans) > 10
     assert all(one.b < two.a for one, two in zip(spans, spans[1:]))
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, i) for i in range(200)] + [(1, i) for i in range(200)], "k bigint, i bigint")
+    plain, sliced = (with_neighbour(df, ["k"], ["i"], {"next": "i"}, **options) for options in ({}, SMALL))
+    assert rows(plain) == rows(sliced) and sliced.count() == 400
+
+
 @pytest.mark.parametrize("forward", [True, False])
 def test_sliced_neighbour_equals_plain_window(spark, forward):
     df = events(spark)
-    plain, sliced = (with_neighbour(df, ["k"], "t", ["t", "i"], {"other": "i", "when": "t"}, forward, **options)
+    plain, sliced = (with_neighbour(df, ["k"], ["t", "i"], {"other": "i", "when": "t"}, forward, **options)
                      for options in ({}, SMALL))
     assert "_slice" in sliced._jdf.queryExecution().optimizedPlan().toString()
     assert rows(plain) == rows(sliced)
@@ -97,7 +77,7 @@ def test_neighbour_by_brute_force(spark):
     df = events(spark, 300)
     data = sorted((r.k, r.t, r.i) for r in df.collect())
     follow = {one[2]: two[2] for one, two in zip(data, data[1:]) if one[0] == two[0]}
-    got = with_neighbour(df, ["k"], "t", ["t", "i"], {"other": "i"}, **SMALL)
+    got = with_neighbour(df, ["k"], ["t", "i"], {"other": "i"}, **SMALL)
     assert {r.i: r.other for r in got.collect() if r.other is not None} == follow
 
 
