@@ -175,10 +175,10 @@ def id_of(doc: Column) -> Column:
     return F.when(doc < F.lit(str(LAST)).cast("decimal(20,0)"), doc.cast("bigint"))
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = 1, near_words: int = 8) -> DataFrame:
     """The rows of `docs`, in their columns, without the lines that repeat; rows of which nothing is left go.
 
-    A row keeps its text as it is if no line of it repeats. n_chars, if there, is set for rows that changed.
+    Lines of any length count, so that of a copy no short or unspaced line stays. A row keeps its text as it is if no line of it repeats. n_chars, if there, is set for rows that changed.
     """
     dropped = committed(repeated_lines(docs, min_words, near_words), "repeated-lines")
     by_doc = dropped.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_drop"))

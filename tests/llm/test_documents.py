@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from check import compare, views
 from lakeloom.llm import decontaminate, licences, line_dedup, near_dups
 from lakeloom.llm.decontaminate import align
@@ -189,6 +190,13 @@ def test_lines_of_odd_documents(odd_docs, no_docs):
     assert line_dedup.repeated_lines(no_docs).count() == 0
 
 
+def test_short_and_unspaced_lines_repeat(spark):
+    text = f"haanth\n{A}\n他们在这里工作了很多年\nand ornd"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, f"And ornd!\n{B}\n---"), (4, "haanth"), (5, "haanth ornd"), (6, "---")],
+                                 "doc_id bigint, text string")
+    assert dict(rows(corpus_pipeline.lines(spark, docs, ""))) == {1: text, 3: f"{B}\n---", 5: "haanth ornd", 6: "---"}
+
+
 def test_no_python_in_native_operators(spark):
     for name in ("op3_licence_scan", "op10_line_dedup"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
