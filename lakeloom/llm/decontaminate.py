@@ -1,17 +1,16 @@
 """Benchmark decontamination: rare n-grams seed alignments of documents with test items.
 
-First pass: which documents hold each n-gram of the benchmark. From each stretch of an item the n-grams that the fewest
-documents hold become seeds, so that an edited copy keeps some and common phrases start nothing. Second pass, over
-documents that hold a seed: the words around the seeds of an item are aligned with it (Smith-Waterman, in words),
-which scores exact, edited and paraphrased copies alike.
+Every n-gram of an item is a seed, so that an edited copy is met wherever n words in a row are left of it. The words around
+the seeds of an item are aligned with it (Smith-Waterman, in words), which scores exact, edited and paraphrased copies
+alike. A common phrase starts no alignment by itself: as many words of the item as a copy must have are needed near it.
 
-Documents are only scanned, never shuffled. The benchmark is taken in blocks of bounded size; its n-grams, and not
-those of the documents, reach the driver.
+Documents are only scanned, once for each block of the benchmark, and never shuffled. A block is of bounded size.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,48 +70,19 @@ def runs(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram, at
 
 
-def held_grams(docs: DataFrame, items: Items, grams: np.ndarray) -> DataFrame:
-    """(doc_id, grams): for each document that holds any of the sorted hashes, which ones, by their numbers."""
-    def start():
-        def one(row: tuple) -> Iterator[tuple]:
-            doc_id, text = row
-            words = items.numbers(text)
-            found: set[int] = set()
-            for n in items.sizes():
-                own, _ = runs(words, n)
-                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                found.update(at[grams[at] == own].tolist())
-            if found:
-                yield doc_id, sorted(found)
-        return one
-
-    return committed(map_rows(docs, ["doc_id", "text"], start, {"doc_id": pa.int64(), "grams": pa.list_(pa.int64())}),
-                     "benchmark-grams")
-
-
-def frequencies(held: DataFrame, size: int) -> np.ndarray:
-    """In how many documents each n-gram occurs."""
-    counts = np.zeros(size, np.int64)
-    for row in held.select(F.explode("grams").alias("gram")).groupBy("gram").count().toLocalIterator():
-        counts[row.gram] = row["count"]
-    return counts
-
-
 @dataclass
 class Seeds:
-    """The chosen n-grams, sorted by hash, with the item and the position each starts at."""
+    """The n-grams of the items, sorted by hash, with the item and the position each starts at."""
 
     grams: np.ndarray
     item: np.ndarray
     at: np.ndarray
 
-
-def rare(item: np.ndarray, at: np.ndarray, counts: np.ndarray, stretch: int, take: int) -> np.ndarray:
-    """The rows of the `take` rarest n-grams of each `stretch` of neighbouring ones of an item."""
-    order = np.lexsort((at, counts, at // stretch, item))
-    group = item[order].astype(np.int64) * (1 << 32) + at[order] // stretch
-    first = np.searchsorted(group, group)
-    return order[np.arange(len(order)) - first < take]
+    @classmethod
+    def of(cls, items: Items) -> Seeds:
+        grams, item, at = items.grams()
+        order = np.argsort(grams, kind="stable")
+        return cls(grams[order], item[order], at[order])
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -143,6 +113,14 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, *where
 
 
+def shared_words(text: np.ndarray, item: np.ndarray) -> int:
+    """How many words a text has of an item, each as often as both hold it; no alignment matches more."""
+    held, times = np.unique(text, return_counts=True)
+    own, most = np.unique(item, return_counts=True)
+    _, i, j = np.intersect1d(held, own, assume_unique=True, return_indices=True)
+    return int(np.minimum(times[i], most[j]).sum())
+
+
 def matches(words: np.ndarray, items: Items, seeds: Seeds, threshold: float) -> Iterator[tuple]:
     """(item, score, start, end) of the items that a document holds a copy of; the best place of each."""
     found_item, found_begin = [], []
@@ -166,8 +144,12 @@ def matches(words: np.ndarray, items: Items, seeds: Seeds, threshold: float) ->
     for i, j in zip(edges[:-1], edges[1:]):
         which = int(item[i])
         own = items.words[which]
-        low = max(0, int(begin[i]) - len(own) // 2 - 2)
-        window = words[low:int(begin[j - 1]) + len(own) + len(own) // 2 + 3]
+        # A copy with more words between its own than this scores less than the threshold.
+        between = max(0, math.ceil(MATCH * len(own) * (1 - threshold) / -GAP))
+        low = max(0, int(begin[i]) - between)
+        window = words[low:int(begin[j - 1]) + len(own) + between]
+        if shared_words(window, own) / len(own) < threshold:
+            continue
         score, start, end = align(window, own)
         share = score / (MATCH * len(own))
         if share >= threshold and (which not in best or share > best[which][0]):
@@ -189,11 +171,10 @@ def blocks_of(benchmark: DataFrame, block_items: int) -> Iterator[tuple[list[int
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, stretch: int = 6, take: int = 3,
-                 block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): each document and item of which it holds a copy, exact or edited.
 
-    The score is the alignment's, as a share of an exact copy's; copies reach `threshold`. The words from start_word
+    The score is the alignment's, as a share of an exact copy's; copies reach `threshold` and have n words in a row. The words from start_word
     to before end_word of the document, counted from 0, are the best copy. Null and empty texts hold none, and columns other than
     (doc_id, text) and (item_id, text) are not read. Rows that repeat are each reported. An item shorter than n words is a
     seed as a whole. Without items the result is empty.
@@ -201,16 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     found = None
     for ids, texts in blocks_of(benchmark, block_items):
         items = Items.of(ids, texts, n)
-        gram, item, at = items.grams()
-        distinct, back = np.unique(gram, return_inverse=True)
-        held = held_grams(docs, items, distinct)
-        rows = rare(item, at, frequencies(held, len(distinct))[back], stretch, take)
-        # Only documents that hold a seed are read again. The seeds of a block are bounded, and so broadcast.
-        chosen = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in np.unique(back[rows])], "gram bigint"))
-        holders = held.select("doc_id", F.explode("grams").alias("gram")).join(chosen, "gram", "left_semi")
-        again, _ = may_hold(docs.select("doc_id", "text"), holders.select("doc_id"))
-        rows = rows[np.argsort(gram[rows], kind="stable")]
-        part = map_rows(again, ["doc_id", "text"], aligner(items, Seeds(gram[rows], item[rows], at[rows]), threshold), HIT)
+        part = map_rows(docs, ["doc_id", "text"], aligner(items, Seeds.of(items), threshold), HIT)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame(

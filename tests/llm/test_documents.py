@@ -138,6 +138,27 @@ def test_copies_of_benchmark_items(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(odd_docs, items).count() == 0
 
 
+def test_copies_edited_in_every_stretch(spark):
+    """Copies that keep three words in a row anywhere are found as the full table finds them, whatever else documents hold."""
+    rng = np.random.default_rng(6)
+    items = [[f"q{k}x{i}" for i in range(40)] for k in range(8)]
+    docs = {}
+    for k, item in enumerate(items):
+        step = 4 + k % 4
+        docs[k] = [f"n{d}" for d in range(30)] + [f"y{i}" if i % step == step // 2 else w for i, w in enumerate(item)]
+    # An exact copy, parts of it, and a copy that is stretched by new words.
+    docs[20] = items[0]
+    docs |= {30 + i: items[1][i:i + 5] for i in range(36)}
+    docs[70] = [w for i, own in enumerate(items[2]) for w in ([own] if i < 6 else [own, f"z{rng.integers(99)}"])]
+    docs = {d: [str(w) for w in words] for d, words in docs.items()}
+    expected = {(d, k): round(score / 80, 6) for d, words in docs.items() for k, item in enumerate(items)
+                if (score := plain_alignment(words, item)) >= 40}
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(d, " ".join(words)) for d, words in docs.items()], "doc_id bigint, text string"),
+        spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in found.collect()} == expected and len(expected) == 10
+
+
 def one_edit(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     table[:, 0], table[0, :] = range(len(a) + 1), range(len(b) + 1)
