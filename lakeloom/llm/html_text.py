@@ -99,6 +99,11 @@ def name_of(tag: str) -> str:
     return named[1].lower() if named else ""
 
 
+@functools.cache
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|$)", re.I)
+
+
 def bad_names(given: dict[str, str], names: re.Pattern) -> bool:
     """Whether a class or the id says that this is no part of the article."""
     return any(names.search(x) and not LAYOUT.search(x)
@@ -111,7 +116,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool, bool]] = []
     found: list[Block] = []
     current: Block | None = None
-    raw: str | None = None
     bad = main = unseen = linked = 0
     headings = 0
     opened: dict[str, int] = {}
@@ -124,12 +128,9 @@ def blocks(page: str) -> list[Block]:
             bad, main, unseen, linked = bad - flags[0], main - flags[1], unseen - flags[2], linked - flags[3]
             headings -= name in HEADINGS
 
-    for match in TOKEN.finditer(page):
+    tokens = TOKEN.finditer(page)
+    while (match := next(tokens, None)) is not None:
         token = match[0]
-        if raw:
-            if not (token.startswith("</") and token[2:2 + len(raw)].lower() == raw):
-                continue
-            raw = None
         if token[0] != "<" or token == "<":
             if unseen:
                 continue
@@ -175,7 +176,9 @@ def blocks(page: str) -> list[Block]:
         bad, main, unseen, linked = bad + flags[0], main + flags[1], unseen + flags[2], linked + flags[3]
         headings += name in HEADINGS
         if name in RAW:
-            raw = name
+            # Nothing in such an element is a tag but its own end.
+            end = raw_end(name).search(page, match.end())
+            tokens = TOKEN.finditer(page, end.start() if end else len(page))
     return found
 
 

@@ -30,6 +30,15 @@ def test_odd_pages():
     assert main_text("<div class='content has-sidebar'><p>" + STOPS + "</p></div>") == STOPS
 
 
+def test_raw_content_ends_at_its_own_tag():
+    article = f"<article><p>{STOPS}</p></article>"
+    for script in ("for(i=0;i<n;i++){f()}", "if (a<b) x='", "a<b && c<d // <!-- \"", "s='<p class=\"x'"):
+        for page in (f"<script>{script}</script>{article}", f"<script>{script}</SCRIPT >{article}<script>g()</script>",
+                     f"<title>a<b</title><style>{script}</style>{article}"):
+            assert main_text(page) == STOPS
+    assert main_text(f"<script>a<b {article}") == ""
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")],
                                   "page_id bigint, url string, html string, text string")
