@@ -115,7 +115,8 @@ def blocks(page: str) -> list[Block]:
     # Open elements: (name, is bad, is main, is unseen, is a link).
     stack: list[tuple[str, bool, bool, bool, bool]] = []
     found: list[Block] = []
-    current: Block | None = None
+    # The blocks of the current paragraph: its text, and that of bad or main elements in it, by (is bad, is main).
+    here: dict[tuple[bool, bool], Block] = {}
     bad = main = unseen = linked = 0
     headings = 0
     opened: dict[str, int] = {}
@@ -134,8 +135,9 @@ def blocks(page: str) -> list[Block]:
         if token[0] != "<" or token == "<":
             if unseen:
                 continue
+            current = here.get((bad > 0, main > 0))
             if current is None:
-                current = Block(bad > 0, main > 0, headings > 0)
+                current = here[bad > 0, main > 0] = Block(bad > 0, main > 0, headings > 0)
                 found.append(current)
             current.parts.append(token)
             if linked:
@@ -143,17 +145,17 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name_of(token)
         if not name:
-            if token.startswith("<![CDATA[") and not unseen and current is not None:
-                current.parts.append(entities.escape(token[9:-3]))
+            if token.startswith("<![CDATA[") and not unseen and (bad > 0, main > 0) in here:
+                here[bad > 0, main > 0].parts.append(entities.escape(token[9:-3]))
             continue
         if token[1] == "/":
             if opened.get(name):
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             if name in BLOCK:
-                current = None
+                here = {}
             continue
         if name in BLOCK:
-            current = None
+            here = {}
             if stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 close(len(stack) - 1)
             elif name != "br" and opened.get("p"):
@@ -169,8 +171,6 @@ def blocks(page: str) -> list[Block]:
         is_unseen = (name in UNSEEN or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
                      or "display:none" in given.get("style", "").lower().replace(" ", ""))
         flags = is_bad, is_main, is_unseen, name == "a"
-        if is_bad and not bad or is_main and not main:
-            current = None
         stack.append((name, *flags))
         opened[name] = opened.get(name, 0) + 1
         bad, main, unseen, linked = bad + flags[0], main + flags[1], unseen + flags[2], linked + flags[3]

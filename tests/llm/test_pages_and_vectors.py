@@ -39,6 +39,18 @@ def test_raw_content_ends_at_its_own_tag():
     assert main_text(f"<script>a<b {article}") == ""
 
 
+def test_text_around_a_bad_inline_element():
+    half, rest = STOPS[:60], STOPS[60:]
+    for bad in ('<span class="ad">x</span>', "<button>x</button>", "<label>x <b>y</b></label>", '<x-box class="share">x</x-box>',
+                "<textarea>x</textarea>"):
+        for page in (f"<article><p>{half}{bad}{rest}</p></article>", f"<p>{half}{bad}{rest}</p>", f"<div>{half}{bad}{rest}</div>"):
+            assert main_text(page) == STOPS
+    assert main_text(f'<article><p>First half <span class="ad">x</span> second half.</p></article>') == "First half second half."
+    # What holds blocks ends the paragraph; so does an element that was never closed, at the end of its parent.
+    assert main_text(f'<article>{half}<span class="ad"><div>x</div></span>{STOPS}</article>') == f"{half.strip()}\n\n{STOPS}"
+    assert main_text(f'<article><div>One <span class="ad">x</div>{STOPS}</article>') == f"One\n\n{STOPS}"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")],
                                   "page_id bigint, url string, html string, text string")
