@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass classes each block by its length, its link density (share of
 characters inside links) and its stop-word density, with the containers it stands in: blocks of menus, page headers and footers,
 sidebars, notices, adverts, forms and comments are bad whatever they say. Short blocks and blocks without stop words are
-left undecided. The second pass gives each undecided block the label of the nearest decided neighbours in the page.
+left undecided. On pages in a language whose stop words are not known length and links decide. The second pass gives each undecided block the label of the nearest decided neighbours in the page.
 """
 
 from __future__ import annotations
@@ -186,12 +186,26 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GOOD, BAD, SHORT = "good", "bad", "short"
 
 
-def classify(block: Block, text: str, rules: Rules) -> str:
-    """The first pass: good, bad, or short for undecided."""
-    if block.bad:
-        return BAD
-    letters = max(1, len(text.replace(" ", "")))
-    if block.linked / letters > rules.links:
+def excluded(block: Block, text: str, rules: Rules) -> bool:
+    """Whether containers or links rule a block out."""
+    return block.bad or block.linked / max(1, len(text.replace(" ", ""))) > rules.links
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def is_read(held: list[tuple[Block, str]], rules: Rules) -> bool:
+    """Whether the longer blocks of a page are together in a language whose stop words are known."""
+    counts = [stop_words(text) for b, text in held if len(text) >= rules.short and not excluded(b, text, rules)]
+    return sum(s for s, _ in counts) >= rules.stop_low * sum(n for _, n in counts)
+
+
+def classify(block: Block, text: str, rules: Rules, read: bool) -> str:
+    """The first pass: good, bad, or short for undecided; without stop words if the page is not `read`."""
+    if excluded(block, text, rules):
         return BAD
     if "\N{COPYRIGHT SIGN}" in text and len(text) < rules.long and not block.main:
         return BAD
@@ -200,8 +214,10 @@ def classify(block: Block, text: str, rules: Rules) -> str:
         return GOOD
     if len(text) < rules.short:
         return SHORT
-    words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not read:
+        return GOOD
+    known, words = stop_words(text)
+    stops = known / max(1, words)
     if stops >= rules.stop_high or stops >= rules.stop_low and len(text) >= rules.long:
         return GOOD
     return SHORT if stops >= rules.stop_low else BAD
@@ -211,7 +227,8 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The main text of a page: its good blocks in order, two line feeds between; empty if there is none."""
     held = [(b, text) for b in blocks(page or "") if (text := b.text())]
     has_main = any(b.main for b, _ in held)
-    labels = [classify(b, text, rules) for b, text in held]
+    read = has_main or is_read(held, rules)
+    labels = [classify(b, text, rules, read) for b, text in held]
     if has_main:
         labels = [label if b.main else BAD for label, (b, _) in zip(labels, held)]
     before = nearest(labels)

@@ -51,6 +51,15 @@ def test_text_around_a_bad_inline_element():
     assert main_text(f'<article><div>One <span class="ad">x</div>{STOPS}</article>') == f"One\n\n{STOPS}"
 
 
+def test_languages_without_known_stop_words():
+    for text in ("Вчера вечером жители города собрались на площади, чтобы обсудить новый план строительства моста через реку.",
+                 "昨天晚上市民们聚集在广场上，讨论跨河大桥的新建设计划。" * 4):
+        page = f'<nav><a href="/">{text}</a></nav><div><a href=x>{text}</a></div><p>{text}</p><p>{text}</p><div class="ad">{text}</div>'
+        assert main_text(page) == f"{text}\n\n{text}"
+    # A block without stop words on a page in a known language stays out.
+    assert main_text(f"<p>{STOPS}</p><p>{'Foo bar baz. ' * 10}</p><p>{STOPS}</p>") == f"{STOPS}\n\n{STOPS}"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")],
                                   "page_id bigint, url string, html string, text string")
