@@ -30,8 +30,7 @@ BANDS, ROWS = 30, 6
 SLOTS = BANDS * ROWS
 # Nodes of a bucket whose pairs are listed outright; larger buckets are compared by blocks of so many.
 SMALL, BLOCK = 48, 1024
-SIGNED = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()),
-          "signature": pa.binary()}
+SIGNED = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64())}
 
 
 def cells(words: np.ndarray, weights: str) -> np.ndarray:
@@ -83,7 +82,7 @@ def bands_of(signed: np.ndarray) -> list[int]:
 
 
 def sign(docs: DataFrame, weights: str) -> DataFrame:
-    """(doc_id, node, size, bands, signature) of each row; node is a hash of its words, null if it has none."""
+    """(doc_id, node, size, bands) of each row; node is a hash of its words, null if it has none."""
     def start():
         hashes = kept("hashes", None, WordHashes)
 
@@ -91,11 +90,10 @@ def sign(docs: DataFrame, weights: str) -> DataFrame:
             doc_id, text = row
             words = hashes.of(words_of(text))
             if not len(words):
-                yield doc_id, None, 0, [], b""
+                yield doc_id, None, 0, []
                 return
             own = cells(words, weights)
-            signed = signature(own)
-            yield doc_id, node_of(words), len(own), bands_of(signed), (signed & np.uint64(255)).astype(np.uint8).tobytes()
+            yield doc_id, node_of(words), len(own), bands_of(signature(own))
         return one
 
     return map_rows(docs, ["doc_id", "text"], start, SIGNED)
@@ -158,27 +156,28 @@ def listed(unlinked: DataFrame) -> DataFrame:
     return few.join(other, "key").filter("node < b AND component <> c").select(F.col("node").alias("a"), "b").distinct()
 
 
-def across(unlinked: DataFrame, signed: DataFrame, held: DataFrame, threshold: float, cutoff: float) -> DataFrame:
+def across(unlinked: DataFrame, signed: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join the components of large buckets (key, band, node, component, n).
 
     Every node goes to the blocks of its bucket, and pairs of blocks are compared inside tasks, a pair of nodes in the first band it shares
-    only. A pair whose signatures agree on `cutoff` of the coordinates or more is checked exactly, unless links found
-    already connect it; so a task gives no more links than it has nodes.
+    only: it is in one bucket there, and in another one of each later band it shares. Such a pair is checked exactly, unless
+    sizes rule it out or links found already connect it; so a task gives no more links than it has nodes.
     """
     many = unlinked.filter(F.col("n") > SMALL)
     nodes = many.select("node").distinct()
-    facts = signed.select("node", "signature").join(nodes, "node", "left_semi").dropDuplicates(["node"]).join(held, "node")
+    facts = signed.select("node", "bands").join(nodes, "node", "left_semi").dropDuplicates(["node"]).join(held, "node")
     many = many.join(facts, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "band", "node",
-                       "component", "signature", "cells")
+                       "component", "bands", "cells")
 
     def compare(table: pa.Table) -> pa.Table:
         own, low = table["own"].to_numpy(), table["low"][0].as_py()
         node, component, band = table["node"].to_numpy(), table["component"].to_pylist(), table["band"][0].as_py()
-        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), BANDS)
         contents_of = table["cells"].to_pylist()
+        size = np.array([len(c) for c in contents_of])
         first = np.flatnonzero(own == low)
         second = first if table["high"][0].as_py() == low else np.flatnonzero(own != low)
         root = {c: c for c in component}
@@ -191,11 +190,10 @@ def across(unlinked: DataFrame, signed: DataFrame, held: DataFrame, threshold: f
         out_a, out_b = [], []
         for i in first:
             others = second[node[second] > node[i]] if second is first else second
-            same = signatures[others] == signatures[i]
-            agree = same.mean(axis=1)
-            near = agree >= cutoff
-            near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for j in others[near][np.argsort(-agree[near])]:
+            same = bands[others] == bands[i]
+            near = same.argmax(axis=1) == band
+            near &= np.minimum(size[others], size[i]) >= threshold * np.maximum(size[others], size[i])
+            for j in others[near][np.argsort(-same[near].sum(axis=1), kind="stable")]:
                 x, y = find(component[i]), find(component[j])
                 if x != y and similarity(contents_of[i], contents_of[j]) >= threshold:
                     root[x] = y
@@ -225,10 +223,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> Da
         "key", "band", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     unlinked = committed(named.join(sizes.filter("x <> y").select("key", "n"), "key"), "unlinked")
-    # Four standard deviations of the estimate at the threshold.
-    cutoff = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SLOTS)
     edges = committed(edges.union(similar(listed(unlinked), held, threshold)).union(
-        across(unlinked, signed.filter("node IS NOT NULL"), held, threshold, cutoff)), "links")
+        across(unlinked, signed.filter("node IS NOT NULL"), held, threshold)), "links")
     member = components(edges, "components")
     placed = nodes.join(member, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     heads = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))

@@ -71,6 +71,25 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert dict(rows(near_dups.classes(docs))) == plain_classes(texts)
 
 
+def test_first_shared_band_is_that_of_the_whole_rows(spark):
+    """A band that agrees in five rows and the low byte of the sixth is not shared; the pair is compared where it is."""
+    nodes, shared, almost = [1, 2], 7, 3
+    signed = np.arange(2 * near_dups.SLOTS, dtype=np.uint64).reshape(2, -1) * np.uint64(1 << 20) + np.uint64([[1], [2]])
+    for band in (shared, almost):
+        signed[1, band * near_dups.ROWS:(band + 1) * near_dups.ROWS] = signed[0, band * near_dups.ROWS:(band + 1) * near_dups.ROWS]
+    signed[1, (almost + 1) * near_dups.ROWS - 1] += np.uint64(256)
+    keys = [near_dups.bands_of(row) for row in signed]
+    assert [a == b for a, b in zip(*keys)] == [band == shared for band in range(near_dups.BANDS)]
+    cells = np.arange(50, dtype="<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
+    held = spark.createDataFrame([(n, bytearray(cells)) for n in nodes], "node bigint, cells binary")
+    # The low bytes stand beside the bands, as signatures that hold no more.
+    facts = spark.createDataFrame([(n, k, bytearray((row & np.uint64(255)).astype(np.uint8).tobytes()))
+                                   for n, k, row in zip(nodes, keys, signed)], "node bigint, bands array<bigint>, signature binary")
+    unlinked = spark.createDataFrame([(keys[0][shared], shared, n, n, near_dups.SMALL + 1) for n in nodes],
+                                     "key bigint, band int, node bigint, component bigint, n bigint")
+    assert rows(near_dups.across(unlinked, facts, held, 0.8)) == [(1, 2)]
+
+
 def test_classes_of_odd_documents(odd_docs, no_docs):
     found = rows(near_dups.classes(odd_docs).filter("doc_id is not null"))
     assert dict(found) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 7, 10: 10, 11: 11}
