@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules, in DataFrame expressions only.
 
-A text is split into sentences, each is normalised (lower case, runs of anything but letters and digits as one space) and
-looked up among known licence sentences. What remains of a document is its sequence of sentence identifiers. Rules, the most
+A text is normalised (lower case, runs of anything but letters and digits as one space) and known licence sentences are
+looked up in it, from one line or sentence end to another; they may be wrapped over lines, in comments too. What remains of a document is its sequence of sentence identifiers. Rules, the most
 specific first, are sequences of identifiers; a rule that matches consumes its part, so that the sentences of a long licence
 are not reported again as a shorter one. Identifiers that no rule consumes are reported too.
 
@@ -99,25 +99,44 @@ RULES = [
     ("Unlicense", ["public-domain"]),
 ]
 
+# What the SQL does not know, and none of the given tables holds.
+MORE_SENTENCES = SENTENCES | {
+    "bsd-endorsement": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                       "promote products derived from this software without specific prior written permission",
+}
+MORE_RULES = [("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement"]), *RULES]
+
+# Sentence ends of the SQL, which does not join lines.
 SENTENCE_END = r"[.!?;:]+(\s+|$)|[\r\n]+"
 OTHER = r"[^a-z0-9\n]+"
+# A capital marks the end of a sentence in lower case.
+ENDED = "E"
+PUNCTUATION = r"[.!?;:]+(\s+|$)"
+OTHER_BUT_ENDED = rf"[^a-z0-9\n{ENDED}]+"
 USED = "/"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text in order; none for null."""
-    ended = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
-    return F.split(F.regexp_replace(ended, OTHER, " "), "\n")
-
-
 def identifiers(text: Column, known: dict[str, str]) -> Column:
-    """The identifiers of the known sentences of a text, in order, as `<a><b>`."""
+    """The identifiers of the known sentences of a text, in order, as `<a><b>`; a sentence may be wrapped over lines."""
+    lines = F.translate(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    ended = F.regexp_replace(lines, PUNCTUATION, ENDED)
+    flat = F.concat(F.lit("\n"), F.regexp_replace(ended, OTHER_BUT_ENDED, " "))
     by_sentence = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, f"<{name}>")])
-    found = F.transform(sentences(text), lambda s: F.try_element_at(by_sentence, F.trim(s)))
+    found = F.transform(F.regexp_extract_all(flat, F.lit(known_sentence(known)), F.lit(1)),
+                        lambda s: F.try_element_at(by_sentence, F.regexp_replace(s, f"[ \n{ENDED}]+", " ")))
     return F.array_join(found, "")
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def known_sentence(known: dict[str, str]) -> str:
+    """A pattern of the known sentences, from one line or sentence end to another, the longest first. One line break may
+    stand between words, with comment markers, and the point of `v. 2`."""
+    gap = r"(?: ?\n ?| )"
+    ways = [gap.join(x.split()).replace(f"{gap}v{gap}", f"{gap}v(?: ?\\n ?|[ {ENDED}])")
+            for x in sorted(known.values(), key=len, reverse=True)]
+    return rf"[\n{ENDED}] ?({'|'.join(ways)})(?= ?(?:[\n{ENDED}]|$))"
+
+
+def scan(docs: DataFrame, known: dict[str, str] = MORE_SENTENCES, rules: list[tuple[str, list[str]]] = MORE_RULES) -> DataFrame:
     """(doc_id, licences, sentences, other): one row per row of `docs` that holds a known sentence.
 
     `licences` are the licences whose rules matched, without repetition, in the order of the rules; `sentences` all identifiers

@@ -252,3 +252,51 @@ def test_licences(spark, odd_docs):
         (1, "MIT", "permission-granted,notice-included,as-is,mit-release", ""), (2, "CC-BY-NC-4.0", "cc-by-nc-4-licensed", ""),
         (2, "CC-BY-NC-4.0", "cc-by-nc-4-licensed", ""), (3, "", "all-rights-reserved", "all-rights-reserved")], key=repr)
     assert licences.scan(odd_docs).count() == 0
+
+
+WRAPPED = {
+    "MIT": """MIT License
+Copyright (c) 2020 X
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_wrapped_licences(spark):
+    texts = {f"{name}{mark!r}{end!r}": mark + text.replace("\n", end + mark) for name, text in WRAPPED.items()
+             for mark in ("", "# ", " * ", "// ") for end in ("\n", "\r\n")}
+    ids = dict(enumerate(texts))
+    docs = spark.createDataFrame([(i, f"x y\n{texts[name]}\nz") for i, name in ids.items()], "doc_id bigint, text string")
+    found = {ids[r.doc_id]: r.licences for r in licences.scan(docs).collect()}
+    assert found == {name: name.split("'")[0] for name in texts}
