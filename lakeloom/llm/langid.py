@@ -87,7 +87,7 @@ class Model:
         self.automata = [SuffixAutomaton(held[lang]) for lang in self.languages]
         self.bits = np.array([math.log2(len(held[lang]) + 1) for lang in self.languages])
         self.index: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.languages)), np.uint16)
+        self.counts = np.zeros((1024, len(self.languages)), np.int64)
         return self
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -115,7 +115,7 @@ class Model:
         for word in new:
             row = len(self.index)
             spaced = f" {word} "
-            self.counts[row] = [min(a.phrases(spaced), 65_535) for a in self.automata]
+            self.counts[row] = [a.phrases(spaced) for a in self.automata]
             self.index[word] = row
 
 

@@ -36,6 +36,13 @@ def test_languages_of_odd_documents(odd_docs):
     assert by_id[7].held_out and not by_id[1].held_out and by_id[None].held_out is False
 
 
+def test_language_of_a_very_long_word():
+    model = Model({"en": [A], "de": [B]}, 10_000).prepared()
+    word = "".join(B.split()) * 6000
+    assert min(a.phrases(f" {word} ") for a in model.automata) > 65_535
+    assert model.predict(word)[0] == "de" and model.predict("".join(A.split()) * 6000)[0] == "en"
+
+
 def test_accepted_documents(odd_docs):
     model = Model({"en": [A], "de": [B]}, 10_000)
     kept = langid.accepted(odd_docs, model)
