@@ -99,7 +99,7 @@ RULES = [
     ("Unlicense", ["public-domain"]),
 ]
 
-# What the SQL does not know, and none of the given tables holds.
+# With what the SQL does not know.
 MORE_SENTENCES = SENTENCES | {
     "bsd-endorsement": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
                        "promote products derived from this software without specific prior written permission",
