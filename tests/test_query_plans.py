@@ -4,12 +4,13 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+import __spark_entry__  # noqa: F401 (registers queries)
 from lakeloom.functions.money import revenue_cents
 from lakeloom.catalog import inputs, marts
+from lakeloom.catalog.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-LAZY = sorted(set(queries()) - {
+LAZY = sorted(set(QUERIES) - {
     # These write tables when called; their reads are plain scans.
     "backfill_years", "batch_lifetime_value", "batch_top_products", "bronze_orders_roundtrip", "gold_roundtrip",
     "replace_partitions", "scan_pruned", "serving_sorted", "silver_rejects", "stream_all", "stream_scd2", "stream_upsert"})
@@ -21,7 +22,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_python_no_pairs_no_forced_broadcast(spark, no_broadcast, name):
-    text = plan(queries()[name](spark, SMALL))
+    text = plan(QUERIES[name](spark, SMALL))
     assert "Python" not in text and "Arrow" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BroadcastHashJoin" not in text
@@ -40,7 +41,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    df = queries()["lookup_existing"](spark, SMALL)
+    df = QUERIES["lookup_existing"](spark, SMALL)
     text = plan(df)
     assert "LessThan(c_acctbal,0.0)" in text and "EqualTo(o_orderpriority,1-URGENT)" in text
 
@@ -52,7 +53,7 @@ def test_orders_are_limited_per_task_before_the_shuffle(spark):
 
 def test_decimal_free_sums(spark):
     """Money is summed as whole cents."""
-    text = plan(queries()["clv"](spark, SMALL))
+    text = plan(QUERIES["clv"](spark, SMALL))
     assert "partial_sum(" in text
     orders = spark.createDataFrame([(2, 1.5)], "amount int, price double")
     assert orders.select(revenue_cents("amount", "price").alias("x")).dtypes == [("x", "bigint")]
