@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import CACHED_WORDS, bounded_batches, kept, map_rows
+from lakeloom.llm.shared import ByteBound, bounded_batches, kept, map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -86,6 +86,7 @@ class Model:
         held = {lang: " " + " ".join(self.words[lang]) + " " for lang in self.languages}
         self.automata = [SuffixAutomaton(held[lang]) for lang in self.languages]
         self.bits = np.array([math.log2(len(held[lang]) + 1) for lang in self.languages])
+        self.bound = ByteBound()
         self.index: dict[str, int] = {}
         self.counts = np.zeros((1024, len(self.languages)), np.int64)
         return self
@@ -107,9 +108,11 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         new = {word for word in words if word not in self.index}
-        if len(self.index) + len(new) > CACHED_WORDS:
+        if not self.bound.holds(list(new)):
             self.index.clear()
+            self.bound.restart()
             new = set(words)
+            self.bound.holds(list(new))
         while len(self.index) + len(new) > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         for word in new:

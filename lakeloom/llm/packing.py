@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.shared import CACHED_WORDS, arrow_schema, batched, bounded_batches, kept, rows_of
+from lakeloom.llm.shared import ByteBound, arrow_schema, batched, bounded_batches, kept, rows_of
 from lakeloom.sources.lake import committed
 
 PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
@@ -57,6 +57,7 @@ class TextIds:
 
     def _empty(self) -> None:
         """Forget all words. Word w has the ids flat[starts[w]:starts[w + 1]]."""
+        self.bound = ByteBound()
         self.index: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
 
@@ -66,9 +67,10 @@ class TextIds:
         rows = [None if words is None else self._rows(words) for words in split]
         unknown = [np.flatnonzero(row < 0).tolist() if row is not None else () for row in rows]
         if new := {words[i] for words, missing in zip(split, unknown) for i in missing}:
-            if len(self.index) + len(new) > CACHED_WORDS:
+            if not self.bound.holds(list(new)):
                 self._empty()
                 new = {word for words in split if words for word in words}
+                self.bound.holds(list(new))
                 unknown = [range(len(words)) if words else () for words in split]
             new = list(new)
             for at in range(0, len(new), 4096):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.catalog.inputs import table
-from lakeloom.llm import decontaminate, html_text, langid, licences, line_dedup, near_dups, packing, quality, topk, warc
+from lakeloom.llm import (
+    collocations, decontaminate, html_text, langid, licences, line_dedup, near_dups, packing, quality, token_links, topk, toxicity, warc)
 from lakeloom.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,10 +26,10 @@ def query(sql: str | None = None):
     return register
 
 
-def token_file() -> str:
+def token_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -94,3 +95,24 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the documents that an earlier line repeats, within one word."""
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt from labelled ones whose crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 5) == 0
+    return toxicity.score(docs, toxicity.train(docs, labels, ~held_out), held_out, threshold=0.5)
+
+
+@query(collocations.ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language: phrases of 2 to 5 words that occur 100 times or more."""
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+@query()
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in two vocabularies: where their tokens end together, and how common these links are."""
+    return token_links.described(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"),
+                                 token_file("piece_bpe_32k.model"))

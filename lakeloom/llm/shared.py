@@ -15,8 +15,12 @@ from lakeloom.sources.lake import committed
 
 WORD = re.compile(r"\w+")
 
-# Words whose hash a Python worker keeps. The memory is bounded; a full cache is emptied and filled anew.
-CACHED_WORDS = 1_000_000
+# Bytes that a Python worker keeps of words it has met. A full cache is emptied and filled anew.
+CACHED_BYTES = 48 << 20
+ENTRY_BYTES = 160  # of one word in a dictionary, beside its letters
+
+# Bytes of rows that go to Spark in one batch, about.
+BATCH_BYTES = 16 << 20
 
 # Values of a hash that a filter may broadcast: the proven bound of its size.
 FILTER_VALUES = 1 << 20
@@ -32,12 +36,33 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+class ByteBound:
+    """Whether the words a cache keeps fit in `CACHED_BYTES`. Those of one text are always let in."""
+
+    def __init__(self):
+        self.restart()
+
+    def restart(self) -> None:
+        self.used = 0
+
+    def holds(self, new: list[str]) -> bool:
+        size = ENTRY_BYTES * len(new) + 4 * sum(map(len, new))
+        if self.used and self.used + size > CACHED_BYTES:
+            return False
+        self.used += size
+        return True
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash; the same in every process, unlike Python's own."""
+    """word -> 64-bit hash; the same in every process, unlike Python's own. What is kept is bounded by bytes."""
+
+    used = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
+        self.used += ENTRY_BYTES + 4 * len(word)
+        if self.used > CACHED_BYTES:
             self.clear()
+            self.used = 0
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         self[word] = value
         return value
@@ -68,14 +93,16 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_kept: dict[str, tuple[object, object]] = {}
+_kept: list[tuple[tuple[str, object], object]] = []
 
 
 def kept(kind: str, key: object, make: Callable[[], object]) -> object:
-    """What `make` gives, kept by this Python worker for its next tasks; one object of each kind, the last one asked for."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept[kind] = key, make()
-    return _kept[kind][1]
+    """What `make` gives, kept by this Python worker for its next tasks. Only the last one asked for is kept: a worker serves
+    many stages, and what earlier ones needed must not add up."""
+    if not _kept or _kept[0][0] != (kind, key):
+        _kept.clear()
+        _kept.append(((kind, key), make()))
+    return _kept[0][1]
 
 
 def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -83,13 +110,15 @@ def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of at most `size` rows."""
+    """Rows as record batches of at most `size` rows, and of few long ones."""
     held: list[tuple] = []
+    taken = 0
     for row in rows:
         held.append(row)
-        if len(held) == size:
+        taken += sum(8 * len(value) if isinstance(value, list) else len(value) for value in row if hasattr(value, "__len__"))
+        if len(held) == size or taken > BATCH_BYTES:
             yield _batch(held, schema)
-            held = []
+            held, taken = [], 0
     if held:
         yield _batch(held, schema)
 
