@@ -157,8 +157,10 @@ def map_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[[tu
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Few rows a batch between the JVM and Python, as one text can have any length."""
+    """Few rows and few bytes a batch between the JVM and Python, as one text can have any length. These are settings of the
+    session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def may_hold(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,9 +16,9 @@ looked up word by word. A text is as toxic as its most toxic sentence.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import ByteBound, kept, map_rows, mixed
+from lakeloom.llm.shared import ByteBound, kept, map_rows, mixed, rows_of
 
 SCORE = {"doc_id": pa.int64(), "held_out": pa.bool_(), "score": pa.float64(), "predicted": pa.int32()}
 DECAY, SPAN, POWER = 0.6, 6, 3  # a subsequence of three letters spans SPAN + 1 letters at most
@@ -167,70 +167,85 @@ class Scorer:
             self.place.update(zip(some, range(known, known + len(some))))
 
 
+def decisions(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    return x @ held[:-1].astype(x.dtype) + held[-1].astype(x.dtype)
+
+
 def support_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float, steps: int = 12) -> np.ndarray:
     """Newton's method on the squared hinge loss of (x, 1); y is 1 or -1. The last weight is the bias, which is hardly decayed."""
     size = x.shape[1] + 1
     held, ridge = np.zeros(size), np.full(size, decay)
     ridge[-1] *= 1e-3
     for _ in range(steps):
-        inside = y * (x @ held[:-1] + held[-1]) < 1
-        if not inside.any():
-            break
-        rows = np.concatenate([x[inside], np.ones((int(inside.sum()), 1), x.dtype)], axis=1)
-        scaled = rows * weight[inside, None]
-        new = np.linalg.solve((scaled.T @ rows).astype(np.float64) + np.diag(ridge), (scaled.T @ y[inside]).astype(np.float64))
+        square, side = np.diag(ridge), np.zeros(size)
+        for low in range(0, len(x), 4096):
+            part, goal = x[low:low + 4096], y[low:low + 4096]
+            inside = goal * decisions(part, held) < 1
+            rows = np.concatenate([part[inside], np.ones((int(inside.sum()), 1), x.dtype)], axis=1)
+            scaled = rows * weight[low:low + 4096][inside, None]
+            square += scaled.T @ rows
+            side += scaled.T @ goal[inside]
+        new = np.linalg.solve(square, side)
         if np.allclose(new, held, rtol=1e-4, atol=1e-6):
             break
         held = new
     return held
 
 
-def landmarks_of(sentences_: set[tuple[int, tuple[str, ...]]], count: int) -> list[str]:
-    """Half of them the words that most mark sentences of toxic texts, the others drawn by a hash from the rest."""
-    seen = Counter((y, word) for y, words in sentences_ for word in set(words))
-    size = [max(1, sum(y == label for y, _ in sentences_)) for label in (0, 1)]
-    words = sorted({word for _, word in seen})
-    share = np.array([[seen[0, w] / size[0], seen[1, w] / size[1]] for w in words])
-    mean = np.clip((share * size).sum(1) / sum(size), 1e-9, 1 - 1e-9)
+def landmarks_of(words: list[str], split: list[tuple[int, list[tuple[int, ...]]]], count: int) -> list[str]:
+    """Half of them the words that most mark sentences of toxic texts, the others drawn by a hash from the rest. A sentence that
+    several texts of a label have counts once."""
+    share, size = np.zeros((len(words), 2)), []
+    for label in (0, 1):
+        different = {sentence for y, held in split if y == label for sentence in held}
+        size.append(max(1, len(different)))
+        for sentence in different:
+            share[list(sentence), label] += 1
+    mean = np.clip(share.sum(1) / sum(size), 1e-9, 1 - 1e-9)
+    share /= size
     marks = (share[:, 1] - share[:, 0]) / np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]))
     toxic = [words[i] for i in np.argsort(-marks, kind="stable")[:count // 2] if marks[i] > 2]
     rest = sorted(set(words) - set(toxic), key=lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
     return toxic + rest[:count - len(toxic)]
 
 
-def fit(docs: list[tuple[int, list[str]]], landmarks: int = 320, decay: float = 1.0, rounds: int = 4,
+def fit(docs: Iterable[tuple[int, list[str]]], landmarks: int = 256, decay: float = 1.0, rounds: int = 4,
         share: float | None = None, miss_cost: float = 4.0) -> Machine:
     """The machine of labelled texts (label 0 or 1, sentences as text), of which `share` are toxic where the texts come from.
-    A toxic text missed costs `miss_cost` times what a clean one taken for toxic does. Texts that repeat count once. Without texts of both labels each score is the share of label 1, or 0.5 without any."""
-    texts = {(y, tuple(tuple(sorted(set(sentence.split(" ")))) for sentence in held)) for y, held in docs}
-    split = sorted((y, held) for y, held in texts if held)
+    A toxic text missed costs `miss_cost` times what a clean one taken for toxic does. Texts that repeat count once.
+    Without texts of both labels each score is the share of label 1, or 0.5 without any."""
+    number: dict[str, int] = {}
+    texts = {(y, tuple(tuple(sorted({number.setdefault(w, len(number)) for w in sentence.split(" ")})) for sentence in held))
+             for y, held in docs}
+    words = list(number)
+    split = sorted(((y, held) for y, held in texts if held), key=lambda row: (row[0], [[words[i] for i in s] for s in row[1][:2]]))
     labels = np.array([y for y, _ in split])
     if len(set(labels)) < 2:
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 0.5
         return Machine([""], np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
-    chosen = landmarks_of({(y, sentence) for y, held in split for sentence in held}, landmarks)
+    chosen = landmarks_of(words, split, landmarks)
     ready = Landmarks(chosen)
     among = ready.kernel(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-4 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    words = sorted({w for _, held in split for sentence in held for w in sentence})
-    index = {w: i for i, w in enumerate(words)}
     mapped = ready.kernel(words) @ root.astype(np.float32)
-    flat = [sentence for _, held in split for sentence in held]
-    x = np.stack([mapped[[index[w] for w in sentence]].sum(0) for sentence in flat])
+    x = np.zeros((sum(len(held) for _, held in split), mapped.shape[1]), np.float32)
+    for row, sentence in enumerate(s for _, held in split for s in held):
+        x[row] = mapped[list(sentence)].sum(0)
+    del mapped
     text = np.repeat(np.arange(len(split)), [len(held) for _, held in split])
     first = np.concatenate([[0], np.cumsum([len(held) for _, held in split])[:-1]])
     y = np.where(labels[text] == 1, 1.0, -1.0).astype(np.float32)
     held = np.zeros(x.shape[1] + 1)
     for turn in range(rounds):
         if turn:
-            decision = x @ held[:-1] + held[-1]
+            decision = decisions(x, held)
             worst = decision >= np.maximum.reduceat(decision, first)[text]
             y = np.where((labels[text] == 1) & ((decision > 0) | worst), 1.0, -1.0).astype(np.float32)
         toxic = max(1, int((y > 0).sum()))
         held = support_machine(x, y, np.where(y > 0, np.sqrt(len(y) / toxic), 1.0).astype(np.float32), decay)
-    decision = np.maximum.reduceat(x @ held[:-1] + held[-1], first)
+    decision = np.maximum.reduceat(decisions(x, held), first)
     slope, offset = calibrated(decision, labels, float(labels.mean()) if share is None else share, miss_cost)
     return Machine(chosen, (root @ held[:-1]).astype(np.float32), float(held[-1]), slope, offset)
 
@@ -251,13 +266,13 @@ def calibrated(decision: np.ndarray, labels: np.ndarray, share: float, miss_cost
     return float(max(held[0], 1e-3)), float(held[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows_per_label: int = 1500,
-          sentences_per_row: int = 256) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows_per_label: int = 1000,
+          sentences_per_row: int = 64) -> Machine:
     """A machine fitted on a bounded sample: about `rows_per_label` labelled rows of each label, drawn by a hash of the id, and of
     a very long row as many sentences, spread evenly.
 
     `labels` are (doc_id, toxic), `learnable` selects the rows that may be learnt from. Ids with both labels are not used. Only
-    the sample's ids are joined to the texts, and only its sentences reach the driver.
+    the sample's ids are joined to the texts, and only its sentences reach the task that fits the machine.
     """
     usable = labels.filter(learnable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).filter("toxic = _other").select("doc_id", "toxic")
@@ -277,10 +292,18 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows_per_label:
             yield doc_id, toxic, [" ".join(words[edges[i]:edges[i + 1]]) for i in range(0, len(starts), step)]
         return one
 
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((row for batch in batches for row in rows_of(batch, "doc_id", "toxic", "held")))
+        machine = fit(((toxic, held) for _, toxic, held in found), share=share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)])], names=["machine"])
+
     out = {"doc_id": pa.int64(), "toxic": pa.int32(), "held": pa.list_(pa.string())}
-    rows = map_rows(chosen, ["doc_id", "text", "toxic"], start, out)
-    found = [(r.toxic, r.held) for r in rows.toLocalIterator()]
-    return fit(found, share=sizes.get(1, 0) / max(1, sum(sizes.values())))
+    # The sample is small whatever the tables hold, so one task fits the machine.
+    rows = map_rows(chosen, ["doc_id", "text", "toxic"], start, out).repartition(1)
+    made = rows.mapInArrow(fitted, "machine binary").first()
+    return fit([], share=share) if made is None else pickle.loads(made.machine)
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.5) -> DataFrame:
