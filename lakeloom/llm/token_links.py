@@ -29,6 +29,8 @@ FIRST = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups":
          "links": pa.binary()}
 LAST = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
         "n_best": pa.int64(), "count_sum": pa.int64(), "groups_sha256": pa.string()}
+# Fixed value: how byte-level BPE cuts a text into words.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PORTION = 1 << 18  # characters that are encoded together
 SLICES = 1 << 12  # groups that are written out together
 
@@ -42,13 +44,32 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Encodes by a vocabulary file of byte-level BPE; special tokens in a text are plain text."""
+    """Encodes by a vocabulary file of byte-level BPE; special tokens in a text are plain text.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Ids of such a vocabulary follow the order of its merges, so the merge to do next is the one that makes the smallest id. That is how
+    the faster library works, on the same entries; a vocabulary without that order goes to the one that reads the file itself.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        entries = self.entries(path)
+        special = {token["id"] for token in held.get("added_tokens", ())}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in held["model"]["merges"]]
+        vocabulary = held["model"]["vocab"]
+        made = [vocabulary.get("".join(merge), -1) for merge in merges]
+        singles = [i for i, entry in enumerate(entries) if len(entry) == 1 and i not in special]
+        self.encoding = None
+        if made == sorted(set(made)) and made[0] > max(singles) and held["pre_tokenizer"].get("type") == "ByteLevel":
+            from tiktoken import Encoding
+
+            ranks = {entry: i for i, entry in enumerate(entries) if entry and i not in special}
+            self.encoding = Encoding("links", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
     @staticmethod
     def entries(path: str) -> list[bytes]:
@@ -60,6 +81,8 @@ class ByteLevel:
         return out
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
+        if self.encoding is not None:
+            return [self.encoding.encode_ordinary(f" {text}") for text in texts]
         return [found.ids for found in self.tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
 
 
@@ -99,11 +122,12 @@ def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Aligned:
-    """A text without tokens has empty id lists and no groups."""
+    """A text without tokens has empty lists."""
 
     a: list[int]
     b: list[int]
-    cuts: list[tuple[int, int]]  # past the last A and B token of each group
+    cuts_a: list[int]  # past the last A token of each group
+    cuts_b: list[int]
 
 
 class Aligner:
@@ -123,30 +147,33 @@ class Aligner:
         whole = f" {text}".encode()
         if not text or any(b"".join(map(entries.__getitem__, ids)) != whole
                            for entries, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-            return Aligned([], [], [])
+            return Aligned([], [], [], [])
         at_a = dict(zip(itertools.accumulate(map(self.sizes_a.__getitem__, a)), itertools.count(1)))
         at_b = dict(zip(itertools.accumulate(map(self.sizes_b.__getitem__, b)), itertools.count(1)))
-        return Aligned(a, b, [(at_a[end], at_b[end]) for end in sorted(at_a.keys() & at_b.keys())])
+        shared = sorted(at_a.keys() & at_b.keys())
+        return Aligned(a, b, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared)))
 
     def links(self, found: Aligned) -> np.ndarray:
         """The numbers of the linked pairs of a text: of each slice the A and B token that end with it."""
-        if not found.cuts:
+        if not found.cuts_a:
             return np.zeros(0, "<i4")
-        ends = np.array(found.cuts, np.int64) - 1
-        pairs = np.array(found.a, np.int64)[ends[:, 0]] << 32 | np.array(found.b, np.int64)[ends[:, 1]]
+        a, b = np.array(found.a, np.int64), np.array(found.b, np.int64)
+        pairs = a[np.array(found.cuts_a) - 1] << 32 | b[np.array(found.cuts_b) - 1]
         return np.searchsorted(self.pairs, pairs).astype("<i4")
 
     def digest(self, found: Aligned) -> str:
         """The SHA-256 of the groups, written as `a1,a2|b1;a3|b2,b3`; '' without tokens."""
-        if not found.cuts:
+        if not found.cuts_a:
             return ""
-        hashed, low = hashlib.sha256(), (0, 0)
+        hashed, low_a, low_b = hashlib.sha256(), 0, 0
         a, b = list(map(self.names.__getitem__, found.a)), list(map(self.names.__getitem__, found.b))
-        for at in range(0, len(found.cuts), SLICES):
+        for at in range(0, len(found.cuts_a), SLICES):
             groups = []
-            for high in found.cuts[at:at + SLICES]:
-                groups.append(f"{','.join(a[low[0]:high[0]])}|{','.join(b[low[1]:high[1]])}")
-                low = high
+            for high_a, high_b in zip(found.cuts_a[at:at + SLICES], found.cuts_b[at:at + SLICES]):
+                left = a[low_a] if high_a == low_a + 1 else ",".join(a[low_a:high_a])
+                right = b[low_b] if high_b == low_b + 1 else ",".join(b[low_b:high_b])
+                groups.append(f"{left}|{right}")
+                low_a, low_b = high_a, high_b
             hashed.update((";" * (at > 0) + ";".join(groups)).encode())
         return hashed.hexdigest()
 
@@ -169,7 +196,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def described(rows: list[tuple], aligner: Aligner) -> Iterator[tuple]:
         for (doc_id, _), found in zip(rows, aligner.align([text or "" for _, text in rows])):
-            yield (doc_id, len(found.a), len(found.b), len(found.cuts), aligner.digest(found), aligner.links(found).tobytes())
+            yield (doc_id, len(found.a), len(found.b), len(found.cuts_a), aligner.digest(found), aligner.links(found).tobytes())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept("aligner", (path_a, path_b), lambda: Aligner(path_a, path_b))
