@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,9 +80,9 @@ class ByteLevel:
             out[token] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         return out
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[Sequence[int]]:
         if self.encoding is not None:
-            return [self.encoding.encode_ordinary(f" {text}") for text in texts]
+            return [self.encoding.encode_to_numpy(f" {text}", disallowed_special=()) for text in texts]
         return [found.ids for found in self.tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
 
 
@@ -122,10 +122,10 @@ def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Aligned:
-    """A text without tokens has empty lists."""
+    """A text without tokens has no ids and no groups."""
 
-    a: list[int]
-    b: list[int]
+    a: np.ndarray
+    b: np.ndarray
     cuts_a: list[int]  # past the last A token of each group
     cuts_b: list[int]
 
@@ -136,29 +136,29 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.bytes_a, self.bytes_b = ByteLevel.entries(path_a), Pieces.entries(path_b)
-        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.sizes_a, self.sizes_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
         self.pairs = linkable(self.bytes_a, self.bytes_b)
-        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.names = np.array(list(map(str, range(max(len(self.bytes_a), len(self.bytes_b))))), object)
 
     def align(self, texts: list[str]) -> list[Aligned]:
         return [self._aligned(*row) for row in zip(texts, self.a(texts), self.b(texts))]
 
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> Aligned:
+    def _aligned(self, text: str, a: Sequence[int], b: Sequence[int]) -> Aligned:
         whole = f" {text}".encode()
-        if not text or any(b"".join(map(entries.__getitem__, ids)) != whole
-                           for entries, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-            return Aligned([], [], [], [])
-        at_a = dict(zip(itertools.accumulate(map(self.sizes_a.__getitem__, a)), itertools.count(1)))
-        at_b = dict(zip(itertools.accumulate(map(self.sizes_b.__getitem__, b)), itertools.count(1)))
+        ids_a, ids_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        if not text or b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join(
+                map(self.bytes_a.__getitem__, ids_a.tolist())) != whole:
+            return Aligned(ids_a[:0], ids_b[:0], [], [])
+        at_a = dict(zip(np.cumsum(self.sizes_a[ids_a]).tolist(), range(1, len(ids_a) + 1)))
+        at_b = dict(zip(np.cumsum(self.sizes_b[ids_b]).tolist(), range(1, len(ids_b) + 1)))
         shared = sorted(at_a.keys() & at_b.keys())
-        return Aligned(a, b, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared)))
+        return Aligned(ids_a, ids_b, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared)))
 
     def links(self, found: Aligned) -> np.ndarray:
         """The numbers of the linked pairs of a text: of each slice the A and B token that end with it."""
         if not found.cuts_a:
             return np.zeros(0, "<i4")
-        a, b = np.array(found.a, np.int64), np.array(found.b, np.int64)
-        pairs = a[np.array(found.cuts_a) - 1] << 32 | b[np.array(found.cuts_b) - 1]
+        pairs = found.a[np.array(found.cuts_a) - 1] << 32 | found.b[np.array(found.cuts_b) - 1]
         return np.searchsorted(self.pairs, pairs).astype("<i4")
 
     def digest(self, found: Aligned) -> str:
@@ -166,7 +166,7 @@ class Aligner:
         if not found.cuts_a:
             return ""
         hashed, low_a, low_b = hashlib.sha256(), 0, 0
-        a, b = list(map(self.names.__getitem__, found.a)), list(map(self.names.__getitem__, found.b))
+        a, b = self.names[found.a].tolist(), self.names[found.b].tolist()
         for at in range(0, len(found.cuts_a), SLICES):
             groups = []
             for high_a, high_b in zip(found.cuts_a[at:at + SLICES], found.cuts_b[at:at + SLICES]):
@@ -213,8 +213,9 @@ def pair_counts(aligned: DataFrame, size: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for held in batch.column("links"):
-                total += np.bincount(np.frombuffer(held.as_buffer(), "<i4"), minlength=size) if len(held.as_py()) else 0
+            held = b"".join(batch.column("links").to_pylist())
+            if held:
+                total += np.bincount(np.frombuffer(held, "<i4"), minlength=size)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(total[pair])], names=["pair", "n"])
 
