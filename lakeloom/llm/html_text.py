@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass classes each block by its length, its link density (share of
 characters inside links) and its stop-word density, with the containers it stands in: blocks of menus, page headers and footers,
 sidebars, notices, adverts, forms and comments are bad whatever they say. Short blocks and blocks without stop words are
-left undecided. On pages in a language whose stop words are not known length and links decide. The second pass gives each undecided block the label of the nearest decided neighbours in the page.
+left undecided. A container that holds most of what the page says is none of these, whatever it is called: a form around the
+body, a menu that was never closed. The article is what `article` or `main` hold, if that is most of the text that is left, and
+not a card or a teaser. On pages in a language whose stop words are not known length and links decide. The second pass gives each undecided block the label of the nearest decided neighbours in the page.
 """
 
 from __future__ import annotations
@@ -44,6 +46,13 @@ BAD_NAMES = re.compile(
     r"signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|respond|replies|pagination|pager|widget|"
     r"toolbar|copyright|legal|disclaimer|tags?|skip)(?:$|[_-])", re.I)
 COMMENT = re.compile(r"(?:^|[_-])(?:comments?|replies|respond|ads?|advert\w*|sponsor\w*)(?:$|[_-])", re.I)
+# Words that mean such a container only by themselves or beside words for parts of a page, as `side-bar` but not `side-by-side`.
+WEAK = {"side", "foot", "legal", "notice", "notices", "alert", "tag", "tags", "skip", "social", "banner", "login", "share", "related",
+        "copyright", "disclaimer", "widget", "menu", "ad", "ads"}
+PARTS = re.compile(r"(?:bar|box|wrap\w*|container|block|section|list|area|content|inner|links?|buttons?|items?|row|col\w*|main|left|right|"
+                   r"top|bottom|site|page|post|posts|article|text|widget|panel|group|message|info|icons?|title|header?|footer|nav|modal|"
+                   r"overlay|popup|policy|consent|cookies?|slot|unit|form|media|cloud|stories|story|news|to|global|primary|secondary|"
+                   r"small|large|sticky|fixed|\d+|[a-z])", re.I)
 # Such names say what a container of the article has beside it.
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without|layout|wrap\w*|container)(?:$|[_-])", re.I)
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu",
@@ -72,15 +81,17 @@ class Rules:
     short: int = 70
     long: int = 200
     links: float = 0.33
+    most: float = 0.6
     stop_low: float = 0.15
     stop_high: float = 0.28
 
 
 @dataclass
 class Block:
-    bad: bool
+    inside: tuple[int, ...]  # the bad containers around it
     main: bool
     heading: bool
+    bad: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -93,7 +104,6 @@ def attributes(tag: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag)}
 
 
-@functools.lru_cache(20_000)
 def name_of(tag: str) -> str:
     named = NAME.match(tag)
     return named[1].lower() if named else ""
@@ -106,27 +116,40 @@ def raw_end(name: str) -> re.Pattern:
 
 def bad_names(given: dict[str, str], names: re.Pattern) -> bool:
     """Whether a class or the id says that this is no part of the article."""
-    return any(names.search(x) and not LAYOUT.search(x)
-               for x in (given.get("class", "") + " " + given.get("id", "")).split())
+    return any(is_bad_name(x, names) for x in (given.get("class", "") + " " + given.get("id", "")).split())
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, with the containers each stands in."""
+@functools.lru_cache(10_000)
+def is_bad_name(name: str, names: re.Pattern) -> bool:
+    if not names.search(name) or LAYOUT.search(name):
+        return False
+    words = [word for word in re.split("[_-]", name.lower()) if word]
+    strong = [word for word in words if names.search(word) and word not in WEAK]
+    return bool(strong) or all(word in WEAK or PARTS.fullmatch(word) for word in words) or bool(names.search("-".join(
+        word if word not in WEAK else "" for word in words)))
+
+
+def blocks(page: str) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page in order, with the containers each stands in, and of each bad container whether it may turn out to be
+    the page itself (which comments and adverts never are)."""
     # Open elements: (name, is bad, is main, is unseen, is a link).
     stack: list[tuple[str, bool, bool, bool, bool]] = []
+    containers: list[bool] = []
+    inside: tuple[int, ...] = ()
     found: list[Block] = []
-    # The blocks of the current paragraph: its text, and that of bad or main elements in it, by (is bad, is main).
-    here: dict[tuple[bool, bool], Block] = {}
-    bad = main = unseen = linked = 0
+    # The blocks of the current paragraph: its text, and that of bad or main elements in it, by (bad containers, is main).
+    here: dict[tuple[tuple[int, ...], bool], Block] = {}
+    main = unseen = linked = 0
     headings = 0
     opened: dict[str, int] = {}
 
     def close(depth: int) -> None:
-        nonlocal bad, main, unseen, linked, headings
+        nonlocal inside, main, unseen, linked, headings
         while len(stack) > depth:
             name, *flags = stack.pop()
             opened[name] -= 1
-            bad, main, unseen, linked = bad - flags[0], main - flags[1], unseen - flags[2], linked - flags[3]
+            inside = inside[:-1] if flags[0] else inside
+            main, unseen, linked = main - flags[1], unseen - flags[2], linked - flags[3]
             headings -= name in HEADINGS
 
     tokens = TOKEN.finditer(page)
@@ -135,9 +158,9 @@ def blocks(page: str) -> list[Block]:
         if token[0] != "<" or token == "<":
             if unseen:
                 continue
-            current = here.get((bad > 0, main > 0))
+            current = here.get((inside, main > 0))
             if current is None:
-                current = here[bad > 0, main > 0] = Block(bad > 0, main > 0, headings > 0)
+                current = here[inside, main > 0] = Block(inside, main > 0, headings > 0)
                 found.append(current)
             current.parts.append(token)
             if linked:
@@ -145,8 +168,8 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name_of(token)
         if not name:
-            if token.startswith("<![CDATA[") and not unseen and (bad > 0, main > 0) in here:
-                here[bad > 0, main > 0].parts.append(entities.escape(token[9:-3]))
+            if token.startswith("<![CDATA[") and not unseen and (inside, main > 0) in here:
+                here[inside, main > 0].parts.append(entities.escape(token[9:-3]))
             continue
         if token[1] == "/":
             if opened.get(name):
@@ -173,13 +196,16 @@ def blocks(page: str) -> list[Block]:
         flags = is_bad, is_main, is_unseen, name == "a"
         stack.append((name, *flags))
         opened[name] = opened.get(name, 0) + 1
-        bad, main, unseen, linked = bad + flags[0], main + flags[1], unseen + flags[2], linked + flags[3]
+        if is_bad:
+            inside += (len(containers),)
+            containers.append(not bad_names(given, COMMENT))
+        main, unseen, linked = main + flags[1], unseen + flags[2], linked + flags[3]
         headings += name in HEADINGS
         if name in RAW:
             # Nothing in such an element is a tag but its own end.
             end = raw_end(name).search(page, match.end())
             tokens = TOKEN.finditer(page, end.start() if end else len(page))
-    return found
+    return found, containers
 
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -203,13 +229,13 @@ def is_read(held: list[tuple[Block, str]], rules: Rules) -> bool:
     return sum(s for s, _ in counts) >= rules.stop_low * sum(n for _, n in counts)
 
 
-def classify(block: Block, text: str, rules: Rules, read: bool) -> str:
+def classify(block: Block, text: str, rules: Rules, read: bool, main: bool) -> str:
     """The first pass: good, bad, or short for undecided; without stop words if the page is not `read`."""
     if excluded(block, text, rules):
         return BAD
-    if "\N{COPYRIGHT SIGN}" in text and len(text) < rules.long and not block.main:
+    if "\N{COPYRIGHT SIGN}" in text and len(text) < rules.long and not main:
         return BAD
-    if block.main:
+    if main:
         # The page itself says that this is the article; only what the rules above exclude is not.
         return GOOD
     if len(text) < rules.short:
@@ -223,14 +249,25 @@ def classify(block: Block, text: str, rules: Rules, read: bool) -> str:
     return SHORT if stops >= rules.stop_low else BAD
 
 
-def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """The main text of a page: its good blocks in order, two line feeds between; empty if there is none."""
-    held = [(b, text) for b in blocks(page or "") if (text := b.text())]
-    has_main = any(b.main for b, _ in held)
-    read = has_main or is_read(held, rules)
-    labels = [classify(b, text, rules, read) for b, text in held]
-    if has_main:
-        labels = [label if b.main else BAD for label, (b, _) in zip(labels, held)]
+def unbound(found: list[tuple[Block, str]], containers: list[bool], rules: Rules) -> None:
+    """Decide which containers are bad: not those that hold most of the text outside links."""
+    sizes = [max(0, len(text.replace(" ", "")) - b.linked) for b, text in found]
+    held = [0] * len(containers)
+    for (b, _), size in zip(found, sizes):
+        for container in b.inside:
+            held[container] += size
+    bad = [not (may_be and size > rules.most * sum(sizes)) for may_be, size in zip(containers, held)]
+    for b, _ in found:
+        b.bad = any(bad[container] for container in b.inside)
+
+
+def labelled(held: list[tuple[Block, str]], rules: Rules, main: bool) -> list[str]:
+    """Both passes: the label of each block, by the article's own element with `main`, else by rules alone."""
+    read = main or is_read(held, rules)
+    labels = [classify(b, text, rules, read, main and b.main) for b, text in held]
+    # What is short in an `article` that is not the article is a card.
+    labels = [BAD if main and not b.main or b.main and not main and label == SHORT else label
+              for label, (b, _) in zip(labels, held)]
     before = nearest(labels)
     after = [None if j is None else len(labels) - 1 - j for j in reversed(nearest(labels[::-1]))]
     final = list(labels)
@@ -243,6 +280,24 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
                 final[i] = labels[left] if i - left < right - i else labels[right] if right - i < i - left else BAD
             else:
                 final[i] = BAD if left is None and right is None else labels[right if left is None else left]
+    return final
+
+
+def main_text(page: str | None, rules: Rules = Rules()) -> str:
+    """The main text of a page: its good blocks in order, two line feeds between; empty if there is none."""
+    found, containers = blocks(page or "")
+    held = [(b, text) for b in found if (text := b.text())]
+    unbound(held, containers, rules)
+    sizes = [0, 0]
+    for b, text in held:
+        sizes[b.main] += 0 if excluded(b, text, rules) else len(text)
+    other, own = sizes
+    final = labelled(held, rules, own > 0)
+    if 0 < own < other:
+        # Text outside the article's element counts against it only where it reads like an article.
+        plain = labelled(held, rules, False)
+        if sum(len(text) for (b, text), label in zip(held, plain) if label == GOOD and not b.main) > own:
+            final = plain
     return "\n\n".join(text for (_, text), label in zip(held, final) if label == GOOD)
 
 

@@ -60,6 +60,32 @@ def test_languages_without_known_stop_words():
     assert main_text(f"<p>{STOPS}</p><p>{'Foo bar baz. ' * 10}</p><p>{STOPS}</p>") == f"{STOPS}\n\n{STOPS}"
 
 
+def test_the_article_is_kept_whatever_is_around_it():
+    more = f"And {STOPS} But {STOPS}"
+    body = f"<h1>A title</h1><p>{STOPS}</p><p>{more}</p>"
+    text = f"A title\n\n{STOPS}\n\n{more}"
+    menu = '<ul><li><a href="/a">Home</a><li><a href="/b">All news</a></ul>'
+    card = "<article><h3>Other story</h3><p>The lead of it.</p></article>"
+    for page in (
+            f"<aside>{card}</aside><div>{body}</div>",
+            f"<nav>{menu}</nav><div>{body}</div><div class=cards>{card}</div>",
+            f"<body><form action=x>{body}<footer>The end of the page</footer></form></body>",
+            f"<nav>{menu}<div>{body}</div>",
+            f"<div class='side-by-side'>{body}</div>",
+            f"<article><h1>A title</h1><p>{STOPS}</p><section class='legal-analysis'><p>{more}</p></section></article>",
+            f"<main>{body}<section class=comments>{f'<p>{more}</p>' * 9}</section></main>",
+            f"<nav>{menu}</nav>{body}<div id=comments>{f'<p>{more}</p>' * 9}</div>"):
+        assert main_text(page) == text, page
+    for name in ("side", "right-side", "ad", "ad-slot", "legal", "legal-links", "site-footer", "cookie-notice", "related-posts", "tags"):
+        assert main_text(f"<div>{body}</div><div class='{name}'><p>{more}</p></div>") == text, name
+
+
+def test_a_very_long_page():
+    many = "".join(f"<p>{STOPS} {i}</p>" for i in range(20_000))
+    image = f'<img src="data:image/png;base64,{"A" * 3_000_000}">'
+    assert main_text(f"<article>{many}{image}</article>").count("\n\n") == 19_999
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")],
                                   "page_id bigint, url string, html string, text string")
