@@ -211,7 +211,7 @@ def scd2_late(spark, sf_dir):
     first, second = batches(spark, sf_dir)
     history = None
     for batch in (first, second, first):
-        history = scd2.scd2(history, batch, KEY)
+        history = committed(scd2.scd2(history, batch, KEY), "history")
     return scd2.visible(history)
 
 

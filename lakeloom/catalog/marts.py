@@ -92,3 +92,19 @@ def top_products(spark, sf_dir):
 def top_products_monthly(spark, sf_dir):
     mart = committed(summary(spark, sf_dir), "summary")
     return doubles(gold.top_products_by_revenue(mart, by=["year", "month"]))
+
+
+@query(f"""WITH {sql.SUMMARY}
+           SELECT * FROM (SELECT *, CAST(rank() OVER (ORDER BY total_revenue_after_discount DESC) AS INTEGER) AS rank
+                          FROM summary) WHERE rank <= 5000""")
+def top_products_many(spark, sf_dir):
+    """More top rows than one task should rank, in one group of all rows."""
+    return doubles(gold.top_products_by_revenue(committed(summary(spark, sf_dir), "summary"), 5000))
+
+
+@query(f"""WITH {sql.SUMMARY}
+           SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY year ORDER BY total_revenue_after_discount DESC) AS INTEGER)
+                            AS rank FROM summary) WHERE rank <= 1500""")
+def top_products_yearly(spark, sf_dir):
+    """The 1500 best rows of each year, ranked by ranges that cut the years."""
+    return doubles(gold.top_products_by_revenue(committed(summary(spark, sf_dir), "summary"), 1500, by=["year"]))

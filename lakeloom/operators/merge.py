@@ -153,6 +153,22 @@ def upsert(target: DataFrame | None, changes: DataFrame, keys: list[str]) -> Dat
     return cdc.latest(rows, keys)
 
 
+def touched_rows(state: DataFrame, batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a state whose key occurs in the batch, and the others. Spark sends the keys of a small batch to the state, which
+    is then not shuffled."""
+    used = batch_keys(batch, keys)
+    return state.join(used, keys, "left_semi"), state.join(used, keys, "left_anti")
+
+
+def upsert_touched(target: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """`upsert` of a batch that is small against the table: only rows of its keys are shuffled, all others pass. The table and the
+    batch are read twice, so they should be tables rather than long plans."""
+    if target is None:
+        return upsert(None, changes, keys)
+    touched, others = touched_rows(target, changes, keys)
+    return others.unionByName(upsert(touched, changes, keys))
+
+
 def visible(state: DataFrame) -> DataFrame:
     """What readers of a state table see: live rows, without the bookkeeping columns."""
     return state.filter(~F.col("deleted")).drop("deleted", *cdc.SEQUENCE)
@@ -179,6 +195,18 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     return batch.join(batch_keys(target, keys), keys, "left_anti")
 
 
+def signed_changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """What turns one state into another: each row that goes, with `sign` -1, and each that comes, with `sign` 1; an updated row is
+    both. Rows that are equal in all columns cancel out, so keys need not be unique, and `before` may be None for an empty state.
+    """
+    columns = after.columns
+    rows = after.withColumn("sign", F.lit(1))
+    if before is not None:
+        rows = before.select(*columns).withColumn("sign", F.lit(-1)).unionByName(rows)
+    net = rows.groupBy(*columns).agg(F.sum("sign").alias("_net")).filter("_net <> 0")
+    return net.select(*columns, F.explode(F.array_repeat(F.signum("_net").cast("int"), F.abs("_net").cast("int"))).alias("sign"))
+
+
 def changed_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that differ between two states of a table with unique keys, with column `change`: 'insert', 'update' or
     'delete' (then with the old values)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,14 @@ def _per_rule(df: DataFrame, failed: Mapping[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
+def observed(df: DataFrame, failed: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """The same rows, and counts of them (`rows`) and of those that fail each rule, which are there once a job has written the rows.
+    The rules are counted as the rows pass; the data is not read for them."""
+    counts = Observation()
+    return df.observe(counts, F.count(F.lit(1)).alias("rows"),
+                      *[F.count(F.when(F.coalesce(bad, F.lit(True)), 1)).alias(name) for name, bad in failed.items()]), counts
+
+
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     return _per_rule(df, {name: F.col(name).isNull() for name in columns})
 

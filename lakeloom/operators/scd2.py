@@ -1,8 +1,9 @@
 """Slowly changing dimensions of type 2: every version of a row with its validity interval.
 
 The history of a key is a function of the set of its changes. Merging a batch therefore means: add the batch to the
-stored changes, drop repeats, and chain the intervals again. Replays, late changes, several changes in a batch, and
-delete followed by re-creation all come out the same however the changes were batched.
+stored changes, drop repeats, and chain the intervals again, for the keys of the batch alone: the versions of all other keys
+stay as they are and are not shuffled. Replays, late changes, several changes in a batch, and delete followed by re-creation all
+come out the same however the changes were batched.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.cdc import SEQUENCE
 from lakeloom.operators.dedupe import keep_last
+from lakeloom.operators.merge import touched_rows
 from lakeloom.operators.timeline import with_neighbour
 
 INTERVAL = ["valid_from", "valid_to", "is_current"]
@@ -45,11 +47,13 @@ def _drop_unchanged(events: DataFrame, keys: list[str], tracked: list[str], skew
 
 
 def scd2(history: DataFrame | None, changes: DataFrame, keys: list[str], **skew) -> DataFrame:
-    """The history after a batch of changes."""
+    """The history after a batch of changes. Both are read several times, so they should be tables rather than long plans."""
     if history is None:
         return versions(changes, keys, **skew)
-    stored = history.drop(*INTERVAL)
-    return versions(stored.unionByName(changes.select(*stored.columns)), keys, **skew)
+    touched, others = touched_rows(history, changes, keys)
+    stored = touched.drop(*INTERVAL)
+    chained = versions(stored.unionByName(changes.select(*stored.columns)), keys, **skew)
+    return others.unionByName(chained.select(*history.columns))
 
 
 def visible(history: DataFrame) -> DataFrame:

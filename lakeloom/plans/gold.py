@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.bands import LOWEST_SEGMENT, SPEND_SEGMENTS, segment
 from lakeloom.functions.money import cents, from_cents, mean_half_up, revenue, revenue_cents
+from lakeloom.operators.maintain import Measures, totals
 from lakeloom.operators.ranking import top_by_rank
 from lakeloom.operators.timeline import as_of
 
@@ -36,16 +37,28 @@ def current_names(dimension: DataFrame) -> DataFrame:
     return rows.select("id", "name")
 
 
+def sales_measures() -> Measures:
+    """What the sales summary sums up, per product and month."""
+    return Measures(("year", "month", "product_id"),
+                    sums={"total_sale": "amount", "_before": revenue_cents("amount", "price"),
+                          "_after": revenue_cents("amount", "final_price"), "_discount": cents("discount")},
+                    counts={"_discounts": "discount", "total_orders": "user_id"})
+
+
+def lifetime_measures() -> Measures:
+    """What customer lifetime value sums up, per user."""
+    spent = revenue_cents("amount", "final_price")
+    return Measures(("user_id",), sums={"_spent": spent}, counts={"_lines": spent, "total_orders": "user_id"},
+                    edges={"_first": ("min", "date"), "_last": ("max", "date")})
+
+
 def sales_summary_by_product(orders: DataFrame, products: DataFrame) -> DataFrame:
     """Sales per product and month. Orders of unknown products are left out; ids of current products are unique."""
-    sums = orders.groupBy("year", "month", "product_id").agg(
-        F.sum(F.col("amount").cast("bigint")).alias("total_sale"),
-        F.sum(revenue_cents("amount", "price")).alias("_before"),
-        F.sum(revenue_cents("amount", "final_price")).alias("_after"),
-        F.sum(cents("discount")).alias("_discount"),
-        F.count("discount").alias("_discounts"),
-        F.count("user_id").alias("total_orders"),
-    )
+    return named_sales(totals(orders, sales_measures()), products)
+
+
+def named_sales(sums: DataFrame, products: DataFrame) -> DataFrame:
+    """The sales summary from its sums."""
     names = current_names(products).select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     return sums.join(names, "product_id").select(
         "year", "month", "product_id", "product_name", "total_sale",
@@ -66,13 +79,12 @@ def customer_lifetime_value(orders: DataFrame, users: DataFrame,
                             thresholds: Sequence[tuple[float, str]] = SPEND_SEGMENTS,
                             lowest: str = LOWEST_SEGMENT) -> DataFrame:
     """Spend, order count, mean spend, first and last day, and spend segment per user."""
-    sums = orders.groupBy("user_id").agg(
-        F.sum(revenue_cents("amount", "final_price")).alias("_spent"),
-        F.count(revenue_cents("amount", "final_price")).alias("_lines"),
-        F.count("user_id").alias("total_orders"),
-        F.min("date").alias("_first"),
-        F.max("date").alias("_last"),
-    )
+    return named_lifetime(totals(orders, lifetime_measures()), users, thresholds, lowest)
+
+
+def named_lifetime(sums: DataFrame, users: DataFrame, thresholds: Sequence[tuple[float, str]] = SPEND_SEGMENTS,
+                   lowest: str = LOWEST_SEGMENT) -> DataFrame:
+    """Customer lifetime value from its sums."""
     names = current_names(users).select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
     spend = sums.join(names, "user_id").select(
         "user_id", "user_name", from_cents("_spent").alias("total_spent"), "total_orders",

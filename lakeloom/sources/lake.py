@@ -63,6 +63,26 @@ class LakeTable:
         folder = "/".join(f"{name}={value}" for name, value in values.items())
         return spark.read.option("basePath", self.path).parquet(f"{self.path}/{folder}")
 
+    def folders(self, spark: SparkSession, levels: int) -> dict[str, tuple[int, int]]:
+        """The partition folders of the first `levels` columns, relative to the table, with their bytes and number of files. For
+        tables of files; the driver lists them as it does to read the table."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "/".join(["*=*"] * levels)))
+        out = {}
+        for status in found or ():
+            held = system.getContentSummary(status.getPath())
+            parts = status.getPath().toString().split("/")
+            out["/".join(parts[-levels:])] = held.getLength(), held.getFileCount()
+        return out
+
+    def remove(self, spark: SparkSession, folders: list[str] | None = None) -> None:
+        """Delete partition folders, relative to the table, or the whole table."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in [""] if folders is None else folders:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}" if folder else self.path), True)
+
     def append(self, df: DataFrame) -> None:
         self._writer(df, "append").save(self.path)
 
@@ -75,20 +95,21 @@ class LakeTable:
             raise ValueError("replace_partitions needs a partitioned table")
         self._writer(df, "overwrite").option("partitionOverwriteMode", "dynamic").save(self.path)
 
-    def touched(self, df: DataFrame) -> Column:
-        """A predicate selecting the partitions `df` falls in.
+    def touched(self, df: DataFrame, columns: tuple[str, ...] | None = None) -> Column:
+        """A predicate selecting the partitions `df` falls in, by all partition columns or the ones named.
 
         Distinct partition values reach the driver, never keys: no more than the partitions that it lists to read the table
         and commits when `df` is merged into it.
         """
-        values = df.select(*self.partition_by).distinct().collect()
+        columns = columns or self.partition_by
+        values = df.select(*columns).distinct().collect()
         if not values:
             return F.lit(False)
-        kinds = [df.schema[name].dataType for name in self.partition_by]
+        kinds = [df.schema[name].dataType for name in columns]
         # One flat list of structs, in which null equals null; a chain of thousands of conditions would be too deep.
-        places = [F.struct(*[F.lit(value).cast(kind).alias(name) for name, kind, value in zip(self.partition_by, kinds, row)])
+        places = [F.struct(*[F.lit(value).cast(kind).alias(name) for name, kind, value in zip(columns, kinds, row)])
                   for row in values]
-        return F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in zip(self.partition_by, kinds)]).isin(places)
+        return F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in zip(columns, kinds)]).isin(places)
 
     def _writer(self, df: DataFrame, mode: str):
         return (compact_by(df, self.partition_by).write.format(self.fmt).mode(mode)

@@ -1,9 +1,14 @@
 """Continuous loads: change messages to bronze, silver and, if wanted, the serving store.
 
-Every micro-batch writes its parsed messages to its own partition of the change table, then merges them into the silver
-partitions it touches. Both steps give the same tables when a batch is repeated, so a stream that is restarted after a crash, or
-replayed from an older offset, neither loses nor repeats a change. Batches are told apart by run and number: a stream with
-a new checkpoint counts from 0 again but never replaces what an earlier run wrote.
+Every micro-batch writes its parsed messages to its own partition of the change table, and its changes to its own partitions of
+the deltas, beside the silver partitions they belong to: what a batch writes grows with the batch, not with the table. Readers see
+silver with its deltas merged (`CdcTable.state`), and only rows of keys with deltas are merged for it. A bucket whose deltas have
+grown against it, or are many files, is compacted: merged into silver once for many batches.
+
+State and history are functions of the set of changes, so all steps give the same tables when a batch is repeated: a stream
+that is restarted after a crash, or replayed from an older offset, neither loses nor repeats a change, and a compaction that was cut off
+before it removed the deltas does no harm. Batches are told apart by run and number: a stream with a new checkpoint counts from 0
+again but never replaces what an earlier run wrote.
 
 A stream may follow a batch load into the same silver tables. The loaded rows are adopted once, as changes older than any
 in the stream, and kept aside as the base that silver is a function of, together with the change table (`rebuild`).
@@ -21,9 +26,12 @@ from pyspark.sql.streaming import StreamingQuery
 from lakeloom.functions.bands import bucket_key, decade, price_range, year_month
 from lakeloom.operators import cdc, merge, scd2
 from lakeloom.schemas import ORDERS, PRODUCTS, USERS
+from lakeloom.sinks.feed import BATCH, ChangeFeed
 from lakeloom.sources.lake import LakeTable
 
 BUCKETS = 20
+# A bucket is compacted when its deltas have more than this share of its bytes, or more files than this.
+DELTA_SHARE, DELTA_FILES = 0.5, 64
 
 
 @dataclass(frozen=True)
@@ -61,6 +69,15 @@ class CdcTable:
     def silver(self) -> LakeTable:
         return LakeTable(f"{self.root}/silver/{self.name}", tuple(self.bucket()), self.fmt)
 
+    @property
+    def deltas(self) -> LakeTable:
+        """Changes that silver does not have yet."""
+        return LakeTable(f"{self.root}/deltas/{self.name}", (*self.bucket(), *BATCH), self.fmt)
+
+    @property
+    def feed(self) -> ChangeFeed:
+        return ChangeFeed(f"{self.root}/feed/{self.name}")
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/{self.checkpoints}/{self.name}"
@@ -70,13 +87,34 @@ class CdcTable:
         return parsed.withColumns(dict(self.derive())) if self.derive() else parsed
 
     def merge(self, state: DataFrame | None, changes: DataFrame) -> DataFrame:
-        apply = scd2.scd2 if self.mode == "scd2" else merge.upsert
+        apply = scd2.scd2 if self.mode == "scd2" else merge.upsert_touched
         return apply(state, changes, list(self.keys))
 
+    def state(self, spark: SparkSession, where: Column | None = None, of: DataFrame | None = None,
+              without: tuple[str, int] | None = None) -> DataFrame | None:
+        """Silver with its deltas merged, None if there is nothing; `where` selects buckets, `of` keys, and `without` leaves out the deltas of
+        one batch (run, number)."""
+        def part(table: LakeTable) -> DataFrame | None:
+            if not table.exists(spark):
+                return None
+            rows = table.read(spark, where)
+            return rows if of is None else merge.lookup_existing(rows, of, list(self.keys))
+
+        held, late = part(self.silver), part(self.deltas)
+        if late is None:
+            return held
+        if without is not None:
+            late = late.filter(~((F.col("_run").cast("string") == without[0]) & (F.col("_batch") == without[1])))
+        return self.merge(held, late.drop(*BATCH))
+
     def visible(self, spark: SparkSession) -> DataFrame:
         """Silver as its readers see it."""
+        return self.shown(self.state(spark))
+
+    def shown(self, state: DataFrame) -> DataFrame:
+        """The rows of a state that readers see; of a table that no stream has written, all."""
         hide = scd2.visible if self.mode == "scd2" else merge.visible
-        return hide(self.silver.read(spark))
+        return hide(state) if "deleted" in state.columns else state
 
 
 def users_table(root: str, encodings: Mapping[str, str] | None = None, buckets: int = BUCKETS) -> CdcTable:
@@ -103,10 +141,13 @@ def orders_table(root: str, encodings: Mapping[str, str] | None = None) -> CdcTa
         bucket=lambda: year_month("date"))
 
 
+TABLES = {"users": users_table, "products": products_table, "orders": orders_table}
+
+
 def apply_batch(spark: SparkSession, table: CdcTable, messages: DataFrame, batch_id: int,
-                publish: Callable[[DataFrame, int], None] | None = None, run: str = "run") -> None:
+                publish: Callable[[DataFrame, int], None] | None = None, run: str = "run", feed: bool = False) -> None:
     """One micro-batch: changes, silver, then `publish(rows, batch_id)` with the silver rows of the batch's keys. `run`
-    names the checkpoint that numbers the batches."""
+    names the checkpoint that numbers the batches. With `feed` the signed rows of what changed for readers go to `table.feed`."""
     if messages.isEmpty():
         return
     parsed = table.parse(messages).withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id).cast("bigint")})
@@ -115,20 +156,50 @@ def apply_batch(spark: SparkSession, table: CdcTable, messages: DataFrame, batch
     # Read the batch back from bronze: later steps neither read the source again nor depend on cached blocks of an
     # executor that may be lost.
     changes = cdc.accepted(table.bronze.read_partition(spark, _run=run, _batch=batch_id))
-    changes = changes.select(*table.fields, *table.derive(), *cdc.SEQUENCE, "deleted")
-    _commit(spark, table, changes)
+    changes = changes.select(*table.fields, *table.derive(), *cdc.SEQUENCE, "deleted").withColumns(dict(table.bucket()))
+    if table.silver.exists(spark):
+        adopt(spark, table)
+    if feed and not table.feed.holds(spark, run, batch_id):
+        # Before the batch counts for readers, so that a batch repeated after a crash gives the same signed rows.
+        table.feed.write(signed_batch(spark, table, changes, run, batch_id), run, batch_id)
+    _commit(spark, table, changes, run, batch_id)
     if publish is not None:
-        silver = table.silver.read(spark, _touched(table, changes))
-        publish(merge.lookup_existing(silver, changes, list(table.keys)), batch_id)
+        publish(table.state(spark, _touched(table, changes), changes), batch_id)
 
 
-def _commit(spark: SparkSession, table: CdcTable, changes: DataFrame) -> None:
-    bucketed = changes.withColumns(dict(table.bucket()))
-    state = None
-    if table.silver.exists(spark):
-        adopt(spark, table)
-        state = table.silver.read(spark, table.silver.touched(bucketed))
-    table.silver.replace_partitions(table.merge(state, bucketed))
+def signed_batch(spark: SparkSession, table: CdcTable, changes: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """What a batch changes for readers: signed rows of its keys. Other keys are read, but not merged or compared."""
+    before = table.state(spark, _touched(table, changes), changes, without=(run, batch_id))
+    after = table.shown(table.merge(before, changes))
+    return merge.signed_changes(None if before is None else table.shown(before), after)
+
+
+def _commit(spark: SparkSession, table: CdcTable, changes: DataFrame, run: str, batch_id: int) -> None:
+    if not table.silver.exists(spark):
+        table.silver.replace_partitions(table.merge(None, changes))
+        return
+    named = changes.withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id).cast("bigint")})
+    table.deltas.replace_partitions(named)
+    compact(spark, table)
+
+
+def compact(spark: SparkSession, table: CdcTable, share: float = DELTA_SHARE, files: int = DELTA_FILES) -> list[str]:
+    """Merge the deltas of buckets into silver where they have more than `share` of the bucket's bytes or more than `files` files;
+    returns these buckets. Only they are read and written."""
+    levels = len(table.bucket())
+    held = table.silver.folders(spark, levels)
+    due = [bucket for bucket, (size, count) in table.deltas.folders(spark, levels).items()
+           if size > share * held.get(bucket, (0, 0))[0] or count > files]
+    if not due:
+        return []
+    merged = [folder for folder in table.deltas.folders(spark, levels + len(BATCH))
+              if folder.rsplit("/", len(BATCH))[0] in set(due)]
+    late = spark.read.option("basePath", table.deltas.path).format(table.fmt).load(
+        [f"{table.deltas.path}/{folder}" for folder in merged]).drop(*BATCH)
+    state = table.silver.read(spark, _touched(table, late))
+    table.silver.replace_partitions(table.merge(state, late))
+    table.deltas.remove(spark, merged)
+    return due
 
 
 def adopt(spark: SparkSession, table: CdcTable) -> None:
@@ -149,6 +220,21 @@ def adopt(spark: SparkSession, table: CdcTable) -> None:
     table.silver.overwrite(table.merge(None, table.base.read(spark).withColumns(dict(table.bucket()))))
 
 
+def first_seen(stream: DataFrame, table: CdcTable, within: str = "1 day") -> DataFrame:
+    """The messages of a stream without those that a connector sends again: of usable messages with the same key, ts_ms and lsn the
+    first to arrive stays, and those that arrive no more than `within` later go. Messages that are not usable all pass, as the change
+    table keeps them. The state holds the identities that arrived in that time. It goes by arrival, so no late change is dropped.
+
+    Silver does not need this, since a change that is applied again is the same; it keeps the change table and the bytes
+    of a batch small when a source is re-read.
+    """
+    parsed = cdc.parse(stream, table.fields, list(table.keys), table.encodings, keep=["value"])
+    usable = F.col("kind").isin(*cdc.ACCEPTED)
+    sent = parsed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    once = sent.filter(usable).dropDuplicatesWithinWatermark([*table.keys, *cdc.SEQUENCE, "op"])
+    return once.select("value").union(parsed.filter(~usable).select("value"))
+
+
 def run_of(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that a checkpoint belongs to; a new checkpoint has a new one."""
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
@@ -164,25 +250,33 @@ def rebuild(spark: SparkSession, table: CdcTable) -> None:
     if table.base.exists(spark):
         changes = table.base.read(spark).select(*changes.columns).unionByName(changes)
     table.silver.overwrite(table.merge(None, changes.withColumns(dict(table.bucket()))))
+    table.deltas.remove(spark)
 
 
 def run_cdc(stream: DataFrame, table: CdcTable, trigger: Mapping[str, object] | None = None,
-            publish: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Start the stream of messages into its tables; every two minutes unless `trigger` says otherwise."""
+            publish: Callable[[DataFrame, int], None] | None = None, feed: bool = False,
+            after: Callable[[str, int], None] | None = None) -> StreamingQuery:
+    """Start the stream of messages into its tables; every two minutes unless `trigger` says otherwise. `after(run, batch_id)` is called
+    when a batch is committed, as to bring marts up to date from its feed."""
     spark = stream.sparkSession
-    return (stream.writeStream.queryName(f"cdc_{table.name}")
-            .foreachBatch(lambda batch, batch_id: apply_batch(
-                spark, table, batch, batch_id, publish, run_of(spark, table.checkpoint)))
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(spark, table.checkpoint)
+        apply_batch(spark, table, batch, batch_id, publish, run, feed)
+        if after is not None:
+            after(run, batch_id)
+
+    return (stream.writeStream.queryName(f"cdc_{table.name}").foreachBatch(one)
             .outputMode("append").option("checkpointLocation", table.checkpoint)
             .trigger(**(trigger or {"processingTime": "2 minutes"})).start())
 
 
 def run_all(streams: list[tuple[DataFrame, CdcTable]], trigger: Mapping[str, object] | None = None,
-            publish: Mapping[str, Callable[[DataFrame, int], None]] | None = None) -> None:
+            publish: Mapping[str, Callable[[DataFrame, int], None]] | None = None, feed: bool = False) -> None:
     """Run several streams side by side in one session until all have ended or one has failed. `publish` names the steps
-    that send the changed rows of a table on, by table name."""
+    that send the rows of a batch's keys on, by table name; with `feed` every table has a feed of signed changes."""
     steps = publish or {}
-    started = [run_cdc(stream, table, trigger, steps.get(table.name)) for stream, table in streams]
+    started = [run_cdc(stream, table, trigger, steps.get(table.name), feed) for stream, table in streams]
     try:
         for one in started:
             one.awaitTermination()

@@ -229,3 +229,33 @@ def test_price_range_is_one_expression_for_batch_and_merge(spark):
         spark.createDataFrame([(1, 950.0)], "id int, price double"), ["id"],
         not_matched=[merge.Insert({"id": "src.id", "price": "src.price", "price_range": price_range("src.price")})])
     assert rows(got) == [(1, 950.0, "905-1000")]
+
+
+def test_ranks_by_ranges_equal_one_window(spark):
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(600)]
+    df = spark.createDataFrame(data, "g string, v int, i int")
+    for by in ([], ["g"]):
+        window = Window.partitionBy(*by).orderBy(F.col("v").desc_nulls_last())
+        expected = df.withColumn("rank", F.rank().over(window))
+        found = value_ranks(df, "v", by, ranges=7)
+        assert rows(found, *by, "v", "rank") == rows(expected.select(*by, "v", "rank").distinct())
+
+
+def test_one_group_of_all_rows_is_ranked_in_even_ranges(spark):
+    """No range of 20,000 different values holds more than twice the mean."""
+    df = spark.range(20_000).select(F.lit("all").alias("g"), F.xxhash64("id").alias("v"))
+    seen = []
+    original = ranking.committed
+
+    def spy(frame, label):
+        seen.append(original(frame, label))
+        return seen[-1]
+    ranking.committed = spy
+    try:
+        top = top_by_rank(df, "v", 5000, ["g"])
+        assert top.count() == 5000 and top.agg(F.max("rank")).first()[0] == 5000
+    finally:
+        ranking.committed = original
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
