@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import map_rows, may_hold, mixed, words_of
+from lakeloom.llm.shared import map_rows, may_hold, mixed, text_key, words_of
 from lakeloom.sources.lake import committed
 
 HIT = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "start_word": pa.int64(), "end_word": pa.int64()}
+KEYED_HIT = {"doc_id": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), **HIT}
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -179,30 +180,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     (doc_id, text) and (item_id, text) are not read. Rows that repeat are each reported. An item shorter than n words is a
     seed as a whole. Without items the result is empty.
     """
+    return hits(docs, benchmark, threshold, n, block_items).drop("t1", "t2")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, block_items: int) -> DataFrame:
+    """`contaminated`, with the hashes of the text that is meant."""
+    keyed = docs.select("doc_id", *text_key(), "text")
     found = None
     for ids, texts in blocks_of(benchmark, block_items):
         items = Items.of(ids, texts, n)
-        part = map_rows(docs, ["doc_id", "text"], aligner(items, Seeds.of(items), threshold), HIT)
+        part = map_rows(keyed, ["doc_id", "t1", "t2", "text"], aligner(items, Seeds.of(items), threshold), KEYED_HIT)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame(
-            [], "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+            [], "doc_id bigint, t1 bigint, t2 bigint, item_id bigint, score double, start_word bigint, end_word bigint")
     return found
 
 
 def aligner(items: Items, seeds: Seeds, threshold: float):
     def start():
         def one(row: tuple) -> Iterator[tuple]:
-            doc_id, text = row
+            *key, text = row
             for which, *rest in matches(items.numbers(text), items, seeds, threshold):
-                yield doc_id, items.ids[which], *rest
+                yield *key, items.ids[which], *rest
         return one
     return start
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that hold no copy of an item; the columns stay as they are."""
-    bad = committed(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc")).distinct(), "contaminated")
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block_items: int = 20_000) -> DataFrame:
+    """The rows of `docs` that hold no copy of an item; the columns stay as they are.
+
+    Rows are told apart by doc_id and text, so a row stays whatever another one with its id, or also without one, holds.
+    """
+    bad = committed(hits(docs, benchmark, threshold, n, block_items).select(
+        F.col("doc_id").alias("_doc"), F.col("t1").alias("_bad1"), F.col("t2").alias("_bad2")).distinct(), "contaminated")
     touched, same = may_hold(docs, bad.select(F.col("_doc").alias("doc_id")))
-    left = touched.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return left.unionByName(same).select(*docs.columns)
+    t1, t2 = text_key()
+    named = touched.withColumns({"_t1": t1, "_t2": t2})
+    left = named.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_t1") == F.col("_bad1")) & (
+        F.col("_t2") == F.col("_bad2")), "left_anti")
+    return left.select(*docs.columns).unionByName(same.select(*docs.columns))

@@ -20,12 +20,12 @@ from lakeloom.llm.shared import may_hold
 from lakeloom.sources.lake import committed
 
 LINE_END = "\n"
-OTHER = r"[^\p{L}\p{N}]+"
-OTHER_BUT_LINE_END = r"[^\p{L}\p{N}\n]+"
+# Runs of anything but letters and digits become one space. A run that is one space already is not matched, as most are.
+OTHER = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+"
+OTHER_BUT_LINE_END = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+"
 # Lines of one document have places below each other; a document without an id comes last.
 PER_DOCUMENT = 1 << 31
 LAST = 1 << 63
-SUM_BITS = 42
 
 
 def normalised(line: Column) -> Column:
@@ -55,15 +55,15 @@ def halves(words: Column, count: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """(doc_id, line_no, h1, h2, halves) of each line of at least `min_words` words; halves is null for short ones."""
+    """(doc_id, text_hash, line_no, h1, h2, halves) of each line of at least `min_words` words; halves is null for short ones."""
     # A whole text is normalised at once, and behind the generator no filter repeats that work.
     whole = F.regexp_replace(F.lower("text"), OTHER_BUT_LINE_END, " ")
-    split = docs.select("doc_id", F.posexplode(F.split(whole, LINE_END, -1)).alias("line_no", "line"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(whole, LINE_END, -1)).alias("line_no", "line"))
     words = split.withColumn("words", F.trim("line"))
     enough = F.lit(True) if min_words < 2 else F.substring_index("words", " ", min_words - 1) != F.col("words")
     counted = words.filter((F.col("words") != "") & enough).select(
-        "doc_id", "line_no", "words", (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n"))
-    return counted.select("doc_id", "line_no", *identity(F.col("words")),
+        "doc_id", "text_hash", "line_no", "words", (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    return counted.select("doc_id", "text_hash", "line_no", *identity(F.col("words")),
                           F.when(F.col("n") >= near_words, halves(F.col("words"), F.col("n"))).alias("halves"))
 
 
@@ -79,60 +79,69 @@ def near_candidates(lines: DataFrame) -> DataFrame:
     return keys.join(shared.select("half"), "half", "left_semi").select("h1").distinct()
 
 
+def spot(place: Column, h1: Column) -> Column:
+    """A number for the line at a place. Only lines of rows that share an id, or have none, share a place; those are in the order of
+    their hashes."""
+    low = h1.bitwiseAND(F.lit((1 << 32) - 1)).cast("decimal(10,0)")
+    return (place.cast("decimal(29,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(38,0)")
+
+
 def candidate_words(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(place, h1, h2, position, word) of each candidate line (doc_id, line_no, place, h1, h2)."""
-    wanted = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "place", "h1", "h2")).alias("wanted"))
+    """(spot, place, words) of each candidate line (doc_id, text_hash, line_no, place, spot, h1, h2)."""
+    line = F.struct("line_no", "place", "spot", "h1", "h2")
+    wanted = candidates.groupBy("doc_id", "text_hash").agg(F.collect_list(line).alias("wanted"))  # the lines of one text
     held, _ = may_hold(docs.select("doc_id", "text"), wanted)
-    joined = held.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    wanted = wanted.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    joined = held.withColumn("_text", F.xxhash64("text")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
     lines = joined.select(F.split("text", LINE_END, -1).alias("lines"), F.explode("wanted").alias("w"))
     words = lines.select("w.*", normalised(F.get("lines", F.col("w.line_no"))).alias("words"))
-    # Rows may share an id: the line must be the one that was meant.
+    # Rows may repeat.
     h1, h2 = identity(F.col("words"))
-    same = words.filter((h1 == F.col("h1")) & (h2 == F.col("h2"))).dropDuplicates(["place", "h1", "h2"])
-    return same.select("place", "words")
+    same = words.filter((h1 == F.col("h1")) & (h2 == F.col("h2"))).dropDuplicates(["spot"])
+    return same.select("spot", "place", "words")
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """(place, key, removed): the line itself (removed = -1) and the line without each of its words.
+    """(spot, key, removed): the line itself (removed = -1) and the line without each of its words.
 
-    The hash of a line is the sum of a hash of each word with its position. Without word i the words after it move down by
-    one, so a variant's hash is a running sum of the words before i and one of the moved words after it.
+    The hash of a line combines, bit by bit, a hash of each word with its position. Without word i the words after it move down by
+    one, so a variant's hash is what has run up of the words before i, and of the moved words after it.
     """
-    words = lines.select("place", F.posexplode(F.split("words", " ")).alias("i", "word"))
-    mask = F.lit((1 << SUM_BITS) - 1)
-    own = F.xxhash64("word", F.col("i").cast("int")).bitwiseAND(mask)
-    moved = F.xxhash64("word", (F.col("i") - 1).cast("int")).bitwiseAND(mask)
-    up_to = Window.partitionBy("place").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("place")
-    sums = words.select("place", "i", own.alias("own"), moved.alias("moved")).select(
-        "place", "i", (F.sum("own").over(up_to) - F.col("own")).alias("before"),
-        F.sum("own").over(whole).alias("all"), F.count("*").over(whole).alias("n"),
-        (F.sum("moved").over(whole) - F.sum("moved").over(up_to)).alias("after"))
+    words = lines.select("spot", F.posexplode(F.split("words", " ")).alias("i", "word"))
+    own = F.xxhash64("word", F.col("i").cast("int"))
+    moved = F.xxhash64("word", (F.col("i") - 1).cast("int"))
+    up_to = Window.partitionBy("spot").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("spot")
+    sums = words.select("spot", "i", own.alias("own"), moved.alias("moved")).select(
+        "spot", "i", F.bit_xor("own").over(up_to).bitwiseXOR(F.col("own")).alias("before"),
+        F.bit_xor("own").over(whole).alias("all"), F.count("*").over(whole).alias("n"),
+        F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(up_to)).alias("after"))
     variants = F.array(
-        F.struct(F.xxhash64(F.col("n") - 1, F.col("before") + F.col("after")).alias("key"), F.col("i").alias("removed")),
+        F.struct(F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("after"))).alias("key"), F.col("i").alias("removed")),
         F.when(F.col("i") == 0, F.struct(F.xxhash64("n", "all").alias("key"), F.lit(-1).alias("removed"))))
-    return sums.select("place", F.explode(F.array_compact(variants)).alias("v")).select("place", "v.key", "v.removed")
+    return sums.select("spot", F.explode(F.array_compact(variants)).alias("v")).select("spot", "v.key", "v.removed")
 
 
 def earliest_near(lines: DataFrame, label: str) -> DataFrame:
-    """(place, near): for each line (place, words) with an earlier one within one edit, the earliest such."""
+    """(spot, near): for each line (spot, place, words) with an earlier one within one edit, the place of the earliest such."""
     variants = committed(neighbourhood(lines), label)
-    by_variant = variants.groupBy("key", "removed").agg(F.min("place").alias("first"))
+    by_variant = variants.groupBy("key", "removed").agg(F.min("spot").alias("first"))
     by_key = by_variant.groupBy("key").agg(
         F.min("first").alias("any"), F.min(F.when(F.col("removed") == -1, F.col("first"))).alias("whole"))
     # A whole line is one edit from every variant it equals; a variant from the whole line, and from variants without the same word.
     met = variants.join(by_key.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (
-        (F.col("any") < F.col("place"))), "inner").drop("_key")
+        (F.col("any") < F.col("spot"))), "inner").drop("_key")
     same = by_variant.withColumnRenamed("first", "same")
     met = met.join(same, ["key", "removed"])
     near = F.when(F.col("removed") == -1, F.col("any")).otherwise(
         F.least(F.col("same"), F.coalesce(F.col("whole"), F.col("same"))))
-    found = met.select("place", near.alias("near")).filter("near < place")
-    pairs = found.groupBy("place").agg(F.min("near").alias("near"))
-    named = lines.select("place", F.split("words", " ").alias("a"))
-    other = lines.select(F.col("place").alias("near"), F.split("words", " ").alias("b"))
-    return pairs.join(named, "place").join(other, "near").filter(within_one_edit(F.col("a"), F.col("b"))).select(
-        "place", "near")
+    found = met.select("spot", near.alias("near")).filter("near < spot")
+    pairs = found.groupBy("spot").agg(F.min("near").alias("near"))
+    named = lines.select("spot", F.split("words", " ").alias("a"))
+    other = lines.select(F.col("spot").alias("near"), F.col("place").alias("near_place"), F.split("words", " ").alias("b"))
+    return pairs.join(named, "spot").join(other, "near").filter(within_one_edit(F.col("a"), F.col("b"))).select(
+        "spot", F.col("near_place").alias("near"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -145,29 +154,36 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (shared >= longer - 1)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 1, near_words: int = 8) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): each line that an earlier one repeats, with the earliest such.
 
-    Lines are numbered from 0. `docs` needs doc_id and text. Lines of fewer than `min_words` words, and so empty ones and
-    null texts, are never dropped; lines of fewer than `near_words` words only if all words are equal. For a line that
+    Lines are numbered from 0. `docs` needs doc_id and text. Lines of fewer than `min_words` words, so always those without a
+    word and null texts, are never dropped; lines of fewer than `near_words` words only if all words are equal. For a line that
     is equal to an earlier one its near copies count from the first place of its words. Rows with the same doc_id stand at
     the same place, so a repeated row drops no line of its twin; rows without a doc_id come last, at one place.
     """
+    return repeats(docs, min_words, near_words).drop("text_hash")
+
+
+def repeats(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """`repeated_lines`, with a hash of the text that holds the line."""
     lines = committed(lines_of(docs, min_words, near_words), "lines")
     lines = lines.withColumn("place", place(F.col("doc_id"), F.col("line_no")))
-    first = committed(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first")), "first-lines")
-    near = first.join(near_candidates(lines), "h1", "left_semi").select("h1", "h2", F.col("first").alias("place"))
+    first = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"),
+                                          F.min_by("text_hash", "place").alias("text_hash"))
+    first = committed(first.withColumn("spot", spot(F.col("first"), F.col("h1"))), "first-lines")
+    near = first.join(near_candidates(lines), "h1", "left_semi").withColumnRenamed("first", "place")
     line_no = F.pmod(F.col("place"), F.lit(PER_DOCUMENT).cast("decimal(32,0)"))
     doc = (F.col("place") - line_no) / F.lit(PER_DOCUMENT).cast("decimal(32,0)")
-    near = near.select("place", "h1", "h2", line_no.cast("int").alias("line_no"), id_of(doc).alias("doc_id"))
+    near = near.select("place", "spot", "h1", "h2", "text_hash", line_no.cast("int").alias("line_no"), id_of(doc).alias("doc_id"))
     words = committed(candidate_words(docs, near), "near-lines")
-    edits = earliest_near(words, "line-variants").withColumnRenamed("place", "first")
-    kept = first.join(edits, "first", "left").filter("n > 1 OR near IS NOT NULL").select(
+    edits = earliest_near(words, "line-variants")
+    kept = first.join(edits, "spot", "left").filter("n > 1 OR near IS NOT NULL").select(
         "h1", "h2", F.coalesce("near", "first").alias("kept"))
     dropped = lines.join(kept, ["h1", "h2"]).filter("kept < place")
     kept_no = F.pmod(F.col("kept"), F.lit(PER_DOCUMENT).cast("decimal(32,0)"))
     kept_doc = (F.col("kept") - kept_no) / F.lit(PER_DOCUMENT).cast("decimal(32,0)")
-    return dropped.select("doc_id", "line_no", id_of(kept_doc).alias("kept_doc_id"), kept_no.cast("int").alias("kept_line_no"))
+    return dropped.select("doc_id", "text_hash", "line_no", id_of(kept_doc).alias("kept_doc_id"), kept_no.cast("int").alias("kept_line_no"))
 
 
 def id_of(doc: Column) -> Column:
@@ -178,14 +194,18 @@ def id_of(doc: Column) -> Column:
 def without_repeated_lines(docs: DataFrame, min_words: int = 1, near_words: int = 8) -> DataFrame:
     """The rows of `docs`, in their columns, without the lines that repeat; rows of which nothing is left go.
 
-    Lines of any length count, so that of a copy no short or unspaced line stays. A row keeps its text as it is if no line of it repeats. n_chars, if there, is set for rows that changed.
+    Lines of any length count, so that of a copy no short or unspaced line stays. A row keeps its text as it is if no line of it
+    repeats. n_chars, if there, is set for rows that changed. Rows are told apart by doc_id and text: a line goes from the row
+    that holds it, not from others with the same id, or also without one.
     """
-    dropped = committed(repeated_lines(docs, min_words, near_words), "repeated-lines")
-    by_doc = dropped.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_drop"))
+    dropped = committed(repeats(docs, min_words, near_words), "repeated-lines")
+    by_row = dropped.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
+        F.collect_set("line_no").alias("_drop"))
     changed, same = may_hold(docs, dropped.select("doc_id"))
     lines = F.split("text", LINE_END, -1)
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_drop"), i)), LINE_END)
-    joined = changed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    joined = changed.withColumn("_text", F.xxhash64("text")).join(
+        by_row, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
     joined = joined.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
     joined = joined.filter(F.col("_drop").isNull() | (normalised(F.col("_left")) != ""))
     out = [F.col("_left").alias(c) if c == "text" else
@@ -199,7 +219,7 @@ WITH occ AS (
   SELECT doc_id, pos - 1 AS line_no, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS words
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
         FROM documents)),
-lines AS (SELECT *, string_split(words, ' ') AS w FROM occ WHERE words <> '' AND len(string_split(words, ' ')) >= 3),
+lines AS (SELECT *, string_split(words, ' ') AS w FROM occ WHERE words <> ''),
 first AS (SELECT words, any_value(w) AS w, min((doc_id, line_no)) AS place FROM lines GROUP BY words),
 long AS (SELECT * FROM first WHERE len(w) >= 8),
 variants AS (

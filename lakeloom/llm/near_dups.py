@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import WordHashes, components, kept, map_rows, may_hold, mixed, ngrams, words_of
+from lakeloom.llm.shared import WordHashes, components, kept, map_rows, may_hold, mixed, ngrams, text_key, words_of
+from lakeloom.operators.dedupe import keep_first
 from lakeloom.sources.lake import committed
 
 SHINGLE = 5
@@ -30,7 +31,7 @@ BANDS, ROWS = 30, 6
 SLOTS = BANDS * ROWS
 # Nodes of a bucket whose pairs are listed outright; larger buckets are compared by blocks of so many.
 SMALL, BLOCK = 48, 1024
-SIGNED = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64())}
+SIGNED = {"doc_id": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "node": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64())}
 
 
 def cells(words: np.ndarray, weights: str) -> np.ndarray:
@@ -82,21 +83,21 @@ def bands_of(signed: np.ndarray) -> list[int]:
 
 
 def sign(docs: DataFrame, weights: str) -> DataFrame:
-    """(doc_id, node, size, bands) of each row; node is a hash of its words, null if it has none."""
+    """(doc_id, t1, t2, node, size, bands) of each row; t1 and t2 are hashes of its text, node of its words, null if it has none."""
     def start():
         hashes = kept("hashes", None, WordHashes)
 
         def one(row: tuple) -> Iterator[tuple]:
-            doc_id, text = row
+            *key, text = row
             words = hashes.of(words_of(text))
             if not len(words):
-                yield doc_id, None, 0, []
+                yield *key, None, 0, []
                 return
             own = cells(words, weights)
-            yield doc_id, node_of(words), len(own), bands_of(signature(own))
+            yield *key, node_of(words), len(own), bands_of(signature(own))
         return one
 
-    return map_rows(docs, ["doc_id", "text"], start, SIGNED)
+    return map_rows(docs.select("doc_id", *text_key(), "text"), ["doc_id", "t1", "t2", "text"], start, SIGNED)
 
 
 def node_of(words: np.ndarray) -> int:
@@ -203,14 +204,8 @@ def across(unlinked: DataFrame, signed: DataFrame, held: DataFrame, threshold: f
     return many.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
-    """(doc_id, class_id) of each row: the smallest doc_id of all documents that links of at least `threshold` connect.
-
-    Similarity is that of the sets of five-word shingles, in lower case and without punctuation; with `weights="count"` a
-    shingle weighs as often as it occurs. A text of fewer than five words is one shingle; one without words, so also a null
-    or empty one, is a class by itself. Rows that repeat are in one class; doc_id is taken to identify a text. A link
-    of similarity 0.8 is found with probability 0.9999.
-    """
+def linked(docs: DataFrame, threshold: float, weights: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (node, doc_id, component) of each different text, doc_id the smallest that has it."""
     signed = committed(sign(docs, weights), "signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bands = signed.select("node", F.posexplode("bands").alias("band", "key"))
@@ -226,7 +221,19 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> Da
     edges = committed(edges.union(similar(listed(unlinked), held, threshold)).union(
         across(unlinked, signed.filter("node IS NOT NULL"), held, threshold)), "links")
     member = components(edges, "components")
-    placed = nodes.join(member, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    return signed, nodes.join(member, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
+    """(doc_id, class_id) of each row: the smallest doc_id of all documents that links of at least `threshold` connect.
+
+    Similarity is that of the sets of five-word shingles, in lower case and without punctuation; with `weights="count"` a
+    shingle weighs as often as it occurs. A text of fewer than five words is one shingle; one without words, so also a null
+    or empty one, is a class by itself. Rows that repeat are in one class. Classes are of texts: rows with one doc_id, or none, but
+    different texts are in the classes of their texts, whose id is null if no text of it has an id. A link
+    of similarity 0.8 is found with probability 0.9999.
+    """
+    signed, placed = linked(docs, threshold, weights)
     heads = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     class_of = placed.join(heads, "component").select("node", "class_id")
     return signed.select("doc_id", "node").join(class_of, "node", "left").select(
@@ -240,10 +247,25 @@ def centred(buckets: DataFrame, centre: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs`, in their columns, whose doc_id is the smallest of its class; of equal rows one stays."""
-    found = committed(classes(docs, threshold), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    touched, same = may_hold(docs, gone.union(repeated))
-    left = touched.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]).unionByName(same).select(*docs.columns)
+    """The rows of `docs`, in their columns, that are the first of their class: the smallest doc_id, rows without one last.
+
+    Rows are told apart by doc_id and text, so no row goes because another shares its id, or has none either. Of rows equal in both
+    the first by their other columns stays. Rows without words, also null and empty texts, are no copies of each other.
+    """
+    signed, placed = linked(docs, threshold, "set")
+    key = ["doc_id", "t1", "t2"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    rows = signed.filter("node IS NOT NULL").join(placed.select("node", "component"), "node").select("component", *key)
+    heads = rows.groupBy("component").agg(F.min(order).alias("head"))
+    gone = committed(rows.join(heads, "component").filter(order != F.col("head")).select(*key).distinct(), "copies")
+    repeated = signed.groupBy(*key).count().filter("count > 1").select("doc_id")
+    touched, same = may_hold(docs, gone.select("doc_id").union(repeated))
+    named = touched.withColumns({f"_{name}": F.col(name) if name == "doc_id" else value
+                                 for name, value in zip(key, (F.col("doc_id"), *text_key()))})
+    others = gone.select(*[F.col(name).alias(f"_gone_{name}") for name in key])
+    is_gone = F.lit(True)
+    for name in key:
+        is_gone = is_gone & F.col(f"_{name}").eqNullSafe(F.col(f"_gone_{name}"))
+    rest = [F.col(name).cast("string") for name in docs.columns if name not in ("doc_id", "text")]
+    left = keep_first(named.join(others, is_gone, "left_anti"), [f"_{name}" for name in key], rest or [F.lit(0)])
+    return left.select(*docs.columns).unionByName(same.select(*docs.columns))

@@ -31,15 +31,21 @@ def crc_mod(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def text_key() -> list[Column]:
+    """128 bits that stand for a text, as t1 and t2: with doc_id they name a row, also where ids repeat or are missing."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
+
+
 def words_of(text: str | None) -> list[str]:
     """The lower-case words of a text, punctuation left out."""
     return WORD.findall(text.lower()) if text else []
 
 
 class ByteBound:
-    """Whether the words a cache keeps fit in `CACHED_BYTES`. Those of one text are always let in."""
+    """Whether the words a cache keeps fit in `limit` bytes. Those of one text are always let in."""
 
-    def __init__(self):
+    def __init__(self, limit: int | None = None):
+        self.limit = CACHED_BYTES if limit is None else limit
         self.restart()
 
     def restart(self) -> None:
@@ -47,7 +53,7 @@ class ByteBound:
 
     def holds(self, new: list[str]) -> bool:
         size = ENTRY_BYTES * len(new) + 4 * sum(map(len, new))
-        if self.used and self.used + size > CACHED_BYTES:
+        if self.used and self.used + size > self.limit:
             return False
         self.used += size
         return True
@@ -128,6 +134,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(column, type=field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
 
+def portions(rows: Iterator[tuple], text: int = 1, chars: int = 1 << 18) -> Iterator[list[tuple]]:
+    """Rows together up to about `chars` characters of the text at index `text`."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl.items()))
 

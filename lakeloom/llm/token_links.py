@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import batched, arrow_schema, bounded_batches, kept, rows_of
+from lakeloom.llm.shared import arrow_schema, batched, bounded_batches, kept, portions, rows_of
 from lakeloom.sources.lake import committed
 
 FIRST = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups_sha256": pa.string(),
@@ -31,7 +31,6 @@ LAST = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups":
         "n_best": pa.int64(), "count_sum": pa.int64(), "groups_sha256": pa.string()}
 # Fixed value: how byte-level BPE cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PORTION = 1 << 18  # characters that are encoded together
 SLICES = 1 << 12  # groups that are written out together
 
 
@@ -178,18 +177,6 @@ class Aligner:
         return hashed.hexdigest()
 
 
-def portions(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1] or "")
-        if size >= PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups_sha256, links) of each row; links are pair numbers, as little-endian 32-bit bytes."""
     schema = arrow_schema(FIRST)

@@ -2,7 +2,7 @@
 
 The kernel of two words counts the three-letter subsequences they share, each weighted by DECAY to the power of the letters it
 spans, so that `i.d.i.o.t`, `idxiot` and `idiot` are alike: gaps only make a subsequence lighter. Words are compared with their
-ends marked; the kernel is normalised and raised to POWER (which is a kernel again), as words of one language share many
+ends marked; the kernel is normalised and raised to the third power (which is a kernel again), as words of one language share many
 subsequences by chance. The kernel of two sentences is the sum over pairs of their different words, so a sentence is the sum of its words
 in the feature space. Words that often stand in toxic texts and words drawn from others are the landmarks;
 the Nyström map gives a sentence one coordinate for each, and a linear machine is fitted there.
@@ -27,66 +27,81 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import ByteBound, kept, map_rows, mixed, rows_of
+from lakeloom.llm.shared import ByteBound, arrow_schema, batched, bounded_batches, kept, map_rows, mixed, portions, rows_of
 
 SCORE = {"doc_id": pa.int64(), "held_out": pa.bool_(), "score": pa.float64(), "predicted": pa.int32()}
-DECAY, SPAN, POWER = 0.6, 6, 3  # a subsequence of three letters spans SPAN + 1 letters at most
+DECAY, SPAN = 0.6, 6  # a subsequence of three letters spans SPAN + 1 letters at most
 STEPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN + 1)]
+WEIGHTS = np.array([DECAY ** (j + 1) for j in range(8)])
 SENTENCE_WORDS = 24  # sentences without an end are cut after so many words
-ENDS = (".", "!", "?", "…", "。", "！", "？")
+ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+CACHE = 144 << 20  # bytes of words that a task keeps
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 START, END = 2, 3
 
 
+BLOCK = 512  # words that are compared together; their number fits in the high bits of a key
+CODE_BITS = 51
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, code, weight) of the subsequences of each word; a code holds three code points, so it is exact."""
-    marked = "".join(f"{chr(START)}{EDGE.sub('', word) or word}{chr(END)}" for word in words)
+    """(word, code, weight) of the different subsequences of up to BLOCK words, by word and code; the weights of each word have
+    length 1. A code is a hash of three code points. Where a subsequence occurs more than once in a word its weights add up.
+    """
+    marked = "".join([f"{chr(START)}{EDGE.sub('', word) or word}{chr(END)}" for word in words])
     points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.cumsum(points == START) - 1
     found = []
     for i, j in STEPS:
-        at = np.flatnonzero(owner[j:] == owner[:len(owner) - j]) if len(owner) > j else np.zeros(0, np.int64)
-        code = (points[at] << np.uint64(42)) | (points[at + i] << np.uint64(21)) | points[at + j]
-        found.append((owner[at], code, np.full(len(at), DECAY ** (j + 1), np.float64)))
-    return tuple(np.concatenate(parts) for parts in zip(*found))
-
-
-def norms(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
-    """The length of each word in the feature space; a subsequence that occurs twice in a word is one coordinate."""
-    with np.errstate(over="ignore"):
-        key = mixed(code ^ mixed(owner.astype(np.uint64)))
-    order = np.argsort(key)
-    key = key[order]
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(weight[order], edges) if len(edges) else np.zeros(0)
-    return np.sqrt(np.maximum(np.bincount(owner[order][edges], sums ** 2, minlength=count), 1e-12))
+        if len(owner) > j:
+            at = np.flatnonzero(owner[j:] == owner[:len(owner) - j])
+            code = (points[at] << np.uint64(42)) | (points[at + i] << np.uint64(21)) | points[at + j]
+            # One number holds the word, the code, and the letters spanned: sorting it brings equal codes of a word together.
+            found.append((owner[at].astype(np.uint64) << np.uint64(CODE_BITS + 3)) | (
+                mixed(code) >> np.uint64(64 - CODE_BITS) << np.uint64(3)) | np.uint64(j))
+    key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    if not len(key):
+        return np.zeros(0, np.int64), key, np.zeros(0)
+    both = key >> np.uint64(3)
+    edges = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    weight = np.add.reduceat(WEIGHTS[(key & np.uint64(7)).astype(np.int64)], edges)
+    both = both[edges]
+    owner = (both >> np.uint64(CODE_BITS)).astype(np.int64)
+    length = np.sqrt(np.bincount(owner, weight ** 2, minlength=len(words)))
+    return owner, both & np.uint64((1 << CODE_BITS) - 1), weight / length[owner]
 
 
 class Landmarks:
     """Landmark words, ready to be compared with any others: of each subsequence, the landmarks that have it."""
 
     def __init__(self, words: list[str]):
-        owner, code, weight = subsequences(words)
-        weight = weight / norms(owner, code, weight, len(words))[owner]
+        parts = [subsequences(words[low:low + BLOCK]) for low in range(0, len(words), BLOCK)]
+        owner = np.concatenate([part[0] + n * BLOCK for n, part in enumerate(parts)])
+        code, weight = (np.concatenate([part[at] for part in parts]) for at in (1, 2))
         order = np.argsort(code, kind="stable")
         self.count, self.landmark, self.weight = len(words), owner[order], weight[order]
         self.codes, self.first, self.times = np.unique(code[order], return_index=True, return_counts=True)
+        # Most subsequences are in no landmark, which their last bits often show.
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[(self.codes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """The kernel of each word with each landmark."""
         out = np.zeros((len(words), self.count), np.float32)
-        for low in range(0, len(words), 512):
-            some = words[low:low + 512]
+        for low in range(0, len(words), BLOCK):
+            some = words[low:low + BLOCK]
             owner, code, weight = subsequences(some)
-            weight = weight / norms(owner, code, weight, len(some))[owner]
-            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            known = np.flatnonzero(self.codes[place] == code)
-            times = self.times[place[known]]
+            known = np.flatnonzero(self.maybe[(code & np.uint64((1 << 18) - 1)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.codes, code[known]), len(self.codes) - 1)
+            same = self.codes[place] == code[known]
+            known, place = known[same], place[same]
+            times = self.times[place]
             ends = np.cumsum(times)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place[known]] - ends + times, times)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - ends + times, times)
             met = np.repeat(owner[known] * self.count, times) + self.landmark[at]
             both = np.bincount(met, np.repeat(weight[known], times) * self.weight[at], minlength=len(some) * self.count)
-            out[low:low + len(some)] = both.reshape(len(some), self.count) ** POWER
+            both = both.astype(np.float32).reshape(len(some), self.count)
+            out[low:low + len(some)] = both * both * both
         return out
 
 
@@ -95,8 +110,9 @@ def sentences(text: str | None) -> tuple[list[str], np.ndarray]:
     words = text.lower().split() if text else []
     if not words:
         return [], np.zeros(0, np.int64)
-    single = np.fromiter((len(word) == 1 for word in words), bool, len(words))
-    ends = np.fromiter((word.endswith(ENDS) for word in words), bool, len(words))
+    single = np.fromiter(map(len, words), np.int64, len(words)) == 1
+    last = "".join([word[-1] for word in words]).encode("utf-32-le", "surrogatepass")
+    ends = np.isin(np.frombuffer(last, np.uint32), ENDS)
     if single.any():
         bounds = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         for low, high in zip(bounds[-2::-2].tolist(), bounds[::-2].tolist()):
@@ -136,26 +152,30 @@ class Scorer:
     """A machine with the parts of the words it has met; they are forgotten when they take too much room."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.bound = machine.prepared(), ByteBound()
+        self.machine, self.bound = machine.prepared(), ByteBound(CACHE)
         self.place, self.values = {}, np.zeros(1024)
 
-    def __call__(self, text: str | None) -> float:
-        words, starts = sentences(text)
-        if not words:
-            return self.machine.score(self.machine.bias)
-        new = list({word for word in words if word not in self.place})
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        """The score of each text. New words of all of them are compared with the landmarks together."""
+        split = [sentences(text) for text in texts]
+        new = list({word for words, _ in split for word in words if word not in self.place})
         if not self.bound.holds(new):
             self.place.clear()
             self.bound.restart()
-            new = list(set(words))
+            new = list({word for words, _ in split for word in words})
             self.bound.holds(new)
         self._learn(new)
+        return [self.machine.score(self._decision(words, starts) + self.machine.bias) for words, starts in split]
+
+    def _decision(self, words: list[str], starts: np.ndarray) -> float:
+        if not words:
+            return 0.0
         places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         # Of each sentence, each different word once.
         sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-        once = np.unique(sentence << 32 | places)
-        sums = np.bincount(once >> 32, self.values[once & 0xFFFFFFFF], minlength=len(starts))
-        return self.machine.score(float(sums.max()) + self.machine.bias)
+        once = np.sort(sentence << 32 | places)
+        once = once[np.concatenate([[True], once[1:] != once[:-1]])]
+        return float(np.bincount(once >> 32, self.values[once & 0xFFFFFFFF], minlength=len(starts)).max())
 
     def _learn(self, new: list[str]) -> None:
         for low in range(0, len(new), 2048):
@@ -314,14 +334,14 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float
     """
     key = machine.landmarks, machine.weights.tobytes(), machine.bias, machine.slope, machine.offset
 
-    def start():
-        scorer = kept("toxicity", key, lambda: Scorer(machine))
+    schema = arrow_schema(SCORE)
 
-        def one(row: tuple) -> Iterator[tuple]:
-            doc_id, text, held = row
-            value = scorer(text)
-            yield doc_id, held, value, int(value >= threshold)
-        return one
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = kept("toxicity", key, lambda: Scorer(machine))
+        return batched(((doc_id, held, value, int(value >= threshold)) for batch in batches
+                        for rows in portions(rows_of(batch, "doc_id", "text", "held_out"), chars=1 << 20)
+                        for (doc_id, _, held), value in zip(rows, scorer([text for _, text, _ in rows]))), schema)
 
+    bounded_batches(docs.sparkSession)
     named = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return map_rows(named, ["doc_id", "text", "held_out"], start, SCORE)
+    return named.mapInArrow(apply, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -191,12 +191,12 @@ def plain_lines(texts):
     first, out = {}, []
     order = [(d, i, words_of(line.replace("_", " "))) for d in sorted(texts) for i, line in enumerate(texts[d].split("\n"))]
     for d, i, words in order:
-        if len(words) >= 3:
+        if words:
             first.setdefault(tuple(words), (d, i))
     near = {w: min([p for v, p in first.items() if p < q and min(len(v), len(w)) >= 8 and one_edit(v, w)], default=q)
             for w, q in first.items()}
     for d, i, words in order:
-        if len(words) >= 3 and near[tuple(words)] < (d, i):
+        if words and near[tuple(words)] < (d, i):
             out.append((d, i, *near[tuple(words)]))
     return sorted(out)
 
@@ -237,6 +237,39 @@ def test_short_and_unspaced_lines_repeat(spark):
     assert dict(rows(corpus_pipeline.lines(spark, docs, ""))) == {1: text, 3: f"{B}\n---", 5: "haanth ornd", 6: "---"}
 
 
+U, V = "an unrelated text that nothing else has in common with", "another one which stands here all by itself today"
+
+
+def test_rows_without_an_id_or_with_one_that_repeats_stay(spark):
+    """Rows are told apart by id and text: no row goes because of another one's text."""
+    data = [(1, A), (None, A), (None, U), (None, V), (2, A), (2, f"{U} {B}"), (None, f"{V}\n{A}"), (3, f"{B} {V} x"), (3, f"{B} {V} x")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    alone = [(1, A), (2, f"{U} {B}"), (3, f"{B} {V} x"), (None, U), (None, V)]
+    key = lambda found: sorted(((r.doc_id, r.text) for r in found), key=repr)
+    assert key(near_dups.one_of_each(docs).collect()) == sorted([*alone, (None, f"{V}\n{A}")], key=repr)
+    left = line_dedup.without_repeated_lines(docs).collect()
+    # Equal rows stand at one place, so neither drops the other; so do first lines of rows without an id.
+    assert key(left) == sorted([*alone, (3, f"{B} {V} x"), (None, V)], key=repr)
+    items = spark.createDataFrame([(1, A)], "item_id bigint, text string")
+    assert key(decontaminate.clean(docs, items).collect()) == sorted([(2, f"{U} {B}"), *[(3, f"{B} {V} x")] * 2, (None, U), (None, V)],
+                                                                     key=repr)
+
+
+def test_the_copy_that_stays_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, A, "en"), (1, A, "de"), (1, A, None)], "doc_id bigint, text string, lang string")
+    assert rows(near_dups.one_of_each(docs)) == [(1, A, None)]
+
+
+def test_near_lines_without_an_id(spark):
+    """Different lines at one place, as rows without an id have, are compared each by itself."""
+    lines = [f"{A} {i}" if i % 2 else f"{B} {i}" for i in range(6)]
+    docs = spark.createDataFrame([(None, line) for line in lines] + [(5, A), (6, "q " * 70_000)], "doc_id bigint, text string")
+    found = rows(line_dedup.repeated_lines(docs), "doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    # Lines that are one word from doc 5 go; of the others all stand at the same place.
+    assert found == [(None, 0, 5, 0)] * 3
+
+
 def test_no_python_in_native_operators(spark):
     for name in ("op3_licence_scan", "op10_line_dedup"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()

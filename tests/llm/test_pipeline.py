@@ -44,4 +44,4 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language ID", "line dedup", "near-dedup", "decontamination", "packing"]
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
