@@ -7,8 +7,9 @@ subsequences by chance. The kernel of two sentences is the sum over pairs of the
 in the feature space. Words that often stand in toxic texts and words drawn from others are the landmarks;
 the Nyström map gives a sentence one coordinate for each, and a linear machine is fitted there.
 
-A label belongs to a whole text, not to a sentence. Sentences of a toxic text start as toxic; then those that the machine puts on
-the other side are taken for clean, but for the worst one of each text, and the machine is fitted again.
+A label belongs to a whole text, not to a sentence. Sentences of a toxic text that have a word which marks such texts start as toxic
+(all of them if none has), and its others do not count at first; then those that the machine puts on the other side are taken for clean, but for the worst one of
+each text, and the machine is fitted again.
 
 The decision of a sentence is a sum over its words, so a task computes the part of each different word once, and a whole text is
 looked up word by word. A text is as toxic as its most toxic sentence.
@@ -35,6 +36,7 @@ STEPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN + 1)]
 WEIGHTS = np.array([DECAY ** (j + 1) for j in range(8)])
 SENTENCE_WORDS = 24  # sentences without an end are cut after so many words
 ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+LEANING, MARKED = 2.0, 4.0  # deviations by which a word is more frequent in toxic texts, to be a landmark and to mark them
 CACHE = 144 << 20  # bytes of words that a task keeps
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 START, END = 2, 3
@@ -212,9 +214,9 @@ def support_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: flo
     return held
 
 
-def landmarks_of(words: list[str], split: list[tuple[int, list[tuple[int, ...]]]], count: int) -> list[str]:
-    """Half of them the words that most mark sentences of toxic texts, the others drawn by a hash from the rest. A sentence that
-    several texts of a label have counts once."""
+def landmarks_of(words: list[str], split: list[tuple[int, list[tuple[int, ...]]]], count: int) -> tuple[list[str], set[int]]:
+    """Up to half of them words that mark sentences of toxic texts, the others drawn by a hash from the rest; and the numbers of all
+    words that mark such sentences. A sentence that several texts of a label have counts once."""
     share, size = np.zeros((len(words), 2)), []
     for label in (0, 1):
         different = {sentence for y, held in split if y == label for sentence in held}
@@ -224,12 +226,12 @@ def landmarks_of(words: list[str], split: list[tuple[int, list[tuple[int, ...]]]
     mean = np.clip(share.sum(1) / sum(size), 1e-9, 1 - 1e-9)
     share /= size
     marks = (share[:, 1] - share[:, 0]) / np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]))
-    toxic = [words[i] for i in np.argsort(-marks, kind="stable")[:count // 2] if marks[i] > 2]
+    toxic = [words[i] for i in np.argsort(-marks, kind="stable")[:count // 2] if marks[i] > LEANING]
     rest = sorted(set(words) - set(toxic), key=lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-    return toxic + rest[:count - len(toxic)]
+    return toxic + rest[:count - len(toxic)], set(np.flatnonzero(marks > MARKED).tolist())
 
 
-def fit(docs: Iterable[tuple[int, list[str]]], landmarks: int = 256, decay: float = 1.0, rounds: int = 4,
+def fit(docs: Iterable[tuple[int, list[str]]], landmarks: int = 256, decay: float = 1.0, rounds: int = 14,
         share: float | None = None, miss_cost: float = 4.0) -> Machine:
     """The machine of labelled texts (label 0 or 1, sentences as text), of which `share` are toxic where the texts come from.
     A toxic text missed costs `miss_cost` times what a clean one taken for toxic does. Texts that repeat count once.
@@ -243,7 +245,7 @@ def fit(docs: Iterable[tuple[int, list[str]]], landmarks: int = 256, decay: floa
     if len(set(labels)) < 2:
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 0.5
         return Machine([""], np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
-    chosen = landmarks_of(words, split, landmarks)
+    chosen, marking = landmarks_of(words, split, landmarks)
     ready = Landmarks(chosen)
     among = ready.kernel(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
@@ -256,15 +258,20 @@ def fit(docs: Iterable[tuple[int, list[str]]], landmarks: int = 256, decay: floa
     del mapped
     text = np.repeat(np.arange(len(split)), [len(held) for _, held in split])
     first = np.concatenate([[0], np.cumsum([len(held) for _, held in split])[:-1]])
+    marked = np.array([not marking.isdisjoint(sentence) for _, held in split for sentence in held])
+    none = ~np.logical_or.reduceat(marked, first)[text]
     y = np.where(labels[text] == 1, 1.0, -1.0).astype(np.float32)
+    known = (labels[text] == 0) | marked | none
     held = np.zeros(x.shape[1] + 1)
     for turn in range(rounds):
         if turn:
             decision = decisions(x, held)
             worst = decision >= np.maximum.reduceat(decision, first)[text]
             y = np.where((labels[text] == 1) & ((decision > 0) | worst), 1.0, -1.0).astype(np.float32)
-        toxic = max(1, int((y > 0).sum()))
-        held = support_machine(x, y, np.where(y > 0, np.sqrt(len(y) / toxic), 1.0).astype(np.float32), decay)
+            known = np.ones(len(y), bool)
+        toxic = max(1, int(((y > 0) & known).sum()))
+        weight = np.where(y > 0, np.sqrt(len(y) / toxic), 1.0) * known
+        held = support_machine(x, y, weight.astype(np.float32), decay)
     decision = np.maximum.reduceat(decisions(x, held), first)
     slope, offset = calibrated(decision, labels, float(labels.mean()) if share is None else share, miss_cost)
     return Machine(chosen, (root @ held[:-1]).astype(np.float32), float(held[-1]), slope, offset)
