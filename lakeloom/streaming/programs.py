@@ -228,11 +228,12 @@ def first_seen(stream: DataFrame, table: CdcTable, within: str = "1 day") -> Dat
     Silver does not need this, since a change that is applied again is the same; it keeps the change table and the bytes
     of a batch small when a source is re-read.
     """
-    parsed = cdc.parse(stream, table.fields, list(table.keys), table.encodings, keep=["value"])
+    named = stream.select(F.col("value").alias("_message"))  # a field of the table may have that name
+    parsed = cdc.parse(named, table.fields, list(table.keys), table.encodings, value="_message", keep=["_message"])
     usable = F.col("kind").isin(*cdc.ACCEPTED)
     sent = parsed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
     once = sent.filter(usable).dropDuplicatesWithinWatermark([*table.keys, *cdc.SEQUENCE, "op"])
-    return once.select("value").union(parsed.filter(~usable).select("value"))
+    return once.union(sent.filter(~usable)).select(F.col("_message").alias("value"))
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
