@@ -145,11 +145,14 @@ class Aligner:
     def _aligned(self, text: str, a: Sequence[int], b: Sequence[int]) -> Aligned:
         whole = f" {text}".encode()
         ids_a, ids_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        if not text or b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join(
-                map(self.bytes_a.__getitem__, ids_a.tolist())) != whole:
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        # The faster library only cuts bytes apart, so A's bytes are the text's if they are as many.
+        if (not text or not len(ids_a) or not len(ids_b) or ends_a[-1] != len(whole) or ends_b[-1] != len(whole)
+                or b"".join(map(self.bytes_b.__getitem__, b)) != whole
+                or self.a.encoding is None and b"".join(map(self.bytes_a.__getitem__, a)) != whole):
             return Aligned(ids_a[:0], ids_b[:0], [], [])
-        at_a = dict(zip(np.cumsum(self.sizes_a[ids_a]).tolist(), range(1, len(ids_a) + 1)))
-        at_b = dict(zip(np.cumsum(self.sizes_b[ids_b]).tolist(), range(1, len(ids_b) + 1)))
+        at_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1)))
+        at_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1)))
         shared = sorted(at_a.keys() & at_b.keys())
         return Aligned(ids_a, ids_b, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared)))
 
