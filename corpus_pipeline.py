@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next one. All but
 the last return the columns of documents.
+
+Rows are told apart by doc_id and text. A row without a doc_id is a document like any other and comes after those with one; rows
+that share a doc_id but not the text are different documents. Of rows equal in both the near-dedup stage keeps one. Null and
+empty texts go in the first stage, as do texts without a letter. Empty tables give no rows, and columns other than those of
+documents pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,23 +21,25 @@ from lakeloom.sources.lake import committed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no text or no letter, or whose text is clearly in another language than they state."""
+    """Without documents that have no text or no letter, or whose text is clearly in another language than they state. A null
+    lang states none."""
     model = langid.train(docs.filter(crc_mod("doc_id", 3) != 1))
     return langid.accepted(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that an earlier document or line has, within one word, and without documents of such lines alone."""
+    """Without lines that an earlier document or line has, within one word, and without documents of such lines alone. Lines of
+    rows that share a doc_id, or have none, stand at one place if they have the same number: neither drops the other."""
     return line_dedup.without_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest doc_id, and rows without one last."""
     return near_dups.one_of_each(docs, threshold=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a copy of a benchmark item."""
+    """Without documents that hold a copy of a benchmark item. Items without words, also null ones, are in no document."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
