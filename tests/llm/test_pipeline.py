@@ -41,6 +41,29 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert 33 not in expected and 30 not in expected and len(expected) < len(texts) - 6
 
 
+def stored(spark, folder, docs, items, schema="doc_id bigint, text string, lang string, source string, n_chars bigint"):
+    spark.createDataFrame(docs, schema).coalesce(2).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_rows_without_an_id_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(f"w{rng.integers(0, 10 ** 6)}x" for _ in range(30))
+    a, b, c, d, e, item = (text() for _ in range(6))
+    # One row without an id is a copy, one holds the item; rows with one id and different texts; equal rows.
+    docs = [(1, a), (None, a), (None, b), (None, f"{c} {item}"), (None, c), (2, a), (2, d), (3, e), (3, e), (None, None), (4, ""), (5, "7 !")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _drop string, node string"
+    folder = stored(spark, tmp_path, [(i, t, None, "s", None, "x", "y") for i, t in docs], [(1, item), (None, None), (2, "")], schema)
+    found = corpus_pipeline.run(spark, folder).collect()
+    expected = [(1, a), (None, b), (None, c), (2, d), (3, e)]
+    assert sorted(((r.doc_id, r.doc_tokens) for r in found), key=repr) == sorted(((i, len(plain_ids(t))) for i, t in expected), key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, stored(spark, tmp_path, [], [])).count() == 0
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language ID", "line dedup", "near-dedup", "decontamination", "packing"]
