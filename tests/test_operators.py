@@ -1,12 +1,14 @@
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.bands import price_range
-from lakeloom.operators import cdc, merge, quality
+from lakeloom.operators import cdc, merge, quality, ranking
 from lakeloom.operators.dedupe import keep_first, keep_last
-from lakeloom.operators.ranking import top_by_rank
+from lakeloom.operators.ranking import top_by_rank, value_ranks
 from lakeloom.operators.slices import slice_counts
 from tests.conftest import rows
 
@@ -253,9 +255,11 @@ def test_one_group_of_all_rows_is_ranked_in_even_ranges(spark):
         return seen[-1]
     ranking.committed = spy
     try:
-        top = top_by_rank(df, "v", 5000, ["g"])
-        assert top.count() == 5000 and top.agg(F.max("rank")).first()[0] == 5000
+        ranks = value_ranks(df, "v", ["g"], ranges=8)
+        assert ranks.count() == 20_000 and ranks.agg(F.max("rank")).first()[0] == 20_000
     finally:
         ranking.committed = original
     sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
-    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    top = top_by_rank(df, "v", 5000, ["g"])
+    assert top.count() == 5000 and top.agg(F.max("rank")).first()[0] == 5000
