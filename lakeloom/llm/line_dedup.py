@@ -20,9 +20,10 @@ from lakeloom.llm.shared import may_hold
 from lakeloom.sources.lake import committed
 
 LINE_END = "\n"
-# Runs of anything but letters and digits become one space. A run that is one space already is not matched, as most are.
-OTHER = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+"
-OTHER_BUT_LINE_END = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+"
+# Runs of anything but letters and digits become one space. A run that is one space already is not matched, as most are, and the
+# commonest letters are named first, which spares their look-up.
+OTHER = r"[^a-z0-9\p{L}\p{N} ][^a-z0-9\p{L}\p{N}]*| [^a-z0-9\p{L}\p{N}]+"
+OTHER_BUT_LINE_END = r"[^a-z0-9\p{L}\p{N}\n ][^a-z0-9\p{L}\p{N}\n]*| [^a-z0-9\p{L}\p{N}\n]+"
 # Lines of one document have places below each other; a document without an id comes last.
 PER_DOCUMENT = 1 << 31
 LAST = 1 << 63
@@ -108,14 +109,15 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     The hash of a line combines, bit by bit, a hash of each word with its position. Without word i the words after it move down by
     one, so a variant's hash is what has run up of the words before i, and of the moved words after it.
     """
-    words = lines.select("spot", F.posexplode(F.split("words", " ")).alias("i", "word"))
+    split = lines.select("spot", F.split("words", " ").alias("_words"))
+    words = split.select("spot", F.size("_words").cast("bigint").alias("n"), F.posexplode("_words").alias("i", "word"))
     own = F.xxhash64("word", F.col("i").cast("int"))
     moved = F.xxhash64("word", (F.col("i") - 1).cast("int"))
     up_to = Window.partitionBy("spot").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("spot")
-    sums = words.select("spot", "i", own.alias("own"), moved.alias("moved")).select(
-        "spot", "i", F.bit_xor("own").over(up_to).bitwiseXOR(F.col("own")).alias("before"),
-        F.bit_xor("own").over(whole).alias("all"), F.count("*").over(whole).alias("n"),
+    sums = words.select("spot", "n", "i", own.alias("own"), moved.alias("moved")).select(
+        "spot", "n", "i", F.bit_xor("own").over(up_to).bitwiseXOR(F.col("own")).alias("before"),
+        F.bit_xor("own").over(whole).alias("all"),
         F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(up_to)).alias("after"))
     variants = F.array(
         F.struct(F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("after"))).alias("key"), F.col("i").alias("removed")),
