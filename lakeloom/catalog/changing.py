@@ -261,7 +261,8 @@ def product_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_asof_product(spark, sf_dir):
     """Orders with the product version in force on their date."""
     orders = committed(silver_orders(spark, sf_dir).select("user_id", "product_id", "date", "amount"), "silver_orders")
-    return gold.enrich_orders(orders, product_history(spark, sf_dir), version="as_of", columns=["price"])
+    history = committed(product_history(spark, sf_dir), "product_history")  # read for its keys, too
+    return gold.enrich_orders(orders, history, version="as_of", columns=["price"])
 
 
 @query(f"""WITH {sql.ORDERS}, {PRODUCT_CHANGES_SQL}
