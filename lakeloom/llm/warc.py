@@ -139,10 +139,12 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date: str =
     return committed(marked.mapInArrow(write_part, INDEX_DDL), "warc-index")
 
 
-def read(index: DataFrame, folder: str, stretch: int = 64 << 20, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, folder: str, stretch: int = 64 << 20, gap: int = 64 << 10, most: int = 8 << 20,
+         task_bytes: int = 8 << 20) -> DataFrame:
     """The records of the selected index rows.
 
-    Rows are dealt by stretches of `stretch` bytes of each file. Within one, sorted ranges with at most `gap` bytes between are
+    Rows are dealt by stretches of `stretch` bytes of each file, to a task for each `task_bytes` of records: index rows are small, so
+    their own size would put all into one task. Within one, sorted ranges with at most `gap` bytes between are
     read together, up to `most` bytes at once. Payloads are checked against their digests; a damaged record fails.
     """
     schema = arrow_schema(RECORD)
@@ -167,7 +169,8 @@ def read(index: DataFrame, folder: str, stretch: int = 64 << 20, gap: int = 64 <
 
     bounded_batches(index.sparkSession)
     dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / stretch).alias("stretch"))
-    dealt = dealt.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    dealt = dealt.repartition(max(1, -(-size // task_bytes)), "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(read_part, RECORD_DDL)
 
 
