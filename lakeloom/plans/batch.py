@@ -112,7 +112,7 @@ def publish(spark: SparkSession, lake: Lake, serving: JdbcConnection, narrow: bo
     fields = {"users": schemas.SERVING_USERS, "products": schemas.SERVING_PRODUCTS, "orders": schemas.SERVING_ORDERS}
     for name in TABLES:
         target = fields[name] if narrow else schemas.wide(fields[name])
-        jdbc_append(lake.live(spark, name), serving, name, target, batch_id=run)
+        jdbc_append(lake.live(spark, name), serving, name, target, **({} if run is None else {"batch_id": run}))
 
 
 def export(spark: SparkSession, lake: Lake, path: str) -> None:
