@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import map_rows, may_hold, mixed, text_key, words_of
+from lakeloom.llm.shared import carried, map_rows, may_hold, mixed, restored, text_key, words_of
 from lakeloom.sources.lake import committed
 
 HIT = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "start_word": pa.int64(), "end_word": pa.int64()}
@@ -214,9 +214,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int
     """
     bad = committed(hits(docs, benchmark, threshold, n, block_items).select(
         F.col("doc_id").alias("_doc"), F.col("t1").alias("_bad1"), F.col("t2").alias("_bad2")).distinct(), "contaminated")
-    touched, same = may_hold(docs, bad.select(F.col("_doc").alias("doc_id")))
+    touched, same = may_hold(carried(docs), bad.select(F.col("_doc").alias("doc_id")))
     t1, t2 = text_key()
     named = touched.withColumns({"_t1": t1, "_t2": t2})
     left = named.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_t1") == F.col("_bad1")) & (
         F.col("_t2") == F.col("_bad2")), "left_anti")
-    return left.select(*docs.columns).unionByName(same.select(*docs.columns))
+    return restored(left, docs.columns).unionByName(restored(same, docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import ByteBound, bounded_batches, kept, map_rows
+from lakeloom.llm.shared import ByteBound, bounded_batches, carried, kept, map_rows, restored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -186,10 +186,10 @@ def accepted(docs: DataFrame, model: Model, sure: float = 0.2) -> DataFrame:
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     bounded_batches(docs.sparkSession)
-    named = docs.withColumn("_found", F.pandas_udf(languages, "lang_pred string, score double")(F.col("text")))
-    found, stated = F.col("_found.lang_pred"), F.col("lang")
+    named = carried(docs).withColumn("_found", F.pandas_udf(languages, "lang_pred string, score double")(F.col("text")))
+    found, stated = F.col("_found.lang_pred"), F.col("_row.lang")
     other = F.coalesce((found != "") & (found != stated) & (F.col("_found.score") >= sure), F.lit(False))
-    return named.filter((found != UNDETERMINED) & ~other).select(*docs.columns)
+    return restored(named.filter((found != UNDETERMINED) & ~other), docs.columns)
 
 
 def has_letter(text: str | None) -> bool:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import may_hold
+from lakeloom.llm.shared import carried, may_hold, restored
 from lakeloom.sources.lake import committed
 
 LINE_END = "\n"
@@ -203,7 +203,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = 1, near_words: int
     dropped = committed(repeats(docs, min_words, near_words), "repeated-lines")
     by_row = dropped.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
         F.collect_set("line_no").alias("_drop"))
-    changed, same = may_hold(docs, dropped.select("doc_id"))
+    changed, same = may_hold(carried(docs), dropped.select("doc_id"))
     lines = F.split("text", LINE_END, -1)
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_drop"), i)), LINE_END)
     joined = changed.withColumn("_text", F.xxhash64("text")).join(
@@ -211,9 +211,10 @@ def without_repeated_lines(docs: DataFrame, min_words: int = 1, near_words: int
     joined = joined.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
     joined = joined.filter(F.col("_drop").isNull() | (normalised(F.col("_left")) != ""))
     out = [F.col("_left").alias(c) if c == "text" else
-           F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.length("_left").cast(docs.schema[c].dataType)).alias(c)
-           if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*out).unionByName(same.select(*docs.columns))
+           F.when(F.col("_drop").isNull(), F.col("_row.n_chars")).otherwise(
+               F.length("_left").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else
+           F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*out).unionByName(restored(same, docs.columns))
 
 
 ORACLE = r"""

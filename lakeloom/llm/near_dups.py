@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import WordHashes, components, kept, map_rows, may_hold, mixed, ngrams, text_key, words_of
+from lakeloom.llm.shared import (
+    WordHashes, carried, components, kept, map_rows, may_hold, mixed, ngrams, restored, text_key, words_of)
 from lakeloom.operators.dedupe import keep_first
 from lakeloom.sources.lake import committed
 
@@ -259,13 +260,13 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     heads = rows.groupBy("component").agg(F.min(order).alias("head"))
     gone = committed(rows.join(heads, "component").filter(order != F.col("head")).select(*key).distinct(), "copies")
     repeated = signed.groupBy(*key).count().filter("count > 1").select("doc_id")
-    touched, same = may_hold(docs, gone.select("doc_id").union(repeated))
+    touched, same = may_hold(carried(docs), gone.select("doc_id").union(repeated))
     named = touched.withColumns({f"_{name}": F.col(name) if name == "doc_id" else value
                                  for name, value in zip(key, (F.col("doc_id"), *text_key()))})
     others = gone.select(*[F.col(name).alias(f"_gone_{name}") for name in key])
     is_gone = F.lit(True)
     for name in key:
         is_gone = is_gone & F.col(f"_{name}").eqNullSafe(F.col(f"_gone_{name}"))
-    rest = [F.col(name).cast("string") for name in docs.columns if name not in ("doc_id", "text")]
+    rest = [F.col(f"_row.`{name}`").cast("string") for name in docs.columns if name not in ("doc_id", "text")]
     left = keep_first(named.join(others, is_gone, "left_anti"), [f"_{name}" for name in key], rest or [F.lit(0)])
-    return left.select(*docs.columns).unionByName(same.select(*docs.columns))
+    return restored(left, docs.columns).unionByName(restored(same, docs.columns))

@@ -36,6 +36,16 @@ def text_key() -> list[Column]:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row) of each row, `_row` all its columns: whatever others are called, they meet no name used on the way."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"))
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that `carried` took along, in their columns."""
+    return rows.select(*[F.col(f"_row.`{name}`").alias(name) for name in columns])
+
+
 def words_of(text: str | None) -> list[str]:
     """The lower-case words of a text, punctuation left out."""
     return WORD.findall(text.lower()) if text else []
