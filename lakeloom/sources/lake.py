@@ -10,6 +10,9 @@ from pyspark.errors import AnalysisException
 
 from lakeloom.session import fresh_dir
 
+# Files of tables are written once and read often, so they are packed tighter than by Spark's default.
+PACKED = {"compression": "zstd"}
+
 
 def compact_by(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
     """Bring the rows of one table partition together before a partitioned write.
@@ -25,7 +28,7 @@ def committed(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: for a result that several later steps read, which would
     otherwise each compute it again, and which outlives the executors that made it."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -86,8 +89,10 @@ class LakeTable:
     def append(self, df: DataFrame) -> None:
         self._writer(df, "append").save(self.path)
 
-    def overwrite(self, df: DataFrame) -> None:
-        self._writer(df, "overwrite").option("partitionOverwriteMode", "static").save(self.path)
+    def overwrite(self, df: DataFrame, clustered: bool = False) -> None:
+        """Replace the whole table. Rows that come `clustered`, those of a partition together as `compact_by` or the files of
+        a table with the same partitions leave them, are written where they are, without another shuffle."""
+        self._writer(df, "overwrite", clustered).option("partitionOverwriteMode", "static").save(self.path)
 
     def replace_partitions(self, df: DataFrame) -> None:
         """Replace exactly the partitions that occur in `df`, so that running a load twice changes nothing."""
@@ -111,6 +116,7 @@ class LakeTable:
                   for row in values]
         return F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in zip(columns, kinds)]).isin(places)
 
-    def _writer(self, df: DataFrame, mode: str):
-        return (compact_by(df, self.partition_by).write.format(self.fmt).mode(mode)
-                .partitionBy(*self.partition_by))
+    def _writer(self, df: DataFrame, mode: str, clustered: bool = False):
+        rows = df if clustered else compact_by(df, self.partition_by)
+        packed = PACKED if self.fmt == "parquet" else {}
+        return rows.write.format(self.fmt).mode(mode).options(**packed).partitionBy(*self.partition_by)
