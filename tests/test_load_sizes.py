@@ -36,3 +36,18 @@ def test_rows_in_order_are_written_without_a_shuffle(spark, table_dir):
     assert set(table.folders(spark, 1)) == {"part=0", "part=1", "part=2"}
     table.overwrite(rows.filter("part > 0"), clustered=True)
     assert set(table.folders(spark, 1)) == {"part=1", "part=2"}
+
+
+def test_mart_is_shuffled_by_month_once(spark, written):
+    QUERIES["gold_roundtrip"](spark, SMALL)
+    assert len(written) == 2 and not any("Aggregate" in plan or "Join" in plan for _, plan in written)
+
+
+def test_clustered_write_has_no_exchange(spark, table_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr("lakeloom.sources.lake.compact_by", lambda df, columns: asked.append(columns) or df)
+    table = LakeTable(table_dir, ("part",))
+    table.overwrite(spark.range(4).selectExpr("id", "id % 2 AS part"), clustered=True)
+    assert not asked
+    table.overwrite(spark.range(4).selectExpr("id", "id % 2 AS part"))
+    assert asked == [("part",)]
