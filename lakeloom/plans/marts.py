@@ -50,6 +50,8 @@ class Mart:
             seen = held.groupBy(BUCKET).agg(F.first(SEEN, ignorenulls=True).alias(SEEN))
             changes = changes.join(seen, BUCKET, "left").filter(
                 F.coalesce(F.col(SEEN)[run] < batch_id, F.lit(True))).drop(SEEN)
+            if changes.isEmpty():  # all of them have seen it
+                return
             # Buckets that have seen the batch stay as they are.
             state = held.filter(~F.col(MARK)).drop(SEEN, MARK).join(changes.select(BUCKET).distinct(), BUCKET, "left_semi")
         after = self._dealt(maintained(None if state is None else state.drop(BUCKET), changes.drop(BUCKET), rows, self.measures))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.schemas import SERVING_DEFAULTS, project
 from lakeloom.sources.jdbc import JdbcConnection
+from lakeloom.sources.lake import PACKED
 
 
 def jdbc_append(df: DataFrame, conn: JdbcConnection, table: str, fields: Mapping[str, str] | None = None,
@@ -31,4 +32,4 @@ def sorted_export(df: DataFrame, path: str, keys: list[str], max_rows_per_file:
     """Overwrite `path` with files that hold disjoint, sorted ranges of the key, so that a reader looking for a key range
     skips most files and row groups. Keys are unique, so Spark's range cut yields files of similar size."""
     (df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
-     .option("maxRecordsPerFile", max_rows_per_file).parquet(path))
+     .option("maxRecordsPerFile", max_rows_per_file).options(**PACKED).parquet(path))

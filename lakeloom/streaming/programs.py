@@ -25,13 +25,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeloom.functions.bands import bucket_key, decade, price_range, year_month
 from lakeloom.operators import cdc, merge, scd2
+from lakeloom.operators.dedupe import split_repeated
 from lakeloom.schemas import ORDERS, PRODUCTS, USERS
 from lakeloom.sinks.feed import BATCH, ChangeFeed
-from lakeloom.sources.lake import LakeTable
+from lakeloom.sources.lake import LakeTable, compact_by
 
 BUCKETS = 20
 # A bucket is compacted when its deltas have more than this share of its bytes, or more files than this.
 DELTA_SHARE, DELTA_FILES = 0.5, 64
+# With more deltas than this share of the table's bytes, readers sort both together: looking up the keys would shuffle the table twice.
+MOST = 0.1
 
 
 @dataclass(frozen=True)
@@ -86,9 +89,11 @@ class CdcTable:
         parsed = cdc.parse(messages, self.fields, list(self.keys), self.encodings)
         return parsed.withColumns(dict(self.derive())) if self.derive() else parsed
 
-    def merge(self, state: DataFrame | None, changes: DataFrame) -> DataFrame:
-        apply = scd2.scd2 if self.mode == "scd2" else merge.upsert_touched
-        return apply(state, changes, list(self.keys))
+    def merge(self, state: DataFrame | None, changes: DataFrame, most: bool = False) -> DataFrame:
+        """The state after changes. Changes to `most` of the rows are sorted together with them; of others the keys are looked up
+        first, which leaves the rest of the state in place."""
+        upsert = merge.upsert if most else merge.upsert_touched
+        return (scd2.scd2 if self.mode == "scd2" else upsert)(state, changes, list(self.keys))
 
     def state(self, spark: SparkSession, where: Column | None = None, of: DataFrame | None = None,
               without: tuple[str, int] | None = None) -> DataFrame | None:
@@ -105,7 +110,13 @@ class CdcTable:
             return held
         if without is not None:
             late = late.filter(~((F.col("_run").cast("string") == without[0]) & (F.col("_batch") == without[1])))
-        return self.merge(held, late.drop(*BATCH))
+        return self.merge(held, late.drop(*BATCH), most=of is not None or self._late_share(spark) > MOST)
+
+    def _late_share(self, spark: SparkSession) -> float:
+        """The bytes of the deltas against those of silver."""
+        levels = len(self.bucket())
+        late, held = (sum(size for size, _ in table.folders(spark, levels).values()) for table in (self.deltas, self.silver))
+        return late / max(held, 1)
 
     def visible(self, spark: SparkSession) -> DataFrame:
         """Silver as its readers see it."""
@@ -151,7 +162,8 @@ def apply_batch(spark: SparkSession, table: CdcTable, messages: DataFrame, batch
     if messages.isEmpty():
         return
     parsed = table.parse(messages).withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id).cast("bigint")})
-    table.bronze.replace_partitions(parsed)
+    # A batch is one partition, unless the table has more levels: each task writes its messages where they are.
+    table.bronze.replace_partitions(parsed, clustered=not table.bronze_by)
 
     # Read the batch back from bronze: later steps neither read the source again nor depend on cached blocks of an
     # executor that may be lost.
@@ -170,7 +182,7 @@ def apply_batch(spark: SparkSession, table: CdcTable, messages: DataFrame, batch
 def signed_batch(spark: SparkSession, table: CdcTable, changes: DataFrame, run: str, batch_id: int) -> DataFrame:
     """What a batch changes for readers: signed rows of its keys. Other keys are read, but not merged or compared."""
     before = table.state(spark, _touched(table, changes), changes, without=(run, batch_id))
-    after = table.shown(table.merge(before, changes))
+    after = table.shown(table.merge(before, changes, most=True))
     return merge.signed_changes(None if before is None else table.shown(before), after)
 
 
@@ -197,7 +209,7 @@ def compact(spark: SparkSession, table: CdcTable, share: float = DELTA_SHARE, fi
     late = spark.read.option("basePath", table.deltas.path).format(table.fmt).load(
         [f"{table.deltas.path}/{folder}" for folder in merged]).drop(*BATCH)
     state = table.silver.read(spark, _touched(table, late))
-    table.silver.replace_partitions(table.merge(state, late))
+    table.silver.replace_partitions(table.merge(state, late, most=True))
     table.deltas.remove(spark, merged)
     return due
 
@@ -216,8 +228,16 @@ def adopt(spark: SparkSession, table: CdcTable) -> None:
         F.unix_date(day.cast("date")).cast("bigint") * 86_400_000, F.lit(0).cast("bigint"))
     base = rows.withColumns({"ts_ms": since, "lsn": F.lit(-1).cast("bigint"), "deleted": F.lit(False)})
     typed = [F.col(name).cast(kind).alias(name) for name, kind in table.fields.items()]
-    table.base.overwrite(base.select(*typed, *table.derive(), *cdc.SEQUENCE, "deleted"))
-    table.silver.overwrite(table.merge(None, table.base.read(spark).withColumns(dict(table.bucket()))))
+    table.base.overwrite(base.select(*typed, *table.derive(), *cdc.SEQUENCE, "deleted"), clustered=True)
+    # The base has the rows in the order of silver's files. A load leaves one row per key, so hardly any have to move.
+    base = table.base.read(spark).withColumns(dict(table.bucket()))
+    parts = split_repeated(base, list(table.keys)) if table.mode == "upsert" else None
+    if parts is None:
+        table.silver.overwrite(table.merge(None, base))
+    else:
+        single, repeated = parts
+        moved = compact_by(table.merge(None, repeated), table.silver.partition_by)
+        table.silver.overwrite(single.unionByName(moved), clustered=True)
 
 
 def first_seen(stream: DataFrame, table: CdcTable, within: str = "1 day") -> DataFrame:

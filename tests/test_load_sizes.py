@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401 (registers queries)
 from lakeloom.catalog.registry import QUERIES
+from lakeloom.operators.dedupe import split_repeated
 from lakeloom.sources.lake import LakeTable, committed, compact_by
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,3 +52,24 @@ def test_clustered_write_has_no_exchange(spark, table_dir, monkeypatch):
     assert not asked
     table.overwrite(spark.range(4).selectExpr("id", "id % 2 AS part"))
     assert asked == [("part",)]
+
+
+def test_only_repeated_keys_move(spark):
+    rows = committed(spark.range(1000).selectExpr("id % 990 AS k", "CAST(null AS int) AS n", "id"), "rows")
+    single, repeated = split_repeated(rows, ["k", "n"])
+    assert single.count() == 980 and sorted({r.k for r in repeated.collect()}) == list(range(10)) and repeated.count() == 20
+    assert "Exchange hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
+    assert split_repeated(rows, ["k", "n"], few=9) is None
+    assert split_repeated(rows.limit(0), ["k"])[0].count() == 0
+
+
+def test_load_moves_no_silver_row_whose_key_is_its_own(spark, written):
+    QUERIES["batch_lifetime_value"](spark, SMALL)
+    plans = [plan for path, plan in written if path.endswith("/silver/orders")]
+    assert len(plans) == 1 and "LeftAnti" in plans[0] and "LeftSemi" in plans[0]
+
+
+def test_the_joins_of_two_loads_run_once(spark, written):
+    QUERIES["batch_top_products"](spark, SMALL)
+    plans = [plan for path, plan in written if path.endswith("/bronze/orders")]
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
