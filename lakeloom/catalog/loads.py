@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.catalog import changing, inputs, sql
@@ -157,10 +157,13 @@ def serving_export_twice(spark, sf_dir):
 
 # Streams. The messages of a table are written as text files, in no particular order, and followed as a stream.
 
-def _follow(spark: SparkSession, messages: DataFrame, root: str, name: str) -> DataFrame:
-    """The messages in packed files, four for each core of the cluster as they are read whole, followed in two batches."""
+def _follow(spark: SparkSession, rows: DataFrame, root: str, name: str, text: Column | None = None) -> DataFrame:
+    """The messages of `rows` in packed files, four for each core of the cluster as they are read whole, followed in two batches.
+    `text` makes the messages once the rows are dealt to the files, as rows are much shorter; without it they are the column `value`."""
     path, files = f"{root}/messages/{name}", max(2, 4 * spark.sparkContext.defaultParallelism)
-    messages.select("value").repartition(files, F.xxhash64("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+    dealt = rows.repartition(files, F.xxhash64(*rows.columns))
+    made = dealt.select((F.col("value") if text is None else text).alias("value"))
+    made.write.mode("overwrite").option("compression", "gzip").text(path)
     return cdc_stream(spark, "files", path=path, options={"maxFilesPerTrigger": str(-(-files // 2))})
 
 
@@ -176,14 +179,18 @@ def _event_stream(spark, sf_dir, mode) -> DataFrame:
     return table.visible(spark).drop("partition_key")
 
 
+ORDER_MESSAGE = inputs.ORDER_COLUMNS, inputs.ORDER_COLUMNS
+MESSAGE_FIELDS = ["op", *inputs.ORDER_COLUMNS, "ts_ms", "lsn"]
+
+
 def _later_changes(spark: SparkSession, lake: Lake) -> DataFrame:
-    """Messages after a load: orders of every seventh product deleted, those of the next one set to an amount of 1."""
+    """Changes after a load: orders of every seventh product deleted, those of the next one set to an amount of 1."""
     held = doubles(lake.live(spark, "orders")).withColumn("date", F.unix_micros(F.col("date").cast("timestamp")))
     turn = F.pmod("product_id", F.lit(7))
     later = held.filter(turn <= 1).withColumns({
         "op": F.when(turn == 0, "d").otherwise("u"), "amount": F.lit(1), "discount": F.col("discount").cast("double"),
         "ts_ms": F.lit(2_000_000_000_000).cast("bigint"), "lsn": F.lit(1).cast("bigint")})
-    return later.select(inputs.message(inputs.ORDER_COLUMNS, inputs.ORDER_COLUMNS).alias("value"))
+    return later.select(*MESSAGE_FIELDS)
 
 
 CHANGED_SALES = f"""{BATCH_SALES},
@@ -194,7 +201,7 @@ changed AS (SELECT * REPLACE (CASE WHEN product_id % 7 = 1 THEN 1 ELSE amount EN
 def _load_then_stream(spark: SparkSession, sf_dir: str) -> Lake:
     """The batch load, then a stream of changes into the same silver orders."""
     lake = run_batch(spark, Lake(fresh_dir(spark, "lake")), sources(spark, sf_dir), LOAD_DATE)
-    changes = _follow(spark, _later_changes(spark, lake), lake.root, "orders")
+    changes = _follow(spark, _later_changes(spark, lake), lake.root, "orders", inputs.message(*ORDER_MESSAGE))
     run_cdc(changes, orders_table(lake.root), DRAIN).awaitTermination()
     return lake
 
@@ -228,14 +235,13 @@ mixed AS (SELECT * FROM changed
 
 
 def _mixed_changes(spark: SparkSession, lake: Lake) -> DataFrame:
-    """Messages after a load: orders deleted, updated and created."""
+    """Changes after a load: orders deleted, updated and created."""
     held = doubles(lake.live(spark, "orders"))
     created = held.filter(F.pmod("product_id", F.lit(7)) == 2).withColumns({
         "date": F.unix_micros((F.col("date") + F.expr("INTERVAL 36500 DAY")).cast("timestamp")), "op": F.lit("c"),
         "discount": F.col("discount").cast("double"), "ts_ms": F.lit(2_000_000_000_000).cast("bigint"),
         "lsn": F.lit(1).cast("bigint")})
-    return _later_changes(spark, lake).unionByName(
-        created.select(inputs.message(inputs.ORDER_COLUMNS, inputs.ORDER_COLUMNS).alias("value")))
+    return _later_changes(spark, lake).unionByName(created.select(*MESSAGE_FIELDS))
 
 
 def _load_and_follow(spark: SparkSession, sf_dir: str) -> tuple[Lake, CdcTable, list[marts.Mart], DataFrame]:
@@ -253,7 +259,7 @@ def _load_and_follow(spark: SparkSession, sf_dir: str) -> tuple[Lake, CdcTable,
         seen.append((run, batch_id))
         marts.follow_orders(spark, kept, orders, run, batch_id)
 
-    changes = _follow(spark, _mixed_changes(spark, lake), lake.root, "orders")
+    changes = _follow(spark, _mixed_changes(spark, lake), lake.root, "orders", inputs.message(*ORDER_MESSAGE))
     run_cdc(changes, orders, DRAIN, feed=True, after=after).awaitTermination()
     marts.follow_orders(spark, kept, orders, *seen[-1])
     return lake, orders, kept, before
@@ -353,8 +359,8 @@ def stream_scd2(spark, sf_dir):
     return _event_stream(spark, sf_dir, "scd2")
 
 
-def _table_messages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Messages for the three source tables: every user and order created; every product created, then repriced."""
+def _table_messages(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, Column]]:
+    """Rows and messages for the three source tables: every user and order created; every product created, then repriced."""
     users = inputs.users(spark, sf_dir).select(
         F.lit("c").alias("op"), "id", "name", "phone", F.unix_micros(F.col("date_of_birth").cast("timestamp"))
         .alias("date_of_birth"), F.lit(1000).cast("bigint").alias("ts_ms"), F.col("id").alias("lsn"))
@@ -369,7 +375,7 @@ def _table_messages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     row = {"users": ["id", "name", "phone", "date_of_birth"], "products": ["id", "name", "price"],
            "orders": inputs.ORDER_COLUMNS}
     frames = {"users": users, "products": created.unionByName(repriced), "orders": orders}
-    return {name: df.select(inputs.message(row[name], row[name][:1]).alias("value")) for name, df in frames.items()}
+    return {name: (df, inputs.message(row[name], row[name][:1])) for name, df in frames.items()}
 
 
 @query(f"""WITH {sql.ORDERS_RAW}, {sql.USERS}
@@ -386,7 +392,7 @@ def stream_all(spark, sf_dir):
     root = fresh_dir(spark, "stream_all")
     tables = {"users": users_table(root), "products": products_table(root), "orders": orders_table(root)}
     messages = _table_messages(spark, sf_dir)
-    run_all([(_follow(spark, messages[name], root, name), table) for name, table in tables.items()], DRAIN)
+    run_all([(_follow(spark, rows, root, name, text), tables[name]) for name, (rows, text) in messages.items()], DRAIN)
     users, products, orders = (tables[name].visible(spark) for name in ("users", "products", "orders"))
     parts = [
         (users, "users", F.col("birth_decade").cast("string"), "id"),

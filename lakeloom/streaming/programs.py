@@ -95,6 +95,15 @@ class CdcTable:
         upsert = merge.upsert if most else merge.upsert_touched
         return (scd2.scd2 if self.mode == "scd2" else upsert)(state, changes, list(self.keys))
 
+    def by_key(self, rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(rows that are the state of their key by themselves, other rows), found without moving the rows; None if they have to be
+        merged together: if too many keys repeat, or every version is kept. `rows` should be a table."""
+        return split_repeated(rows, list(self.keys)) if self.mode == "upsert" else None
+
+    def in_place(self, single: DataFrame, repeated: DataFrame) -> DataFrame:
+        """The state of rows `by_key` that are in files of silver's buckets, for a clustered write: only repeated keys move."""
+        return single.unionByName(compact_by(self.merge(None, repeated), self.silver.partition_by))
+
     def state(self, spark: SparkSession, where: Column | None = None, of: DataFrame | None = None,
               without: tuple[str, int] | None = None) -> DataFrame | None:
         """Silver with its deltas merged, None if there is nothing; `where` selects buckets, `of` keys, and `without` leaves out the deltas of
@@ -188,7 +197,9 @@ def signed_batch(spark: SparkSession, table: CdcTable, changes: DataFrame, run:
 
 def _commit(spark: SparkSession, table: CdcTable, changes: DataFrame, run: str, batch_id: int) -> None:
     if not table.silver.exists(spark):
-        table.silver.replace_partitions(table.merge(None, changes))
+        parts = table.by_key(changes)
+        table.silver.replace_partitions(
+            table.merge(None, changes) if parts is None else parts[0].unionByName(table.merge(None, parts[1])))
         return
     named = changes.withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id).cast("bigint")})
     table.deltas.replace_partitions(named)
@@ -199,8 +210,8 @@ def compact(spark: SparkSession, table: CdcTable, share: float = DELTA_SHARE, fi
     """Merge the deltas of buckets into silver where they have more than `share` of the bucket's bytes or more than `files` files;
     returns these buckets. Only they are read and written."""
     levels = len(table.bucket())
-    held = table.silver.folders(spark, levels)
-    due = [bucket for bucket, (size, count) in table.deltas.folders(spark, levels).items()
+    held, late_held = table.silver.folders(spark, levels), table.deltas.folders(spark, levels)
+    due = [bucket for bucket, (size, count) in late_held.items()
            if size > share * held.get(bucket, (0, 0))[0] or count > files]
     if not due:
         return []
@@ -209,7 +220,14 @@ def compact(spark: SparkSession, table: CdcTable, share: float = DELTA_SHARE, fi
     late = spark.read.option("basePath", table.deltas.path).format(table.fmt).load(
         [f"{table.deltas.path}/{folder}" for folder in merged]).drop(*BATCH)
     state = table.silver.read(spark, _touched(table, late))
-    table.silver.replace_partitions(table.merge(state, late, most=True))
+    parts = None
+    if table.mode == "upsert" and all(count + held.get(bucket, (0, 0))[1] <= files for bucket, (_, count) in late_held.items() if bucket in due):
+        # Few files: both are in files of the same buckets, which become files of silver, and are brought together once they are many.
+        parts = table.by_key(state.unionByName(late.select(*state.columns)))
+    if parts is None:
+        table.silver.replace_partitions(table.merge(state, late, most=True))
+    else:
+        table.silver.replace_partitions(table.in_place(*parts), clustered=True)
     table.deltas.remove(spark, merged)
     return due
 
@@ -231,13 +249,11 @@ def adopt(spark: SparkSession, table: CdcTable) -> None:
     table.base.overwrite(base.select(*typed, *table.derive(), *cdc.SEQUENCE, "deleted"), clustered=True)
     # The base has the rows in the order of silver's files. A load leaves one row per key, so hardly any have to move.
     base = table.base.read(spark).withColumns(dict(table.bucket()))
-    parts = split_repeated(base, list(table.keys)) if table.mode == "upsert" else None
+    parts = table.by_key(base)
     if parts is None:
         table.silver.overwrite(table.merge(None, base))
     else:
-        single, repeated = parts
-        moved = compact_by(table.merge(None, repeated), table.silver.partition_by)
-        table.silver.overwrite(single.unionByName(moved), clustered=True)
+        table.silver.overwrite(table.in_place(*parts), clustered=True)
 
 
 def first_seen(stream: DataFrame, table: CdcTable, within: str = "1 day") -> DataFrame:

@@ -1,11 +1,13 @@
 """What whole loads shuffle: plans of the tables they write."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 (registers queries)
 from lakeloom.catalog.registry import QUERIES
 from lakeloom.operators.dedupe import split_repeated
 from lakeloom.sources.lake import LakeTable, committed, compact_by
+from lakeloom.streaming.programs import CdcTable, apply_batch, compact
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +75,28 @@ def test_the_joins_of_two_loads_run_once(spark, written):
     QUERIES["batch_top_products"](spark, SMALL)
     plans = [plan for path, plan in written if path.endswith("/bronze/orders")]
     assert len(plans) == 2 and not any("Join" in plan for plan in plans)
+
+
+def test_large_batches_move_only_repeated_keys(spark, written, table_dir, no_broadcast):
+    """The first batch and a compaction: rows whose key is theirs alone are not sorted by key, with the state that sorting gives."""
+    table = CdcTable("t", table_dir, {"k": "bigint", "v": "int"}, ("k",), bucket=lambda: {"part": F.pmod("k", F.lit(3))})
+    row = '{{"after": {{"k": {}, "v": {}}}, "source": {{"ts_ms": {}, "lsn": 0}}, "op": "c"}}'
+    first = [row.format(k, 0, 1) for k in range(100)] + [row.format(5, 1, 2)]
+    second = [row.format(k, 2, 3) for k in range(99, 260)] + [row.format(7, 9, 0)]
+    for batch, messages in enumerate((first, second)):
+        apply_batch(spark, table, spark.createDataFrame([(m,) for m in messages], "value string"), batch)
+    plans = [plan for path, plan in written if path == table.silver.path]
+    assert len(plans) == 2 and all("LeftAnti" in plan and "LeftSemi" in plan for plan in plans)
+    assert "Rebalance" not in plans[1].split("LeftAnti")[0] and not table.deltas.exists(spark)
+    found = {r.k: r.v for r in table.visible(spark).collect()}
+    assert found == {**{k: 0 for k in range(99)}, 5: 1, **{k: 2 for k in range(99, 260)}} and table.visible(spark).count() == 260
+
+
+def test_many_files_are_brought_together(spark, written, table_dir):
+    table = CdcTable("t", table_dir, {"k": "bigint", "v": "int"}, ("k",), bucket=lambda: {"part": F.lit(0)})
+    row = '{{"after": {{"k": {}, "v": 0}}, "source": {{"ts_ms": 1, "lsn": 0}}, "op": "c"}}'
+    for batch in range(3):
+        messages = [(row.format(1000 * batch + k),) for k in range(500)]
+        apply_batch(spark, table, spark.createDataFrame(messages, "value string"), batch)
+    compact(spark, table, share=0.0, files=1)
+    assert table.silver.folders(spark, 1)["part=0"][1] == 1 and table.visible(spark).count() == 1500
