@@ -47,13 +47,15 @@ class Mart:
         state, seen = None, None
         if self.table.exists(spark):
             held = self.table.read(spark, self.table.touched(changes))
-            seen = held.groupBy(BUCKET).agg(F.first(SEEN, ignorenulls=True).alias(SEEN))
+            # A row per bucket, as is the list of the batch's buckets: joins to them leave the groups where they are.
+            seen = F.broadcast(held.groupBy(BUCKET).agg(F.first(SEEN, ignorenulls=True).alias(SEEN)))
             changes = changes.join(seen, BUCKET, "left").filter(
                 F.coalesce(F.col(SEEN)[run] < batch_id, F.lit(True))).drop(SEEN)
             if changes.isEmpty():  # all of them have seen it
                 return
             # Buckets that have seen the batch stay as they are.
-            state = held.filter(~F.col(MARK)).drop(SEEN, MARK).join(changes.select(BUCKET).distinct(), BUCKET, "left_semi")
+            due = F.broadcast(changes.select(BUCKET).distinct())
+            state = held.filter(~F.col(MARK)).drop(SEEN, MARK).join(due, BUCKET, "left_semi")
         after = self._dealt(maintained(None if state is None else state.drop(BUCKET), changes.drop(BUCKET), rows, self.measures))
         columns = [*self.measures.by, *self.measures.kept(), *self.measures.edges, BUCKET]
         # A bucket keeps a row without a group, so that an empty one also knows what it has seen.

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401 (registers queries)
 from lakeloom.catalog.registry import QUERIES
 from lakeloom.operators.dedupe import split_repeated
+from lakeloom.operators.maintain import Measures
+from lakeloom.plans.marts import Mart
 from lakeloom.sources.lake import LakeTable, committed, compact_by
+from lakeloom.streaming import programs
 from lakeloom.streaming.programs import CdcTable, apply_batch, compact
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,3 +103,29 @@ def test_many_files_are_brought_together(spark, written, table_dir):
         apply_batch(spark, table, spark.createDataFrame(messages, "value string"), batch)
     compact(spark, table, share=0.0, files=1)
     assert table.silver.folders(spark, 1)["part=0"][1] == 1 and table.visible(spark).count() == 1500
+
+
+def test_marts_are_not_shuffled_by_bucket_to_find_what_they_saw(spark, table_dir, no_broadcast, monkeypatch):
+    mart = Mart(table_dir, "m", Measures(("g",), sums={"s": "v"}))
+    mart.build(spark.range(100).selectExpr("id AS g", "1 AS v"))
+    plans = []
+    kept = LakeTable.replace_partitions
+    monkeypatch.setattr(LakeTable, "replace_partitions", lambda table, df, **options: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(table, df, **options)))
+    signed = spark.range(50).selectExpr("id AS g", "2 AS v", "1 AS sign")
+    for _ in range(2):
+        mart.refresh(spark, signed, signed, "run", 0)
+    assert len(plans) == 1 and plans[0].count("BroadcastHashJoin") >= 3
+    assert {r.g: r.s for r in mart.read(spark).collect()} == {g: 3 if g < 50 else 1 for g in range(100)}
+
+
+def test_rows_of_a_batch_before_it_are_found_once(spark, table_dir, monkeypatch):
+    labels = []
+    kept = programs.committed
+    monkeypatch.setattr(programs, "committed", lambda df, label: labels.append(label) or kept(df, label))
+    table = CdcTable("t", table_dir, {"k": "bigint", "v": "int"}, ("k",), bucket=lambda: {"part": F.lit(0)})
+    row = '{{"after": {{"k": 1, "v": {}}}, "source": {{"ts_ms": {}, "lsn": 0}}, "op": "u"}}'
+    for batch in range(2):
+        apply_batch(spark, table, spark.createDataFrame([(row.format(batch, batch),)], "value string"), batch, feed=True)
+    assert labels == ["before"]
+    assert sorted((r.v, r.sign) for r in table.feed.read(spark).collect()) == [(0, -1), (0, 1), (1, 1)]
