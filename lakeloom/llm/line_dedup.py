@@ -47,11 +47,12 @@ def half(n: Column) -> Column:
     return F.when(most >= power * 1.5, power * 1.5).otherwise(power).cast("int")
 
 
-def halves(words: Column, count: Column) -> Column:
+def halves(words: Column, own: Column, shorter: Column) -> Column:
+    """The hashed ends of `own` words, and those of `shorter` words, if that differs. Both are columns, not expressions, which each
+    branch would work out anew."""
     def ends(size: Column) -> list[Column]:
         return [F.xxhash64(F.lit("first"), size, F.call_function("substring_index", words, F.lit(" "), size)),
                 F.xxhash64(F.lit("last"), size, F.call_function("substring_index", words, F.lit(" "), -size))]
-    own, shorter = half(count), half(count - 1)
     return F.when(own == shorter, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(shorter)))
 
 
@@ -63,9 +64,11 @@ def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     words = split.withColumn("words", F.trim("line"))
     enough = F.lit(True) if min_words < 2 else F.substring_index("words", " ", min_words - 1) != F.col("words")
     counted = words.filter((F.col("words") != "") & enough).select(
-        "doc_id", "text_hash", "line_no", "words", (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n"))
-    return counted.select("doc_id", "text_hash", "line_no", *identity(F.col("words")),
-                          F.when(F.col("n") >= near_words, halves(F.col("words"), F.col("n"))).alias("halves"))
+        "doc_id", "text_hash", "line_no", "words",
+        (F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    sized = counted.withColumns({"own": half(F.col("n")), "shorter": half(F.col("n") - 1)})
+    return sized.select("doc_id", "text_hash", "line_no", *identity(F.col("words")),
+                        F.when(F.col("n") >= near_words, halves(F.col("words"), F.col("own"), F.col("shorter"))).alias("halves"))
 
 
 def identity(words: Column) -> tuple[Column, Column]:

@@ -261,6 +261,16 @@ def test_the_copy_that_stays_of_equal_rows(spark):
     assert rows(near_dups.one_of_each(docs)) == [(1, A, None)]
 
 
+def test_sizes_of_halves_are_worked_out_once(spark):
+    """Branches that repeat an expression work it out each time: sizes of ends are columns of a step of their own."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i\na\n\n" + "x " * 50)], "doc_id bigint, text string")
+    lines = line_dedup.lines_of(docs, 1, 8)
+    assert [r.halves and len(r.halves) for r in lines.orderBy("line_no").collect()] == [2, None, 2]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "substring_index" in line]
+    assert steps and not any("LOG2" in line for line in steps)
+
+
 def test_near_lines_without_an_id(spark):
     """Different lines at one place, as rows without an id have, are compared each by itself."""
     lines = [f"{A} {i}" if i % 2 else f"{B} {i}" for i in range(6)]
