@@ -170,6 +170,38 @@ def test_collocations_of_odd_documents(spark, odd_docs, no_docs):
         assert rows(collocations.mine(docs, least=2, longest=3, top=50, bits=10)) == plain_mine(data, 2, 3, 50)
 
 
+def test_few_tasks_name_a_candidate(spark):
+    """A pass leaves out what those before it have named, so the rows that tasks hand on follow the candidates, not tasks times candidates."""
+    data = [("en", f"{i} one two three four {i}") for i in range(600)]
+    docs = spark.createDataFrame(data, "lang string, text string").repartition(40)
+    levels = [np.full(1 << 7, 255, np.uint8)] * 2
+    rare = collocations.named(docs, levels, 10, np.zeros(0, np.uint64)).collect()
+    keys = np.unique(np.array([row.key for row in rare], np.int64).view(np.uint64))
+    assert len(rare) == len(keys) == 604 + 3 + 600 * 2
+    assert collocations.named(docs, levels, 10, keys).count() == 0
+    assert {row.k for row in collocations.named(docs, levels, 10, keys[::2]).collect()} == {1, 2}
+    for wider in (2, 1000):
+        found = collocations.candidates(docs, levels, 10, least=50, wider=wider)
+        assert sorted(found.collect()) == sorted((row.lang, row.phrase, row.k) for row in rare)
+
+
+def test_phrases_beyond_those_known_are_named(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "NAMED_PHRASES", 5)
+    data = texts(4)
+    docs = spark.createDataFrame(data, "lang string, text string").repartition(3)
+    assert rows(collocations.mine(docs, least=3, longest=4, top=25, bits=12)) == plain_mine(data, 3, 4, 25)
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(5)
+    number = np.unique(np.append(rng.integers(0, 5 * collocations.PART, 9000), [0, collocations.PART - 1, collocations.PART]))
+    n = rng.integers(1, 1 << 32, len(number))
+    packed = collocations.packed_counts(number, n)
+    back = [(part, *collocations.unpacked_counts(held)) for part, held in zip(*(column.to_pylist() for column in packed.columns))]
+    assert np.array_equal(np.concatenate([part * collocations.PART + low for part, low, _ in back]), number)
+    assert np.array_equal(np.concatenate([own for *_, own in back]), n)
+
+
 def test_trie_counts_all_positions():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 9, 4000).astype(np.uint64)
