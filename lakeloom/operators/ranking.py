@@ -9,6 +9,8 @@ from lakeloom.sources.lake import committed
 
 # Up to this n Spark keeps each task's n leading rows of a group before the shuffle (its own limit for that).
 LEADING = 1000
+# Without groups each task keeps its n leading rows for any n, but all of these meet in one task, so n should not be large.
+LEADING_OVERALL = 1 << 12
 
 
 def top_by_rank(df: DataFrame, value: str, n: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -17,11 +19,11 @@ def top_by_rank(df: DataFrame, value: str, n: int = 10, by: list[str] | None = N
     Ranks skip after ties and all ties at rank n are kept, so the result may hold more than n rows. Ranking in one
     window would send every tied row to one task. Instead, `row_number() <= n` (limited before the shuffle to n rows per
     task and group) gives the n leading rows; the rank of a value is the smallest row number it has there. Joining
-    these at most n values per group back to the data finds the ties where they are. For larger n, where Spark drops that limit, values
-    are ranked by ranges (`value_ranks`). `df` is read twice, so it should be a table rather than a long plan.
+    these at most n values per group back to the data finds the ties where they are. For larger n, where Spark drops that limit or too
+    many rows would meet, values are ranked by ranges (`value_ranks`). `df` is read twice, so it should be a table rather than a long plan.
     """
     by = by or []
-    if n > LEADING:
+    if n > (LEADING if by else LEADING_OVERALL):
         ranks = value_ranks(df, value, by).filter(F.col("rank") <= n)
     else:
         ranks = _leading_ranks(df, value, n, by)
