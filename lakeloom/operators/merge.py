@@ -207,6 +207,29 @@ def signed_changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
     return net.select(*columns, F.explode(F.array_repeat(F.signum("_net").cast("int"), F.abs("_net").cast("int"))).alias("sign"))
 
 
+def signed_upsert(before: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """`signed_changes` from what readers see of a state of unique keys, to what they see of its `upsert` with the changes: a key's row
+    before and its row after meet once, in the shuffle that merges them."""
+    rest = [name for name in before.columns if name not in (*keys, *cdc.SEQUENCE, "deleted")]
+    # The order of `cdc.latest`: nulls are least.
+    row = F.struct(*cdc.SEQUENCE, "deleted", *rest)
+    rows = before.select(*keys, row.alias("_row"), F.lit(True).alias("_held")).unionByName(
+        changes.select(*keys, row.alias("_row"), F.lit(False).alias("_held")))
+    # A hash in front of the keys settles nearly all comparisons.
+    pairs = rows.groupBy(F.xxhash64(*keys).alias("_name"), *keys).agg(
+        F.max(F.when(F.col("_held"), F.col("_row"))).alias("_old"), F.max("_row").alias("_new"))
+
+    def seen(side: str) -> Column:
+        """The values that readers see, null if they see no row."""
+        return F.when(~F.col(f"{side}.deleted"), F.struct(F.lit(0).alias("_"), *[F.col(f"{side}.{name}").alias(name) for name in rest]))
+
+    shown = pairs.select(*keys, seen("_old").alias("_old"), seen("_new").alias("_new")).filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("_old").alias("_row")), F.struct(F.lit(1).alias("sign"), F.col("_new").alias("_row")))
+    out = shown.select(*keys, F.explode(signed).alias("_one")).filter("_one._row IS NOT NULL")
+    columns = [name for name in before.columns if name not in (*cdc.SEQUENCE, "deleted")]
+    return out.select(*[F.col(name) if name in keys else F.col(f"_one._row.{name}").alias(name) for name in columns], F.col("_one.sign").alias("sign"))
+
+
 def changed_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that differ between two states of a table with unique keys, with column `change`: 'insert', 'update' or
     'delete' (then with the old values)."""
