@@ -7,12 +7,14 @@ that group alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.sources.lake import committed
+
 ROWS = "_rows"
 
 
@@ -76,43 +78,45 @@ def signed_totals(signed: DataFrame, measures: Measures) -> DataFrame:
         *_totals(measures, sign), *_edges(measures, sign > 0, "_in_"), *_edges(measures, sign < 0, "_out_"))
 
 
-def maintained(state: DataFrame | None, changes: DataFrame, rows: DataFrame, measures: Measures) -> DataFrame:
+def maintained(state: DataFrame | None, changes: DataFrame, rows: DataFrame | Callable[[DataFrame], DataFrame], measures: Measures,
+               along: Sequence[str] = ()) -> DataFrame:
     """The groups of `state` and of `changes` (`signed_totals`) after the changes, a group without rows left out.
 
-    `rows` are the rows as they are after the changes; it is read only for groups an edge of which went. Groups keep null keys apart
-    from others, as GROUP BY does.
+    `rows` are the rows as they are after the changes, or a function that finds those of some groups (a table of their keys); it is read
+    only for groups an edge of which went. Groups keep null keys apart from others, as GROUP BY does. Both sides meet in one shuffle, by
+    the columns `along` if there are any: columns of both that follow from the group. They are kept, and without edges the
+    rows stay together by them.
     """
-    by = list(measures.by)
-    if state is None:
-        state = aggregate(rows.limit(0), measures)
-    old, new = state.withColumn("_old", F.lit(True)).alias("old"), changes.alias("new")
-    same = F.lit(True)
-    for name in by:
-        same = same & F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
-    both = old.join(new, same, "full_outer")
-
-    def total(name: str) -> Column:
-        return (F.coalesce(F.col(f"old.{name}"), F.lit(0)) + F.coalesce(F.col(f"new.{name}"), F.lit(0))).alias(name)
-
+    by, kept, edges = [*along, *measures.by], measures.kept(), list(measures.edges)
+    came, went = [f"_in_{name}" for name in edges], [f"_out_{name}" for name in edges]
+    kinds = dict(changes.dtypes)
+    none = [F.lit(None).cast(kinds[f"_in_{name}"]) for name in edges]
+    both = changes.select(*by, *kept, *[value.alias(name) for value, name in zip(none, edges)], *came, *went)
+    if state is not None:
+        both = state.select(*by, *kept, *edges, *[value.alias(name) for value, name in zip([*none, *none], [*came, *went])]).unionByName(both)
+    if along:
+        both = both.repartition(*along)
+    summed = both.groupBy(*by).agg(*[F.sum(name).alias(name) for name in kept],
+                                   *[F.max(name).alias(name) for name in (*edges, *came, *went)]).filter(F.col(ROWS) > 0)
+    if not edges:
+        return summed
     outwards = {"min": F.least, "max": F.greatest}
+    # An edge that goes is known again if a row comes that is as far out, as one does that is updated.
     lost = F.lit(False)
-    for name in measures.edges:
-        went, was = F.col(f"new._out_{name}"), F.col(f"old.{name}")
-        lost = lost | F.coalesce(went == was, F.lit(False))
-    staged = both.select(
-        *[F.when(F.col("old._old").isNotNull(), F.col(f"old.{name}")).otherwise(F.col(f"new.{name}")).alias(name) for name in by],
-        *[total(name) for name in measures.kept()],
-        *[outwards[how](F.col(f"old.{name}"), F.col(f"new._in_{name}")).alias(name) for name, (how, _) in measures.edges.items()],
-        lost.alias("_lost")).filter(F.col(ROWS) > 0)
-    columns = [*by, *measures.kept(), *measures.edges]
-    if not measures.edges:
-        return staged.select(*columns)
-    groups = staged.filter("_lost").select(*[F.col(name).alias(f"_{name}") for name in by])
+    for name, (how, _) in measures.edges.items():
+        as_far = F.col(f"_in_{name}") <= F.col(name) if how == "min" else F.col(f"_in_{name}") >= F.col(name)
+        lost = lost | F.coalesce((F.col(f"_out_{name}") == F.col(name)) & ~F.coalesce(as_far, F.lit(False)), F.lit(False))
+    # Read for the groups that lost an edge, and for the others.
+    staged = committed(summed.select(
+        *by, *kept, *[outwards[how](F.col(name), F.col(f"_in_{name}")).alias(name) for name, (how, _) in measures.edges.items()],
+        lost.alias("_lost")), "staged")
+    columns, gone = [*by, *kept, *edges], staged.filter("_lost")
+    groups = gone.select(*[F.col(name).alias(f"_{name}") for name in measures.by])
     match = F.lit(True)
-    for name in by:
+    for name in measures.by:
         match = match & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    again = rows.join(groups, match, "left_semi").groupBy(*by).agg(*_edges(measures))
-    found = again.select(*[F.col(name).alias(f"_{name}") for name in by], *[F.col(name).alias(f"_new_{name}") for name in measures.edges])
-    mended = staged.filter("_lost").join(found, match, "left").select(
-        *by, *measures.kept(), *[F.col(f"_new_{name}").alias(name) for name in measures.edges])
+    live = rows(gone.select(*measures.by)) if callable(rows) else rows
+    again = live.join(groups, match, "left_semi").groupBy(*measures.by).agg(*_edges(measures))
+    found = again.select(*[F.col(name).alias(f"_{name}") for name in measures.by], *[F.col(name).alias(f"_new_{name}") for name in edges])
+    mended = gone.join(found, match, "left").select(*by, *kept, *[F.col(f"_new_{name}").alias(name) for name in edges])
     return staged.filter("NOT _lost").select(*columns).unionByName(mended)
