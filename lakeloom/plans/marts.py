@@ -101,5 +101,6 @@ def follow_orders(spark: SparkSession, marts: list[Mart], orders: CdcTable, run:
     signed = orders.feed.read_batch(spark, run, batch_id)
     if signed is not None:
         for mart in marts:
-            mart.refresh(spark, signed, orders.visible(spark), run, batch_id)
+            wanted = [*mart.measures.by, *[column for _, column in mart.measures.edges.values()]]
+            mart.refresh(spark, signed, lambda groups, wanted=wanted: orders.visible_of(spark, groups, wanted), run, batch_id)
 

@@ -16,7 +16,7 @@ in the stream, and kept aside as the base that silver is a function of, together
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +131,22 @@ class CdcTable:
         """Silver as its readers see it."""
         return self.shown(self.state(spark))
 
+    def visible_of(self, spark: SparkSession, of: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """The rows that readers see with the values of `of`, a table of some key columns (where null equals null). Only rows with
+        these values are merged, and if nothing but key columns is asked for, only what tells whether a key is there."""
+        if self.mode != "upsert" or not set(of.columns) <= set(self.keys) or not self.deltas.exists(spark):
+            rows, merged = self.visible(spark), True
+        else:
+            held = self.silver.read(spark)
+            few = columns is not None and set(columns) <= set(self.keys)
+            names = [*self.keys, *cdc.SEQUENCE, "deleted"] if few else held.columns
+            rows, merged = held.select(*names).unionByName(self.deltas.read(spark).select(*names)), False
+        values, match = of.select(*[F.col(name).alias(f"_of_{name}") for name in of.columns]), F.lit(True)
+        for name in of.columns:
+            match = match & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+        rows = rows.join(values, match, "left_semi")
+        return rows if merged else self.shown(self.merge(None, rows))
+
     def shown(self, state: DataFrame) -> DataFrame:
         """The rows of a state that readers see; of a table that no stream has written, all."""
         hide = scd2.visible if self.mode == "scd2" else merge.visible
