@@ -1,6 +1,7 @@
 """Toxicity, collocations and token links against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -202,6 +203,34 @@ def test_packed_counts_come_back():
     assert np.array_equal(np.concatenate([own for *_, own in back]), n)
 
 
+def test_positions_are_looked_up_in_the_block_of_their_words_only(spark):
+    """More blocks of candidates do not mean more lookups: a position has one block for its word and one for all longer phrases."""
+    phrases = [("en", " ".join(p), len(p)) for k in (1, 2, 3) for p in itertools.product("abcd", repeat=k)]
+    table = collocations.dealt(spark.createDataFrame(phrases, "lang string, phrase string, k int").repartition(3), 5).collect()
+    blocks = {row.phrase: row.block for row in table}
+    assert len(table) == len(phrases) and len(set(blocks.values())) == 5
+    text = "a b d c a a d b".split()
+    words = collocations.Words().hashes("en", [[word.encode() for word in text]])
+    one, more = collocations.routes(words, 5)
+    assert one.tolist() == [blocks[word] for word in text] + [-1]
+    assert more.tolist() == [blocks[f"{a} {b}"] for a, b in zip(text, text[1:])] + [-1, -1]
+    assert all(blocks[p] == blocks[" ".join(p.split()[:2])] for p in blocks if " " in p)
+    for number in range(5):
+        own = sorted(row.phrase for row in table if row.block == number)
+        trie = collocations.Trie.of([collocations.Words().hashes("en", [p.encode().split()])[:-1].tolist() for p in own])
+        found = (trie.counts(words, len(own), 1, np.flatnonzero(one == number))
+                 + trie.counts(words, len(own), 3, np.flatnonzero(more == number), least=2))
+        assert found.tolist() == [sum(text[i:i + len(p.split())] == p.split() for i in range(len(text))) for p in own]
+
+
+def test_a_trie_has_few_free_slots():
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(1, 4000, 30_000), rng.integers(1, 4000, 30_000))})
+    trie = collocations.Trie.of([list(p) for p in pairs])
+    # Room for one and a half times the nodes, or twice as many where hardly any is left, and one vocabulary.
+    assert len(trie.base) < 3 * (len(pairs) + 4000) + 4000 + 2
+
+
 def test_trie_counts_all_positions():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 9, 4000).astype(np.uint64)
